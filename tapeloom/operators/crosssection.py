@@ -93,9 +93,14 @@ def neutralize_mean(df: DataFrame, by: list[str], columns: list[str]) -> DataFra
     return joined.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).select(*df.columns)
 
 
+def steady(score: Column) -> Column:
+    """Twelve decimals: names that differ by rounding noise only are tied, and ties go by symbol."""
+    return F.round(score, 12) + F.lit(0.0)
+
+
 def composite_equal(momentum="momentum_120", volatility="volatility_20", pe="pe_ttm") -> Column:
     """Mean of three scores that are already signed (low volatility and low PE positive)."""
-    return (F.col(momentum) + F.col(volatility) + F.col(pe)) / 3
+    return steady((F.col(momentum) + F.col(volatility) + F.col(pe)) / 3)
 
 
 def composite_weighted(weights: dict[str, float] | None = None) -> Column:
@@ -103,7 +108,7 @@ def composite_weighted(weights: dict[str, float] | None = None) -> Column:
     total = F.lit(0.0)
     for name, weight in (weights or fixed.FACTOR_WEIGHTS).items():
         total = total + F.col(name) * F.lit(weight)
-    return total
+    return steady(total)
 
 
 def top_n(df: DataFrame, by: list[str], n: int, score: str = "score", out: str = "rank") -> DataFrame:

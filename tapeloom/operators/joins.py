@@ -26,7 +26,7 @@ def asof_join(
     carry = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     merged = left.unionByName(right).withColumn("_b", F.last("_b", ignorenulls=True).over(carry))
     found = merged.filter("_side = 1")
-    as_of = F.col(f"_b.{build_time}").alias(f"asof_{build_time}")
+    as_of = F.col(f"_b.{build_time}").alias(f"known_{build_time}")
     return found.select("_p.*", as_of, *[F.col(f"_b.{f}").alias(f) for f in fields])
 
 
@@ -77,7 +77,7 @@ def apply_adjust(
     ``exact`` takes only factors dated on a bar; ``asof`` takes every factor up to the bar.
     """
     if mode == "asof":
-        joined = asof_join(bars, factors, list(keys), order, order, ["adj_factor"]).drop(f"asof_{order}")
+        joined = asof_join(bars, factors, list(keys), order, order, ["adj_factor"]).drop(f"known_{order}")
     else:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         matched = bars.join(factors.select(*keys, order, "adj_factor"), [*keys, order], "left")

@@ -25,7 +25,7 @@ SELECT symbol, trade_date, close / lag(close, 119) OVER w - 1 AS momentum_120,
 FROM (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS ret FROM tradable_prices)
 WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)""")
 define("factors", ["rolling", "month_ends", "fundamentals", "universe"], """
-SELECT asof_date AS trade_date, symbol, momentum_120, volatility_20, pe_ttm, industry,
+SELECT g.asof_date AS trade_date, g.symbol, momentum_120, volatility_20, pe_ttm, industry,
   free_float_mkt_cap AS mkt_cap
 FROM (SELECT d.asof_date, s.symbol FROM month_ends d, (SELECT DISTINCT symbol FROM rolling) s) g
 ASOF JOIN rolling r ON g.symbol = r.symbol AND g.asof_date >= r.trade_date
@@ -66,11 +66,11 @@ SELECT *, w2 / sum(w2) OVER (PARTITION BY trade_date) AS weight FROM (
 SELECT *, least(e / sum(e) OVER (PARTITION BY trade_date), 0.05e0) AS w2 FROM (
 SELECT *, exp((score - max(score) OVER (PARTITION BY trade_date)) / 0.15e0) AS e FROM (
 SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, symbol) AS rank FROM (
-SELECT trade_date, symbol, (momentum_120 + volatility_20 + pe_ttm) / 3 AS score FROM scored)) WHERE rank <= 50))""")
+SELECT trade_date, symbol, round((momentum_120 + volatility_20 + pe_ttm) / 3, 12) + 0 AS score FROM scored)) WHERE rank <= 50))""")
 define("weighted", ["scored_plain"], """
 SELECT *, 1e0 / count(*) OVER (PARTITION BY trade_date) AS weight FROM (
 SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, symbol) AS rank FROM (
-SELECT trade_date, symbol, industry, 0 + momentum_120 * 0.4e0 + volatility_20 * -0.3e0 + pe_ttm * -0.3e0 AS score
+SELECT trade_date, symbol, industry, round(0 + momentum_120 * 0.4e0 + volatility_20 * -0.3e0 + pe_ttm * -0.3e0, 12) + 0 AS score
 FROM scored_plain)) WHERE rank <= 50""")
 
 
@@ -169,7 +169,7 @@ QUERIES = {
     "factor_stats": on_tables(lambda t: summaries.factor_stats(_factors(t), list(F3)).select(
         *[r(f"{c}_{k}", 7) for c in F3 for k in ("mean", "std")])),
     "rank_selection": on_tables(lambda t: xs.top_n(
-        t.fundamentals().select(F.col("date").alias("trade_date"), "symbol", F.col("pb_ratio").alias("score")), DATE, 1000000,
+        t.fundamentals().select(F.col("date").alias("trade_date"), "symbol", F.col("pb_ratio").alias("score")), DATE, 50,
     ).select("trade_date", "symbol", "rank")),
     "topn_select": on_tables(lambda t: xs.top_n(
         t.prices().select("trade_date", "symbol", F.col("amount").alias("score")), DATE, 5,
@@ -262,7 +262,7 @@ WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)) r"""),
     "factor_stats": sql("SELECT " + ", ".join(
         rq(f"{f}({c})", 7, f"{c}_{k}") for c in F3 for k, f in (("mean", "avg"), ("std", "stddev_samp"))) + " FROM factors",
         "factors"),
-    "rank_selection": sql("SELECT trade_date, symbol, rank FROM (" + _ranked("fundamentals", "pb_ratio", 1000000) + ")", "fundamentals"),
+    "rank_selection": sql("SELECT trade_date, symbol, rank FROM (" + _ranked("fundamentals", "pb_ratio", 50) + ")", "fundamentals"),
     "topn_select": sql("SELECT trade_date, symbol, rank FROM (" + _ranked("prices", "amount", 5, "trade_date") + ")", "prices"),
     "is_rank_monotonic": sql("SELECT trade_date, true AS monotonic FROM prices GROUP BY 1", "prices"),
 }
