@@ -49,12 +49,13 @@ def tradable_only(df: DataFrame, universe: DataFrame) -> DataFrame:
     return df.join(universe.filter("is_tradable").select("symbol"), "symbol", "left_semi")
 
 
-def adjust_ratio(
+def factor_ratio(
     bars: DataFrame, factors: DataFrame, side: str = "qfq", keys=("exchange", "symbol"), order: str = "datetime"
 ) -> DataFrame:
-    """Scale OHLC by the ratio of the filled factor to the last one.
+    """Add ``ratio``: the filled factor against the last one.
 
-    ``qfq`` is f / f_last, ``hfq`` its inverse, ``hfq_first`` the usual f / f_first.
+    ``qfq`` is f / f_last, ``hfq`` its inverse, ``hfq_first`` the usual f / f_first; rows
+    before the first factor have none.
     """
     w = Window.partitionBy(*keys).orderBy(order)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -64,8 +65,13 @@ def adjust_ratio(
     )
     last, first = F.last("adj_factor").over(whole), F.first("adj_factor", ignorenulls=True).over(whole)
     f = F.col("adj_factor")
-    ratio = {"qfq": F.try_divide(f, last), "hfq": F.try_divide(last, f), "hfq_first": F.try_divide(f, first)}[side]
-    scaled = filled.withColumn("ratio", ratio)
+    ratios = {"qfq": F.try_divide(f, last), "hfq": F.try_divide(last, f), "hfq_first": F.try_divide(f, first)}
+    return filled.withColumn("ratio", ratios[side])
+
+
+def adjust_ratio(bars: DataFrame, factors: DataFrame, side: str = "qfq", **kw) -> DataFrame:
+    """OHLC scaled by the factor ratio of the asked side."""
+    scaled = factor_ratio(bars, factors, side, **kw)
     return scaled.withColumns({c: F.col(c) * F.col("ratio") for c in PRICES})
 
 

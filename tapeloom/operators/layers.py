@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom import fixed
 from tapeloom.functions.columns import item, kept, price_order_broken
-from tapeloom.operators.joins import PRICES, adjust_ratio, asof_join
+from tapeloom.operators.joins import PRICES, asof_join, factor_ratio
 from tapeloom.operators.series import KEYS, flow_factors, over_series
 
 
@@ -99,12 +99,11 @@ def dws_adjusted(dwd: DataFrame, factors: DataFrame | None = None, at=None) -> D
     if factors is None:
         rated = dwd.withColumns({"qfq_factor": F.lit(1.0), "hfq_factor": F.lit(1.0)})
     else:
-        # One adjustment pass gives the forward ratio; the backward one is its inverse.
-        ratio = adjust_ratio(dwd, factors).withColumn("_f", F.col("ratio"))
+        # One pass gives the forward ratio; the backward one is its inverse.
+        ratio = factor_ratio(dwd, factors)
         rated = ratio.withColumns({
-            **{c: F.try_divide(F.col(c), F.col("_f")) for c in PRICES},
-            "qfq_factor": F.coalesce("_f", F.lit(1.0)),
-            "hfq_factor": F.coalesce(F.try_divide(F.lit(1.0), F.col("_f")), F.lit(1.0)),
+            "qfq_factor": F.coalesce("ratio", F.lit(1.0)),
+            "hfq_factor": F.coalesce(F.try_divide(F.lit(1.0), F.col("ratio")), F.lit(1.0)),
         })
     sides = {f"{c}_{s}": F.col(c) * F.col(f"{s}_factor") for s in ("qfq", "hfq") for c in PRICES}
     return rated.withColumns(sides).select(

@@ -48,15 +48,15 @@ QUERIES = {
         "exchange", "symbol", "datetime", "close", "year", "month")),
     "scan_ods_financial": on_tables(lambda t: scans.scan_range(
         t.ods_financial(), "report_date", S, E, report_type="income").select(
-        "symbol", "report_date", F.round(F.col("raw_income")["total_revenue"], 3).alias("total_revenue"), "source")),
+        "symbol", "report_date", F.round(F.col("raw_income")["total_revenue"], 4).alias("total_revenue"), "source")),
     "scan_ods_fundamental": on_tables(lambda t: scans.scan_range(t.ods_fundamental(), "date", S, E).select(
         "symbol", "date", F.col("raw_data")["pe_ratio"].alias("pe_ratio"), "quality_score")),
     "scan_dwd": on_tables(lambda t: scans.scan_layer(
         sinks.with_period(layers.dwd_bars(layers.ods_bars(t.bars(), "lake")), "datetime"), S, E).select(
-        "exchange", "symbol", "datetime", "amount", r("vwap", 6), "is_valid")),
+        "exchange", "symbol", "datetime", "amount", "vwap", "is_valid")),
     "scan_dws_adjusted": on_tables(lambda t: scans.scan_range(
         layers.dws_adjusted(layers.dwd_bars(layers.ods_bars(t.bars(), "lake")), t.adj_factor()), start=S, end=E).select(
-        "exchange", "symbol", "datetime", *[r(f"{c}_qfq", 6) for c in _OHLC])),
+        "exchange", "symbol", "datetime", *[f"{c}_qfq" for c in _OHLC])),
     "scan_dws_factors": on_tables(lambda t: scans.scan_range(
         layers.dws_flow_factors(t.bars()), start=S, end=E).select(
         "exchange", "symbol", "datetime", "net_inflow", r("volume_ratio", 7))),
@@ -76,7 +76,7 @@ QUERIES = {
     "scan_top_traders": on_tables(lambda t: scans.scan_events(t.top_traders(), "date", S, E, "dragon_tiger_type").select(
         "symbol", "date", r("buy_amount", 2), r("sell_amount", 2), F.array_join("buy_seats", ",").alias("buy_seats"),
         F.array_join("sell_seats", ",").alias("sell_seats"), "turnover_rate")),
-    "scan_index_members": on_tables(lambda t: t.index_members().filter(F.col("effective_date") >= "1995-06-01").orderBy(
+    "scan_index_members": on_tables(lambda t: t.index_members().filter(F.col("effective_date") >= "1995-02-01").orderBy(
         "index_code", F.col("weight").desc(), "symbol").select("index_code", "symbol", r("weight", 9), "effective_date")),
     "scan_industry": on_tables(lambda t: t.industry().filter("industry_standard = 'sw'").orderBy("symbol", "industry_level").select(
         "symbol", "industry_level", "industry_code", "industry_name", "parent_industry_name")),
@@ -86,8 +86,8 @@ QUERIES = {
         t.prices(), t.universe().filter("is_tradable"), E, -130).select("symbol", "trade_date", "close", "volume")),
     "fundamental_asof": on_tables(lambda t: scans.fundamental_asof(
         t.financials(), E, ["report_date", "revenue", "net_profit"]).select(
-        "symbol", "publish_date", "report_date", r("revenue", 3), r("net_profit", 3))),
-    "universe_asof": on_tables(lambda t: scans.universe_asof(t.universe(), "1996-06-30").select(
+        "symbol", "publish_date", "report_date", r("revenue", 4), r("net_profit", 4))),
+    "universe_asof": on_tables(lambda t: scans.universe_asof(t.universe(), "1995-03-01").select(
         "universe", "symbol", "industry", "is_tradable", "is_st", "is_suspended")),
     "recent_minutes": on_tables(lambda t: scans.recent_rows(t.ticks(), 60).select(F.lit("last_n").alias("part"), "symbol", "datetime", "close").union(
         scans.rows_of_day(t.ticks(), "2024-01-30").select(F.lit("today"), "symbol", "datetime", "close")).union(
@@ -120,16 +120,16 @@ ORACLE = {
         f"SELECT exchange, symbol, datetime, close, CAST(year(datetime) AS INTEGER) AS year, CAST(month(datetime) AS INTEGER) "
         f"AS month FROM bars WHERE {_RANGE}", "bars"),
     "scan_ods_financial": sql(
-        f"SELECT symbol, report_date, round(revenue, 3) AS total_revenue, 'lake' AS source FROM financials "
+        f"SELECT symbol, report_date, round(revenue, 4) AS total_revenue, 'lake' AS source FROM financials "
         f"WHERE report_date BETWEEN DATE '{S}' AND DATE '{E}'", "financials"),
     "scan_ods_fundamental": sql(
         f"SELECT symbol, date, pe_ratio, 1e0 AS quality_score FROM fundamentals WHERE date BETWEEN DATE '{S}' AND DATE '{E}'",
         "fundamentals"),
     "scan_dwd": sql(
-        f"SELECT exchange, symbol, datetime, volume * close AS amount, {rq('(open + high + low + close) / 4', 6, 'vwap')}, "
+        f"SELECT exchange, symbol, datetime, volume * close AS amount, (open + high + low + close) / 4 AS vwap, "
         f"true AS is_valid FROM bars WHERE {_RANGE}", "bars"),
     "scan_dws_adjusted": sql(
-        "SELECT exchange, symbol, datetime, " + ", ".join(rq(f"{c} * coalesce(qfq, 1)", 6, f"{c}_qfq") for c in _OHLC)
+        "SELECT exchange, symbol, datetime, " + ", ".join(f"{c} * coalesce(qfq, 1) AS {c}_qfq" for c in _OHLC)
         + f" FROM adjusted WHERE {_RANGE}", "adjusted"),
     "scan_dws_factors": sql(
         f"SELECT exchange, symbol, datetime, ni AS net_inflow, {rq('vr', 7, 'volume_ratio')} FROM flow_windows WHERE {_RANGE}",
@@ -156,7 +156,7 @@ ORACLE = {
         f"FROM top_traders WHERE date BETWEEN TIMESTAMP '{S}' AND TIMESTAMP '{E}'", "top_traders"),
     "scan_index_members": sql(
         f"SELECT index_code, symbol, {rq('weight', 9, 'weight')}, effective_date FROM index_members "
-        "WHERE effective_date >= DATE '1995-06-01'", "index_members"),
+        "WHERE effective_date >= DATE '1995-02-01'", "index_members"),
     "scan_industry": sql(
         "SELECT symbol, industry_level, industry_code, industry_name, parent_industry_name FROM industry", "industry"),
     "scan_macro": sql(
@@ -166,12 +166,12 @@ ORACLE = {
         f"SELECT symbol, trade_date, close, volume FROM prices WHERE symbol IN (SELECT symbol FROM universe WHERE is_tradable) "
         f"AND trade_date BETWEEN DATE '{E}' - 130 AND DATE '{E}'", "prices", "universe"),
     "fundamental_asof": sql(
-        f"SELECT symbol, publish_date, report_date, {rq('revenue', 3, 'revenue')}, {rq('net_profit', 3, 'net_profit')} FROM ("
+        f"SELECT symbol, publish_date, report_date, {rq('revenue', 4, 'revenue')}, {rq('net_profit', 4, 'net_profit')} FROM ("
         "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY publish_date DESC, report_date DESC) AS rn "
         f"FROM financials WHERE publish_date <= DATE '{E}') WHERE rn = 1", "financials"),
     "universe_asof": sql(
         "SELECT universe, symbol, industry, is_tradable, is_st, is_suspended FROM universe "
-        "WHERE effective_date <= DATE '1996-06-30'", "universe"),
+        "WHERE effective_date <= DATE '1995-03-01'", "universe"),
     "recent_minutes": sql(
         "SELECT 'last_n' AS part, symbol, datetime, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY "
         "datetime DESC) AS rn FROM ticks) WHERE rn <= 60 UNION ALL SELECT 'today', symbol, datetime, close FROM ticks "

@@ -102,7 +102,7 @@ QUERIES = {
         lambda t: series.latest_per_key(t.bars(), list(series.KEYS), "datetime").drop("turnover", "interval")
     ),
     "last_n_reports": on_tables(
-        lambda t: series.annual_reports(t.financials(), 3).select("symbol", "report_date", "report_period", r("revenue", 3))
+        lambda t: series.annual_reports(t.financials(), 3).select("symbol", "report_date", "report_period", r("revenue", 4))
     ),
     "data_age": on_tables(lambda t: series.data_age(t.ticks(), NOW).select(
         "symbol", "last_time", "age_seconds", "is_open", "needs_refresh")),
@@ -227,7 +227,7 @@ ORACLE = {
         "bars_desc",
     ),
     "last_n_reports": sql(
-        "SELECT symbol, report_date, report_period, " + rq("revenue", 3, "revenue") + " FROM (SELECT *, row_number() "
+        "SELECT symbol, report_date, report_period, " + rq("revenue", 4, "revenue") + " FROM (SELECT *, row_number() "
         "OVER (PARTITION BY exchange, symbol ORDER BY report_date DESC) AS rn FROM financials "
         "WHERE report_period IN ('annual', 'q4')) WHERE rn <= 3", "financials",
     ),
