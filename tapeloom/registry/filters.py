@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeloom import fixed
 from tapeloom.functions import columns as fx
-from tapeloom.operators import crosssection as xs
-from tapeloom.operators import events, normalize
+from tapeloom.operators import events, normalize, summaries
 from tapeloom.plans import signals
 from tapeloom.registry.base_sql import define, sql
 from tapeloom.registry.common import on_tables, r, rq
@@ -51,10 +50,6 @@ def _listed(t):
     )
 
 
-def _level3(t):
-    return events.industry_at_level(t.industry(), "level2", "sw")
-
-
 QUERIES = {
     "normalize_vendor": on_tables(lambda t: normalize.normalize_vendor(_vendor(t), "akshare", ["symbol"], _SEQ)),
     "coerce_numeric": on_tables(lambda t: t.raw("conversations").select(
@@ -99,7 +94,7 @@ QUERIES = {
         events.themes(t.themes(), "sector").select("theme_type", "theme_id"))),
     "filter_top_traders": on_tables(lambda t: events.top_traders(t.top_traders(), "daily").select("symbol", "date", r("net_amount", 2))),
     "members_min_weight": on_tables(lambda t: events.members_min_weight(t.index_members()).select("index_code", "symbol", r("weight", 9))),
-    "industry_at_level": on_tables(lambda t: _level3(t).select("symbol", "industry_code", "industry_name")),
+    "industry_at_level": on_tables(lambda t: events.industry_at_level(t.industry(), "level2", "sw").select("symbol", "industry_code", "industry_name")),
     "macro_by_type": on_tables(lambda t: events.macro_by_type(t.macro(), ["money_supply", "cpi"]).select("data_code", "date", "value")),
     "valuation_cols": on_tables(lambda t: normalize.project_existing(t.fundamentals(), fixed.VALUATION_COLUMNS)),
     "profitability_cols": on_tables(lambda t: normalize.project_existing(
@@ -124,7 +119,7 @@ QUERIES = {
         t.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"),
         ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_extendedprice"])),
     "count_duplicates": on_tables(lambda t: normalize.count_duplicates(t.raw("lineitem").select("l_orderkey", "l_linenumber"))),
-    "distinct_values": on_tables(lambda t: __import__("tapeloom.operators.summaries", fromlist=["x"]).distinct_values(
+    "distinct_values": on_tables(lambda t: summaries.distinct_values(
         t.reports(), ["symbol"], "institution", "institutions").select("symbol", F.array_join("institutions", ",").alias("institutions"))),
     "schema_diff": on_tables(lambda t: normalize.schema_diff(t.bars(), ["symbol", "exchange", "datetime", "close", "vwap", "amount"])),
 }

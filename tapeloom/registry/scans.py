@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.operators import layers
-from tapeloom.registry import series as _series  # noqa: F401 - defines flow_windows
-from tapeloom.registry.base_sql import define, sql
+from tapeloom.registry.base_sql import sql
 from tapeloom.registry.common import on_tables, r, rq
 from tapeloom.sinks import tables as sinks
 from tapeloom.sources import scans
@@ -96,17 +95,6 @@ QUERIES = {
     "read_symbol_list": on_tables(_symbols),
 }
 
-define("adjusted", ["bars", "adj_factor"], """
-SELECT exchange, symbol, datetime, open, high, low, close, f, f / last_value(f) OVER w AS qfq, last_value(f) OVER w / f AS hfq
-FROM (SELECT b.*, last_value(adj_factor IGNORE NULLS) OVER (PARTITION BY exchange, symbol ORDER BY datetime) AS f
-      FROM bars b LEFT JOIN adj_factor a USING (exchange, symbol, datetime))
-WINDOW w AS (PARTITION BY exchange, symbol ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
-define("dwd_fin", ["financials"], """
-SELECT *, 100 * net_profit / total_equity AS roe, 100 * net_profit / total_assets AS roa,
-  coalesce(100 * (revenue / lag(revenue) OVER w - 1), 0) AS revenue_growth,
-  coalesce(100 * (net_profit / lag(net_profit) OVER w - 1), 0) AS profit_growth
-FROM financials WINDOW w AS (PARTITION BY exchange, symbol, report_type ORDER BY report_date)""")
-
 _EVENT = "BETWEEN TIMESTAMP '2024-03-01' AND TIMESTAMP '2024-10-31'"
 ORACLE = {
     "scan_bars": sql(f"SELECT {', '.join(_BAR)} FROM bars WHERE {_RANGE}", "bars"),

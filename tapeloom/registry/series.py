@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.operators import joins, series
-from tapeloom.plans import signals
+from tapeloom.operators import joins, performance, series
 from tapeloom.registry.base_sql import define, sql
 from tapeloom.registry.common import on_tables, r, rq
 
@@ -24,13 +23,6 @@ SELECT exchange, symbol, datetime, close,
 define("signs", ["averages"], """
 SELECT *, CASE WHEN f - s > abs(s) * 3e0 / 10000 THEN 1 WHEN f - s < -abs(s) * 3e0 / 10000 THEN -1 ELSE 0 END AS sg
 FROM averages""")
-define("flow_windows", ["bars"], f"""
-SELECT exchange, symbol, datetime, ni, vr, m5, m20 FROM (
-SELECT *, coalesce((close - lag(close) OVER ({W})) * volume / 1e6, 0) AS ni,
-  CASE WHEN row_number() OVER ({W}) > 20 THEN volume / avg(volume) OVER ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)
-    ELSE 1e0 END AS vr,
-  coalesce((close - lag(close, 5) OVER ({W})) / lag(close, 5) OVER ({W}), 0) AS m5,
-  coalesce((close - lag(close, 20) OVER ({W})) / lag(close, 20) OVER ({W}), 0) AS m20 FROM bars)""")
 
 
 def _gappy(t):
@@ -39,9 +31,7 @@ def _gappy(t):
 
 
 def _pnl(t):
-    from tapeloom.operators.performance import signal_pnl
-
-    return signal_pnl(series.ma_cross(t.bars(), 10, 30, band_bp=3.0, delay=1))
+    return performance.signal_pnl(series.ma_cross(t.bars(), 10, 30, band_bp=3.0, delay=1))
 
 
 QUERIES = {
@@ -109,7 +99,7 @@ QUERIES = {
     "tail_per_symbol": on_tables(lambda t: series.tail_per_symbol(t.bars(), 120).select(*KEY, "close")),
     "signal_pnl": on_tables(lambda t: _pnl(t).select(*KEY, "position", r("pnl", 4))),
     "performance_summary": on_tables(
-        lambda t: __import__("tapeloom.operators.performance", fromlist=["x"]).performance_summary(_pnl(t)).select(
+        lambda t: performance.performance_summary(_pnl(t)).select(
             "exchange", "symbol", "n_rows", r("total_pnl", 2), r("max_drawdown", 2), r("mean_pnl", 3), r("std_pnl", 3)
         )
     ),
