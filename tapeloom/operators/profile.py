@@ -52,15 +52,14 @@ def frame_summary(df: DataFrame, data_type: str, date: str = "trade_date", symbo
     )
 
 
-def pivot_close(prices: DataFrame, symbols: list[str] | None = None, date: str = "trade_date", digits: int | None = None) -> DataFrame:
+def pivot_close(prices: DataFrame, symbols: list[str] | None = None, date: str = "trade_date") -> DataFrame:
     """Date by symbol matrix of the mean close.
 
     The width is one column per symbol: name the symbols, or let Spark find them, which it
     refuses beyond ``spark.sql.pivotMaxValues``.
     """
-    mean = F.avg("close") if digits is None else F.round(F.avg("close"), digits)
     grouped = prices.groupBy(date)
-    return (grouped.pivot("symbol", symbols) if symbols else grouped.pivot("symbol")).agg(mean)
+    return (grouped.pivot("symbol", symbols) if symbols else grouped.pivot("symbol")).agg(F.avg("close"))
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:

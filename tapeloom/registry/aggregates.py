@@ -10,6 +10,9 @@ from tapeloom.registry.base_sql import sql
 from tapeloom.registry.common import on_tables, r, rq
 from tapeloom.registry.joins import CODES
 
+# Sums of prices in 1/32 of a cent often end in an exact 5; a small shift keeps the two
+# engines' summation noise away from the rounding edge.
+OFF_TIE = 1.23e-4
 _OHLCV = ["open", "high", "low", "close", "volume"]
 _PARTS = ("1m", "5m", "15m", "1h", "1d", "1w", "1mo")
 
@@ -35,11 +38,11 @@ def _docs_week_month(t):
 QUERIES = {
     "resample_ohlcv": on_tables(_all_targets),
     "resample_turnover_default": on_tables(lambda t: resample.resample(t.bars().drop("turnover", "open_interest"), "1mo").select(
-        "symbol", "datetime", "close", r("turnover", 5), "open_interest")),
+        "symbol", "datetime", "close", F.round(F.col("turnover") + OFF_TIE, 3).alias("turnover"), "open_interest")),
     "weekly_monthly_docs": on_tables(_docs_week_month),
     "count_by_symbol": on_tables(lambda t: t.bars().groupBy("symbol").agg(F.count("*").alias("n"))),
     "avg_close_by_symbol": on_tables(lambda t: t.bars().groupBy("symbol").agg(F.avg("close").alias("c")).select("symbol", r("c", 6, "avg_close"))),
-    "pivot_close": on_tables(lambda t: profile.pivot_close(t.prices(), digits=6)),
+    "pivot_close": on_tables(lambda t: profile.pivot_close(t.prices())),
     "minute_stats": on_tables(lambda t: profile.minute_stats(t.ticks()).select(
         "symbol", "row_count", "first_time", "last_time", "last_close", "total_volume", "min_low", "max_high")),
     "series_count_range": on_tables(lambda t: profile.series_count_range(t.ticks(), ["symbol"])),
@@ -121,14 +124,14 @@ ORACLE = {
     "resample_ohlcv": sql(" UNION ALL ".join(_resampled(k, v) for k, v in _LABEL.items()), "ticks"),
     "resample_turnover_default": sql(
         "SELECT symbol, CAST(m AS TIMESTAMP) AS datetime, arg_max(close, datetime) AS close, "
-        f"{rq('sum(close * volume)', 5, 'turnover')}, 0e0 AS open_interest FROM (SELECT *, date_trunc('month', datetime) AS m FROM bars) "
+        f"{rq(f'sum(close * volume) + {OFF_TIE}', 3, 'turnover')}, 0e0 AS open_interest FROM (SELECT *, date_trunc('month', datetime) AS m FROM bars) "
         "GROUP BY symbol, m", "bars"),
     "weekly_monthly_docs": sql(
         _resampled("week", _LABEL["1w"], "bars", False, "label") + " UNION ALL " + _resampled("month", "last_day(datetime)", "bars", False, "label"), "bars"),
     "count_by_symbol": sql("SELECT symbol, count(*) AS n FROM bars GROUP BY 1", "bars"),
     "avg_close_by_symbol": sql(f"SELECT symbol, {rq('avg(close)', 6, 'avg_close')} FROM bars GROUP BY 1", "bars"),
     "pivot_close": sql(
-        "SELECT * FROM (PIVOT (SELECT trade_date, symbol, close FROM prices) ON symbol USING round(avg(close), 6) GROUP BY trade_date)", "prices"),
+        "SELECT * FROM (PIVOT (SELECT trade_date, symbol, close FROM prices) ON symbol USING avg(close) GROUP BY trade_date)", "prices"),
     "minute_stats": sql(
         "SELECT symbol, count(*) AS row_count, min(datetime) AS first_time, max(datetime) AS last_time, arg_max(close, datetime) AS last_close, "
         "sum(volume) AS total_volume, min(low) AS min_low, max(high) AS max_high FROM ticks GROUP BY 1", "ticks"),

@@ -1,2 +1,184 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries of sinks: write, read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tapeloom.operators import layers
+from tapeloom.operators.profile import pivot_close
+from tapeloom.operators.upsert import BAR_KEY, FUNDAMENTAL_KEY, STATEMENT_KEY, upsert
+from tapeloom.plans import signals
+from tapeloom.registry import selection as _selection  # noqa: F401 - defines the SQL of factors and signals
+from tapeloom.registry.base_sql import sql
+from tapeloom.registry.common import UNTIL, on_tables, r, rq
+from tapeloom.sinks import tables as sinks
+from tapeloom.sources.adapters import Tables
+
+_KEY = ["exchange", "symbol", "datetime"]
+
+
+def _back(t: Tables, name: str, write):
+    """Write to a fresh folder of the shared directory and read it back."""
+    path = sinks.scratch_path(t.spark, name)
+    write(path)
+    return sinks.read_table(t.spark, path)
+
+
+def _tick_update(t: Tables):
+    """Later half of every minute restated."""
+    return t.ticks().filter(F.second("datetime") >= 30).withColumn("close", F.col("close") + 1)
+
+
+def _year_table(t: Tables):
+    """Bars table in year partitions, then one late batch merged into it."""
+    path = sinks.scratch_path(t.spark, "bars")
+    parts = ["exchange", "interval", "year"]
+    sinks.write_table(sinks.with_period(t.bars(), "datetime", monthly=False), path, parts, ["symbol", "datetime"])
+    late = t.bars_update().filter(F.col("datetime") >= F.lit("2001-01-01").cast("timestamp_ntz"))
+    sinks.upsert_table(t.spark, path, sinks.with_period(late, "datetime", monthly=False), BAR_KEY, parts, cluster=["symbol", "datetime"])
+    return sinks.read_table(t.spark, path)
+
+
+def _fin_update(t: Tables):
+    return t.financials().filter(F.month("report_date") == 12).withColumn("revenue", F.col("revenue") * 2)
+
+
+def _fund_update(t: Tables):
+    return t.fundamentals().filter(F.dayofmonth("date") >= 28).withColumn("pe_ttm", F.col("pe_ttm") + 1)
+
+
+def _events(t: Tables):
+    """Six event tables written with a load day; one of them reloaded on a later day."""
+    plan = [
+        ("announcements", t.announcements(), "announcement_date", "doc_id"), ("news", t.news(), "publish_date", "doc_id"),
+        ("reports", t.reports(), "publish_date", "report_id"), ("flows", t.flows(), "date", "flow_id"),
+        ("themes", t.themes(), "theme_id", "theme_id"), ("top_traders", t.top_traders(), "date", None),
+    ]
+    out = None
+    for name, df, time, key in plan:
+        path = sinks.scratch_path(t.spark, name)
+        sinks.write_events(df, path, "2024-12-01", time)
+        if name == "flows":
+            sinks.write_events(df.filter("direction = 'inflow'"), path, "2024-12-02", time)
+        stored = sinks.read_latest_load(t.spark, path, [key] if key else ["symbol", "date"])
+        part = stored.groupBy(F.lit(name).alias("name"), "load_date").agg(F.count("*").alias("n"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _purged(t: Tables):
+    path = sinks.scratch_path(t.spark, "purge")
+    sinks.write_table(sinks.with_period(t.bars(), "datetime", monthly=False), path, ["year"], ["symbol", "datetime"])
+    sinks.purge_table(t.spark, path, "2001-12-31", 1095, "datetime", ["year"])
+    return sinks.read_table(t.spark, path)
+
+
+def _json(t: Tables):
+    path = sinks.scratch_path(t.spark, "audit")
+    sinks.export_events_json(t.audit(), path, "2024-01-10", "2024-01-20")
+    return t.spark.read.schema("event_id bigint, event_type string, user_id bigint, asset_id string, details string").json(path)
+
+
+def _csv(t: Tables):
+    path = sinks.scratch_path(t.spark, "pivot")
+    wide = pivot_close(t.prices())
+    sinks.export_csv(wide, path)
+    back = t.spark.read.option("header", True).schema(wide.schema).csv(path)
+    cells = F.array(*[F.struct(F.lit(c).alias("symbol"), F.col(f"`{c}`").alias("close")) for c in back.columns if c != "trade_date"])
+    return back.select("trade_date", F.inline(cells)).filter("close is not null")
+
+
+def _dws(t: Tables):
+    dwd = layers.dwd_bars(layers.ods_bars(t.bars(), "lake"))
+    adjusted = _back(t, "dws_adjusted", lambda p: sinks.write_bars(layers.dws_adjusted(dwd, t.adj_factor()), p))
+    factors = _back(t, "dws_factors", lambda p: sinks.write_table(
+        sinks.with_period(layers.dws_flow_factors(dwd), "datetime"), p, ["exchange", "year", "month"], ["symbol", "datetime"]))
+    merged = _back(t, "dws_merged", lambda p: sinks.write_statements(
+        layers.dws_merged(layers.dwd_financial(t.ods_financial()), t.fundamentals()), p))
+
+    def count(name, df):
+        return df.groupBy(F.lit(name).alias("layer"), "exchange", "year").agg(F.count("*").alias("n"))
+
+    return count("adjusted", adjusted).union(count("factors", factors)).union(count("merged", merged))
+
+
+def _written_signals(t: Tables):
+    s = signals.build_signals(t.prices(), t.fundamentals(), t.universe(), UNTIL)
+    return _back(t, "signals", lambda p: sinks.write_signals(s, p))
+
+
+def _written_selection(t: Tables):
+    chosen = signals.select_weighted(signals.factor_frame(t.prices(), t.fundamentals(), t.universe(), UNTIL))
+    return _back(t, "selection", lambda p: sinks.write_signals(chosen, p, "weighted"))
+
+
+QUERIES = {
+    "upsert_bars": on_tables(lambda t: upsert(t.bars(), t.bars_update(), BAR_KEY).select(*_KEY, "close", "volume")),
+    "upsert_minutes": on_tables(lambda t: upsert(t.ticks(), _tick_update(t), BAR_KEY).select("symbol", "datetime", "close")),
+    "upsert_financial": on_tables(lambda t: upsert(t.financials(), _fin_update(t), STATEMENT_KEY).select("symbol", "report_date", r("revenue", 4))),
+    "upsert_fundamental": on_tables(lambda t: upsert(t.fundamentals(), _fund_update(t), FUNDAMENTAL_KEY).select("symbol", "date", "pe_ttm")),
+    "upsert_table": on_tables(lambda t: _year_table(t).select(*_KEY, "close", "year")),
+    "write_ods": on_tables(lambda t: _back(t, "ods", lambda p: sinks.write_bars(layers.ods_bars(t.bars(), "lake"), p)).select(
+        *_KEY, "interval", "close", "volume", "source", "year", "month")),
+    "write_dwd": on_tables(lambda t: _back(t, "dwd", lambda p: sinks.write_bars(layers.dwd_bars(layers.ods_bars(t.bars(), "lake")), p)).select(
+        *_KEY, "amount", "vwap", "is_valid", "year", "month")),
+    "write_dws": on_tables(_dws),
+    "write_events": on_tables(_events),
+    "write_index": on_tables(lambda t: _back(t, "index", lambda p: sinks.write_by(t.index_members(), p, ["index_code"], ["symbol"])).select(
+        "index_code", "symbol", r("weight", 9))),
+    "write_industry": on_tables(lambda t: _back(t, "industry", lambda p: sinks.write_by(
+        t.industry(), p, ["industry_standard", "industry_level"], ["symbol"])).select("symbol", "industry_standard", "industry_level", "industry_name")),
+    "write_macro": on_tables(lambda t: _back(t, "macro", lambda p: sinks.write_by(
+        t.macro().withColumn("year", F.year("date")), p, ["data_type", "frequency", "year"], ["data_code", "date"])).select(
+        "data_code", "data_type", "date", "value", "year")),
+    "write_signals": on_tables(lambda t: _written_signals(t).select("strategy", "trade_date", "symbol", "rank", r("weight", 6))),
+    "write_selection": on_tables(lambda t: _written_selection(t).select("strategy", "trade_date", "symbol", "rank", r("score", 6))),
+    "export_events_json": on_tables(_json),
+    "export_pivot_csv": on_tables(_csv),
+    "purge_expired": on_tables(lambda t: _purged(t).select(*_KEY, "close")),
+}
+
+
+def _merged(keys: str, new: str, columns: str, *tables: str, old: str) -> str:
+    return sql(f"WITH nw AS ({new}) SELECT {columns} FROM (SELECT * FROM nw UNION ALL SELECT * FROM {old} WHERE ({keys}) NOT IN "
+               f"(SELECT ({keys}) FROM nw))", *tables)
+
+
+ORACLE = {
+    "upsert_bars": _merged("exchange, symbol, datetime", "SELECT * FROM bars_update", "exchange, symbol, datetime, close, volume",
+                           "bars", "bars_update", old="bars"),
+    "upsert_minutes": sql("SELECT symbol, datetime, CASE WHEN second(datetime) >= 30 THEN close + 1 ELSE close END AS close FROM ticks", "ticks"),
+    "upsert_financial": sql(
+        f"SELECT symbol, report_date, {rq('CASE WHEN month(report_date) = 12 THEN revenue * 2 ELSE revenue END', 4, 'revenue')} FROM financials",
+        "financials"),
+    "upsert_fundamental": sql(
+        "SELECT symbol, date, CASE WHEN day(date) >= 28 THEN pe_ttm + 1 ELSE pe_ttm END AS pe_ttm FROM fundamentals", "fundamentals"),
+    "upsert_table": _merged("exchange, symbol, datetime", "SELECT * FROM bars_update WHERE datetime >= DATE '2001-01-01'",
+                            "exchange, symbol, datetime, close, CAST(year(datetime) AS INTEGER) AS year", "bars", "bars_update", old="bars"),
+    "write_ods": sql(
+        "SELECT exchange, symbol, datetime, \"interval\", close, volume, 'lake' AS source, year(datetime) AS year, month(datetime) AS month FROM bars", "bars"),
+    "write_dwd": sql(
+        "SELECT exchange, symbol, datetime, volume * close AS amount, (open + high + low + close) / 4 AS vwap, true AS is_valid, "
+        "year(datetime) AS year, month(datetime) AS month FROM bars", "bars"),
+    "write_dws": sql(
+        "SELECT layer, exchange, year, count(*) AS n FROM (SELECT 'adjusted' AS layer, exchange, year(datetime) AS year FROM bars UNION ALL "
+        "SELECT 'factors', exchange, year(datetime) FROM bars UNION ALL SELECT 'merged', exchange, year(report_date) FROM financials) GROUP BY 1, 2, 3",
+        "bars", "financials"),
+    "write_events": sql(
+        "SELECT name, DATE '2024-12-01' AS load_date, count(*) AS n FROM (" + " UNION ALL ".join(
+            f"SELECT '{n}' AS name FROM {n}" + (" WHERE direction <> 'inflow'" if n == "flows" else "")
+            for n in ("announcements", "news", "reports", "flows", "themes", "top_traders"))
+        + ") GROUP BY 1 UNION ALL SELECT 'flows', DATE '2024-12-02', count(*) FROM flows WHERE direction = 'inflow'",
+        "announcements", "news", "reports", "flows", "themes", "top_traders"),
+    "write_index": sql(f"SELECT index_code, symbol, {rq('weight', 9, 'weight')} FROM index_members", "index_members"),
+    "write_industry": sql("SELECT symbol, industry_standard, industry_level, industry_name FROM industry", "industry"),
+    "write_macro": sql("SELECT data_code, data_type, date, value, year(date) AS year FROM macro", "macro"),
+    "write_signals": sql(
+        f"SELECT 'rank_topn_neutral' AS strategy, trade_date, symbol, rank, {rq('weight', 6, 'weight')} FROM signals", "signals"),
+    "write_selection": sql(f"SELECT 'weighted' AS strategy, trade_date, symbol, rank, {rq('score', 6, 'score')} FROM weighted", "weighted"),
+    "export_events_json": sql(
+        "SELECT event_id, event_type, user_id, asset_id, details FROM audit WHERE timestamp BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'",
+        "audit"),
+    "export_pivot_csv": sql("SELECT trade_date, symbol, close FROM prices", "prices"),
+    "purge_expired": sql("SELECT exchange, symbol, datetime, close FROM bars WHERE datetime >= DATE '2001-12-31' - 1095", "bars"),
+}

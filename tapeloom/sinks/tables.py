@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.operators.upsert import upsert
 from tapeloom.session import materialize, shared_dir
@@ -35,10 +36,26 @@ def write_table(df: DataFrame, path: str, partitions: list[str], cluster: list[s
     writer.partitionBy(*partitions).parquet(path)
 
 
+TEXT_PARTITIONS = (
+    "exchange", "interval", "index_code", "industry_standard", "industry_level", "data_type", "frequency", "strategy",
+)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A written table with its text partition columns as text.
+
+    Spark guesses the type of partition values and would take the interval "1d" for the
+    double 1.0, so the guessed type of the known text columns is replaced.
+    """
+    guessed = spark.read.parquet(path).schema
+    text = [T.StructField(f.name, T.StringType()) if f.name in TEXT_PARTITIONS else f for f in guessed.fields]
+    return spark.read.schema(T.StructType(text)).parquet(path)
+
+
 def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str], partitions: list[str], **kw) -> None:
     """Merge ``new`` into a table; only partitions present in ``new`` are read and written."""
     touched = new.select(*partitions).distinct()
-    current = spark.read.parquet(path).join(touched, partitions, "left_semi")
+    current = read_table(spark, path).join(touched, partitions, "left_semi")
     merged = materialize(upsert(current, new.select(*current.columns), keys))
     write_table(merged, path, partitions, **kw)
 
@@ -61,7 +78,7 @@ def read_latest_load(spark: SparkSession, path: str, key: list[str]) -> DataFram
     """Events with reloads settled: the newest load wins per key."""
     from tapeloom.operators.normalize import dedup_keep_last
 
-    return dedup_keep_last(spark.read.parquet(path), key, ["load_date"])
+    return dedup_keep_last(read_table(spark, path), key, ["load_date"])
 
 
 def write_by(df: DataFrame, path: str, partitions: list[str], cluster: list[str] = ()) -> None:
@@ -92,7 +109,7 @@ def purge_expired(df: DataFrame, today: str, days: int, time: str) -> DataFrame:
 def purge_table(spark: SparkSession, path: str, today: str, days: int, time: str, partitions: list[str]) -> None:
     """Delete expired rows of a table: only partitions that hold any are rewritten."""
     limit = F.date_sub(F.lit(today).cast("date"), days)
-    table = spark.read.parquet(path)
+    table = read_table(spark, path)
     stale = table.filter(F.to_date(time) < limit).select(*partitions).distinct()
     kept = materialize(table.join(stale, partitions, "left_semi").filter(F.to_date(time) >= limit))
     # A partition without any row left is not part of a dynamic overwrite; its folder is removed.
