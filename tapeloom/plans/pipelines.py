@@ -53,3 +53,10 @@ def layer_summary(bars: DataFrame, factors: DataFrame, ods_fin: DataFrame, funda
     return rows.groupBy("exchange", "symbol", "layer").agg(
         F.count("*").alias("n"), F.min("d").alias("first_date"), F.max("d").alias("last_date")
     )
+
+
+def batch_status(symbols: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
+    """Status of every asked symbol after one job over all of them."""
+    totals = layer_counts(frames, keys=("symbol",)).groupBy("symbol").agg(F.sum("n").alias("total_rows"))
+    joined = symbols.join(totals, "symbol", "left").withColumn("total_rows", F.coalesce("total_rows", F.lit(0)))
+    return joined.withColumn("status", F.when(F.col("total_rows") > 0, "success").otherwise("no_data"))
