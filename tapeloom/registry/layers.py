@@ -74,7 +74,7 @@ QUERIES = {
     "dwd_fundamental": on_tables(lambda t: layers.dwd_fundamental(_fund_dirty(t)).select(
         "symbol", "date", "pe_ratio", "pb_ratio", "ps_ratio", "market_cap", "is_valid", _texts())),
     "dws_adjusted": on_tables(lambda t: layers.dws_adjusted(layers.dwd_bars(_ods(t)), t.adj_factor()).select(
-        *KEY, "close_qfq", r("close_hfq", 5), "qfq_factor", r("hfq_factor", 9), "source_dwd")),
+        *KEY, "close_qfq", "close_hfq", "qfq_factor", r("hfq_factor", 9), "source_dwd")),
     "dws_flow_factors": on_tables(lambda t: layers.dws_flow_factors(layers.dwd_bars(_ods(t))).select(
         *KEY, "net_inflow", r("volume_ratio", 7), r("price_momentum_5d", 8), r("price_momentum_20d", 8))),
     "dws_merged_financial": on_tables(lambda t: layers.dws_merged(layers.dwd_financial(t.ods_financial()), t.fundamentals()).select(
@@ -109,8 +109,8 @@ ORACLE = {
         "AS pe_ratio, CASE WHEN day(date) = 6 THEN -pb_ratio ELSE pb_ratio END AS pb_ratio, CASE WHEN day(date) = 7 THEN 0 ELSE market_cap END AS market_cap), "
         "market_cap * 0.8e0 AS cc FROM fundamentals))", "fundamentals"),
     "dws_adjusted": sql(
-        "SELECT exchange, symbol, datetime, close * coalesce(qfq, 1) AS close_qfq, " + rq("close * coalesce(1 / qfq, 1)", 5, "close_hfq")
-        + ", coalesce(qfq, 1) AS qfq_factor, " + rq("coalesce(1 / qfq, 1)", 9, "hfq_factor")
+        "SELECT exchange, symbol, datetime, close * coalesce(qfq, 1) AS close_qfq, close * coalesce(1 / qfq, 1) AS close_hfq"
+        ", coalesce(qfq, 1) AS qfq_factor, " + rq("coalesce(1 / qfq, 1)", 9, "hfq_factor")
         + ", 'dwd_bars_' || symbol || '_' || exchange || '_1d' AS source_dwd FROM adjusted", "adjusted"),
     "dws_flow_factors": sql(
         f"SELECT exchange, symbol, datetime, ni AS net_inflow, {rq('vr', 7, 'volume_ratio')}, {rq('m5', 8, 'price_momentum_5d')}, "

@@ -1,2 +1,85 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries of the streaming jobs: run on all arrived files, read the result."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tapeloom.operators import metrics
+from tapeloom.registry import governance as _governance  # noqa: F401 - defines the SQL of rule changes
+from tapeloom.registry.base_sql import sql
+from tapeloom.registry.common import on_tables, r, rq
+from tapeloom.sinks import tables as sinks
+from tapeloom.sources.adapters import Tables
+from tapeloom.streaming import jobs
+
+
+class _Arriving(Tables):
+    """The adapter tables with ``events`` as a file stream."""
+
+    def raw(self, name: str):
+        if name != "events":
+            return super().raw(name)
+        schema = self.spark.read.parquet(f"{self.sf_dir}/events.parquet").schema
+        return jobs.file_stream(self.spark, self.sf_dir, schema, "events.parquet")
+
+
+def _arriving(t: Tables) -> Tables:
+    return _Arriving(t.spark, t.sf_dir)
+
+
+def _sink(t: Tables, name: str, stream):
+    path = sinks.scratch_path(t.spark, name)
+    jobs.run_available(stream, path, path + "-checkpoint")
+    return t.spark.read.parquet(path)
+
+
+def _upserted(t: Tables):
+    """A table of the first twenty days, then the stream brings all of January restated by one."""
+    path = sinks.scratch_path(t.spark, "minutes")
+    parts = ["exchange", "day"]
+    known = t.ticks().filter(F.dayofmonth("datetime") <= 20).withColumn("day", F.dayofmonth("datetime"))
+    sinks.write_table(known, path, parts, ["symbol", "datetime"])
+    stream = _arriving(t).ticks().filter(F.dayofmonth("datetime") >= 10).withColumn("close", F.col("close") + 1)
+    jobs.upsert_batches(stream.withColumn("day", F.dayofmonth("datetime")), path, path + "-checkpoint", parts)
+    return sinks.read_table(t.spark, path)
+
+
+def _latest(t: Tables):
+    path = sinks.scratch_path(t.spark, "latest")
+    jobs.upsert_latest(_arriving(t).ticks(), path, path + "-checkpoint")
+    versions = t.spark.read.parquet(path)
+    newest = versions.agg(F.max("batch").alias("batch"))
+    return versions.join(newest, "batch")
+
+
+def _twice(t: Tables):
+    a = _arriving(t).ticks()
+    return a.union(_arriving(t).ticks())
+
+
+def _alerts(t: Tables):
+    path = sinks.scratch_path(t.spark, "alerts")
+    jobs.alert_batches(_arriving(t).metrics(), metrics.rule_table(t.spark), path, path + "-checkpoint")
+    return t.spark.read.parquet(f"{path}/changes")
+
+
+QUERIES = {
+    "stream_minute_upsert": on_tables(lambda t: _upserted(t).select("symbol", "datetime", "close")),
+    "stream_dedup": on_tables(lambda t: _sink(t, "dedup", jobs.dedup(_twice(t), ["symbol"])).select("symbol", "datetime", "close")),
+    "stream_resample": on_tables(lambda t: _sink(t, "resampled", jobs.resample_stream(_arriving(t).ticks(), "1h")).select(
+        "symbol", "datetime", "open", "high", "low", "close", "volume", r("turnover", 4))),
+    "stream_latest": on_tables(lambda t: _latest(t).select("symbol", "datetime", "close")),
+    "stream_alerts": on_tables(lambda t: _alerts(t).select("rule", "timestamp", "value", "change", "level")),
+}
+
+ORACLE = {
+    "stream_minute_upsert": sql(
+        "SELECT symbol, datetime, CASE WHEN day(datetime) >= 10 THEN close + 1 ELSE close END AS close FROM ticks", "ticks"),
+    "stream_dedup": sql("SELECT DISTINCT symbol, datetime, close FROM ticks", "ticks"),
+    "stream_resample": sql(
+        "SELECT symbol, h AS datetime, arg_min(open, datetime) AS open, max(high) AS high, min(low) AS low, arg_max(close, datetime) AS close, "
+        f"sum(volume) AS volume, {rq('sum(turnover)', 4, 'turnover')} FROM (SELECT *, CAST(date_trunc('hour', datetime) AS TIMESTAMP) AS h FROM ticks) "
+        "GROUP BY symbol, h HAVING h + INTERVAL 1 HOUR <= (SELECT max(datetime) FROM ticks) - INTERVAL 10 MINUTE", "ticks"),
+    "stream_latest": sql("SELECT symbol, max(datetime) AS datetime, arg_max(close, datetime) AS close FROM ticks GROUP BY 1", "ticks"),
+    "stream_alerts": sql("SELECT rule, timestamp, value, change, level FROM changes", "changes"),
+}
