@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tapeloom.operators import metrics as metric_ops
+from tapeloom.operators.normalize import dedup_keep_last
 from tapeloom.operators.resample import MINUTES
 from tapeloom.operators.upsert import BAR_KEY
 from tapeloom.sinks import tables as sinks
@@ -47,20 +48,26 @@ def for_each_batch(df: DataFrame, write: Callable[[DataFrame, int], None], check
     return query
 
 
+def event_time(stream: DataFrame, time: str = "datetime") -> DataFrame:
+    """A watermark needs a timestamp with a zone; bar times are UTC."""
+    return stream.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def dedup(stream: DataFrame, keys: list[str], time: str = "datetime", delay: str = "10 minutes") -> DataFrame:
     """Collapse exact repeats of (keys, time) that arrive within the delay."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([*keys, time])
+    timed = event_time(stream, time).withWatermark(time, delay)
+    return timed.dropDuplicatesWithinWatermark([*keys, time]).withColumn(time, F.col(time).cast("timestamp_ntz"))
 
 
 def resample_stream(stream: DataFrame, to: str = "5m", delay: str = "10 minutes") -> DataFrame:
     """OHLCV buckets in append mode: a bucket comes out once the watermark has passed its end."""
     ts = F.col("datetime")
-    grouped = stream.withWatermark("datetime", delay).groupBy(*TICK_SERIES, F.window("datetime", MINUTES[to]))
+    grouped = event_time(stream).withWatermark("datetime", delay).groupBy(*TICK_SERIES, F.window("datetime", MINUTES[to]))
     bars = grouped.agg(
         F.min_by("open", ts).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", ts).alias("close"),
         F.sum("volume").alias("volume"), F.sum("turnover").alias("turnover"),
     )
-    return bars.select(*TICK_SERIES, F.col("window.start").alias("datetime"), "open", "high", "low", "close", "volume", "turnover")
+    return bars.select(*TICK_SERIES, F.col("window.start").cast("timestamp_ntz").alias("datetime"), "open", "high", "low", "close", "volume", "turnover")
 
 
 def latest_stream(stream: DataFrame) -> DataFrame:
@@ -71,8 +78,6 @@ def latest_stream(stream: DataFrame) -> DataFrame:
 
 def upsert_batches(stream: DataFrame, path: str, checkpoint: str, partitions: list[str], keys: list[str] = BAR_KEY) -> StreamingQuery:
     """Merge every micro-batch into a table; a repeated batch writes the same rows again."""
-    from tapeloom.operators.normalize import dedup_keep_last
-
     def merge(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
