@@ -1,8 +1,10 @@
-"""Exact grouped quantiles that never gather a group in one task.
+"""Exact grouped quantiles that never gather a large group in one task.
 
-A sketch per group gives a narrow bracket around every wanted rank. Exact counts below and
-inside the bracket then say where the rank lies, and only the values of that part are
-sorted. A poor sketch costs time, never exactness.
+Groups up to a row limit are sorted by a window. The few larger ones (at most rows / limit of
+them, which bounds the broadcast of their keys) go another way: a sketch per group gives a
+narrow bracket around every wanted rank, exact counts below and inside the bracket say where
+the rank lies, and only the values of that part are sorted. A poor sketch costs time, never
+exactness.
 """
 
 from __future__ import annotations
@@ -21,18 +23,56 @@ def unpivot(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, by: list[str], columns: list[str], probs: list[float], accuracy: int = 10_000
+    df: DataFrame, by: list[str], columns: list[str], probs: list[float], accuracy: int = 10_000,
+    direct_rows: int = 1_000_000,
 ) -> DataFrame:
-    """One row per (by..., name) with the linear-interpolated quantiles ``q0, q1, ...``.
+    """One row per (by..., name) with the linear-interpolated quantiles ``q0, q1, ...``."""
+    long = unpivot(df, by, columns)
+    key = [*by, "name"]
+    counts = df.groupBy(*by).agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)])
+    sizes = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"_n{i}").alias("n")) for i, c in enumerate(columns)])
+    large = counts.select(*by, F.inline(sizes)).filter(F.col("n") > direct_rows).select(*key)
+    small_rows = long.join(F.broadcast(large), key, "left_anti")
+    large_rows = long.join(F.broadcast(large), key, "left_semi")
+    return _sorted(small_rows, key, probs).unionByName(_bracketed(large_rows, key, probs, accuracy))
+
+
+def wide_quantiles(df: DataFrame, by: list[str], columns: list[str], probs: list[float], **kw) -> DataFrame:
+    """One row per ``by`` with columns ``_q<i>_<column>``."""
+    names = [f"q{i}" for i in range(len(probs))]
+    return exact_quantiles(df, by, columns, probs, **kw).groupBy(*by).agg(*[
+        F.max(F.when(F.col("name") == c, F.col(q))).alias(f"_{q}_{c}") for c in columns for q in names
+    ])
+
+
+def _sorted(long: DataFrame, key: list[str], probs: list[float]) -> DataFrame:
+    """Quantiles of groups that one task can sort: one shuffle, one sort."""
+    group = Window.partitionBy(*key)
+    ranked = long.withColumn("rn", F.row_number().over(group.orderBy("value")) - 1).withColumn("n", F.count("*").over(group))
+
+    def at(rank):
+        return F.max(F.when(F.col("rn") == rank, F.col("value")))
+
+    def rank(p: float):
+        return F.lit(float(p)) * (F.col("n") - 1)
 
-    The part of a group that is sorted holds about ``6 / accuracy`` of its rows.
-    """
+    picked = ranked.groupBy(*key).agg(F.first("n").alias("n"), *[
+        c for i, p in enumerate(probs) for c in (
+            at(F.floor(rank(p))).alias(f"a{i}"), at(F.least(F.floor(rank(p)) + 1, F.col("n") - 1)).alias(f"b{i}"),
+        )
+    ])
+
+    def value(i: int, p: float):
+        return F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (rank(p) - F.floor(rank(p)))
+
+    return picked.select(*key, *[value(i, p).alias(f"q{i}") for i, p in enumerate(probs)])
+
+
+def _bracketed(long: DataFrame, key: list[str], probs: list[float], accuracy: int) -> DataFrame:
+    """Quantiles of large groups; the part that is sorted holds about ``6 / accuracy`` of a group."""
     slack = 3.0 / accuracy
     edges = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
     n_probs = len(probs)
-    long = unpivot(df, by, columns)
-    key = [*by, "name"]
-
     sketch = long.groupBy(*key).agg(
         F.count("*").alias("n"), F.percentile_approx("value", edges, accuracy).alias("e")
     )

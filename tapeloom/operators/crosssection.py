@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapeloom import fixed
-from tapeloom.functions.quantiles import exact_quantiles
+from tapeloom.functions.quantiles import wide_quantiles
 
 
 def _back(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
@@ -24,10 +24,7 @@ def _back(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
 
 def winsorize(df: DataFrame, by: list[str], columns: list[str], p: float = 0.01, accuracy: int = 10_000) -> DataFrame:
     """Clip each column to its exact p and 1-p quantiles within ``by``."""
-    bounds = exact_quantiles(df, by, columns, [p, 1 - p], accuracy)
-    wide = bounds.groupBy(*by).agg(*[
-        F.max(F.when(F.col("name") == c, F.col(q))).alias(f"_{q}_{c}") for c in columns for q in ("q0", "q1")
-    ])
+    wide = wide_quantiles(df, by, columns, [p, 1 - p], accuracy=accuracy)
     joined = _back(df, wide, by)
     clipped = {
         c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"_q1_{c}")), F.col(f"_q0_{c}")))

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from tapeloom import fixed
 from tapeloom.functions.carry import with_previous
 from tapeloom.functions.columns import kept, price_order_broken
-from tapeloom.functions.quantiles import exact_quantiles, unpivot
+from tapeloom.functions.quantiles import wide_quantiles
 from tapeloom.operators.layers import bar_issues
 from tapeloom.operators.profile import frame_summary
 from tapeloom.operators.series import KEYS, returns
@@ -26,6 +26,14 @@ NUMERIC = ["open", "high", "low", "close", "volume", "turnover"]
 ISSUE = ["rule_name", "issue_type", "severity", "column", "affected_records", "total_records", "rate"]
 
 
+def with_keys(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Join statistics back; without keys they are a single row."""
+    if keys:
+        return df.join(stats, keys)
+    one = F.lit(1).alias("_one")
+    return df.select("*", one).join(F.broadcast(stats.select("*", one)), "_one").drop("_one")
+
+
 def _issue(rule: str, kind: str, column: Column, affected: Column, total: Column, severity) -> Column:
     rate = F.lit(1.0) - affected / total
     return F.struct(
@@ -81,17 +89,19 @@ def custom_rule(df: DataFrame, name: str, kind: str, ok: Column, threshold: floa
     return _checked(df, keys, [(name, kind, None, bad, _critical_below(threshold))])
 
 
-def consistency(df: DataFrame, keys: list[str] = SERIES, time: str = "datetime", chunk: str = "1 day") -> DataFrame:
+def consistency(df: DataFrame, keys: list[str] = SERIES, time: str = "datetime", chunk: str = "365 days") -> DataFrame:
     """Gaps off by more than half of the modal gap (ties: the smallest).
 
     Gaps are counted by length first, so the mode and the outliers come from that small table.
+    ``chunk`` cuts a series for the search of the previous row: a year of daily bars by default,
+    minutes for ticks.
     """
     before = with_previous(df.select(*keys, time), keys, [time], [time], chunk)
     gap = F.timestamp_diff("MICROSECOND", F.col(f"prev_{time}"), F.col(time))
     lengths = before.withColumn("_gap", gap).filter("_gap is not null").groupBy(*keys, "_gap").agg(F.count("*").alias("_c"))
     modal = F.min_by("_gap", F.struct(-F.col("_c"), "_gap"))
     modes = lengths.groupBy(*keys).agg(modal.alias("_mode"), F.sum("_c").alias("_n"))
-    joined = lengths.join(modes, keys) if keys else lengths.crossJoin(F.broadcast(modes))
+    joined = with_keys(lengths, modes, keys)
     off = F.abs(F.col("_gap") - F.col("_mode")) > F.col("_mode") * 0.5
     counted = joined.filter("_mode > 0").groupBy(*keys, "_n").agg(F.coalesce(F.sum(F.when(off, F.col("_c"))), F.lit(0)).alias("_b"))
     issue = _issue("time_consistency", "consistency", F.lit(None).cast("string"), F.col("_b"), F.col("_n"),
@@ -101,16 +111,15 @@ def consistency(df: DataFrame, keys: list[str] = SERIES, time: str = "datetime",
 
 def iqr_outliers(df: DataFrame, keys: list[str] = SERIES, columns: list[str] = NUMERIC, accuracy: int = 10_000) -> DataFrame:
     """Values beyond 1.5 interquartile ranges from the exact quartiles."""
-    quartiles = exact_quantiles(df, keys, columns, [0.25, 0.75], accuracy)
-    reach = (F.col("q1") - F.col("q0")) * 1.5
-    bounds = quartiles.select(*keys, "name", (F.col("q0") - reach).alias("lo"), (F.col("q1") + reach).alias("hi"))
-    totals = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    outside = (F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))
-    counted = unpivot(df, keys, columns).join(bounds, [*keys, "name"]).groupBy(*keys, "name").agg(F.count_if(outside).alias("_b"))
-    joined = (counted.join(totals, keys) if keys else counted.crossJoin(F.broadcast(totals))).filter("_b > 0")
-    issue = _issue("outliers", "validity", F.col("name"), F.col("_b"), F.col("_n"),
-                   lambda rate: F.when(rate > 0.9, "fair").otherwise("poor"))
-    return joined.select(*keys, F.inline(F.array(issue)))
+    bounds = wide_quantiles(df, keys, columns, [0.25, 0.75], accuracy=accuracy)
+    joined = with_keys(df.select(*keys, *columns), bounds, keys)
+
+    def outside(c: str) -> Column:
+        lo, hi = F.col(f"_q0_{c}"), F.col(f"_q1_{c}")
+        return (F.col(c) < lo - (hi - lo) * 1.5) | (F.col(c) > hi + (hi - lo) * 1.5)
+
+    fair_above = lambda rate: F.when(rate > 0.9, "fair").otherwise("poor")
+    return _checked(joined, keys, [("outliers", "validity", c, outside(c), fair_above) for c in columns])
 
 
 def empty_issue(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -148,7 +157,7 @@ def metrics(issues: DataFrame, df: DataFrame, keys: list[str] = SERIES, correcte
         F.count("*").alias("_issues"),
         *[F.sum(F.when(F.col("issue_type") == t, F.col("affected_records"))).alias(f"_{t}") for t in TYPES],
     )
-    joined = totals.join(sums, keys, "left") if keys else totals.crossJoin(F.broadcast(sums))
+    joined = totals.join(sums, keys, "left") if keys else with_keys(totals, sums, keys)
     clean = F.coalesce(F.col("_issues"), F.lit(0)) == 0
 
     def rate(t: str) -> Column:

