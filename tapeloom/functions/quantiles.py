@@ -15,11 +15,11 @@ from pyspark.sql.window import Window
 
 
 def unpivot(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Long form (by..., name, value) without nulls."""
+    """Long form (by..., name, _value) without nulls."""
     pairs = F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns
+        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("_value")) for c in columns
     ])
-    return df.select(*by, F.inline(pairs)).filter("value is not null")
+    return df.select(*by, F.inline(pairs)).filter("_value is not null")
 
 
 def exact_quantiles(
@@ -27,11 +27,13 @@ def exact_quantiles(
     direct_rows: int = 1_000_000,
 ) -> DataFrame:
     """One row per (by..., name) with the linear-interpolated quantiles ``q0, q1, ...``."""
+    if "name" in by:
+        raise ValueError("a grouping column may not be called 'name'")
     long = unpivot(df, by, columns)
     key = [*by, "name"]
     counts = df.groupBy(*by).agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)])
-    sizes = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"_n{i}").alias("n")) for i, c in enumerate(columns)])
-    large = counts.select(*by, F.inline(sizes)).filter(F.col("n") > direct_rows).select(*key)
+    sizes = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"_n{i}").alias("_n")) for i, c in enumerate(columns)])
+    large = counts.select(*by, F.inline(sizes)).filter(F.col("_n") > direct_rows).select(*key)
     small_rows = long.join(F.broadcast(large), key, "left_anti")
     large_rows = long.join(F.broadcast(large), key, "left_semi")
     return _sorted(small_rows, key, probs).unionByName(_bracketed(large_rows, key, probs, accuracy))
@@ -48,22 +50,22 @@ def wide_quantiles(df: DataFrame, by: list[str], columns: list[str], probs: list
 def _sorted(long: DataFrame, key: list[str], probs: list[float]) -> DataFrame:
     """Quantiles of groups that one task can sort: one shuffle, one sort."""
     group = Window.partitionBy(*key)
-    ranked = long.withColumn("rn", F.row_number().over(group.orderBy("value")) - 1).withColumn("n", F.count("*").over(group))
+    ranked = long.withColumn("_rn", F.row_number().over(group.orderBy("_value")) - 1).withColumn("_n", F.count("*").over(group))
 
     def at(rank):
-        return F.max(F.when(F.col("rn") == rank, F.col("value")))
+        return F.max(F.when(F.col("_rn") == rank, F.col("_value")))
 
     def rank(p: float):
-        return F.lit(float(p)) * (F.col("n") - 1)
+        return F.lit(float(p)) * (F.col("_n") - 1)
 
-    picked = ranked.groupBy(*key).agg(F.first("n").alias("n"), *[
+    picked = ranked.groupBy(*key).agg(F.first("_n").alias("_n"), *[
         c for i, p in enumerate(probs) for c in (
-            at(F.floor(rank(p))).alias(f"a{i}"), at(F.least(F.floor(rank(p)) + 1, F.col("n") - 1)).alias(f"b{i}"),
+            at(F.floor(rank(p))).alias(f"_a{i}"), at(F.least(F.floor(rank(p)) + 1, F.col("_n") - 1)).alias(f"_b{i}"),
         )
     ])
 
     def value(i: int, p: float):
-        return F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (rank(p) - F.floor(rank(p)))
+        return F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (rank(p) - F.floor(rank(p)))
 
     return picked.select(*key, *[value(i, p).alias(f"q{i}") for i, p in enumerate(probs)])
 
@@ -74,47 +76,49 @@ def _bracketed(long: DataFrame, key: list[str], probs: list[float], accuracy: in
     edges = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
     n_probs = len(probs)
     sketch = long.groupBy(*key).agg(
-        F.count("*").alias("n"), F.percentile_approx("value", edges, accuracy).alias("e")
+        F.count("*").alias("_n"), F.percentile_approx("_value", edges, accuracy).alias("_e")
     )
     wanted = F.array(*[
         F.struct(
-            F.lit(i).alias("i"), F.col("e")[i].alias("lo"), F.col("e")[i + n_probs].alias("hi"),
-            (F.lit(float(p)) * (F.col("n") - 1)).alias("h"),
+            F.lit(i).alias("_i"), F.col("_e")[i].alias("_lo"), F.col("_e")[i + n_probs].alias("_hi"),
+            (F.lit(float(p)) * (F.col("_n") - 1)).alias("_h"),
         )
         for i, p in enumerate(probs)
     ])
-    cuts = sketch.select(*key, "n", F.inline(wanted)).withColumn("k", F.floor("h"))
-    cuts = cuts.withColumn("k2", F.least(F.col("k") + 1, F.col("n") - 1))
-
-    part = F.when(F.col("value") < F.col("lo"), 0).when(F.col("value") <= F.col("hi"), 1).otherwise(2)
-    placed = long.join(cuts.select(*key, "i", "lo", "hi"), key).select(*key, "i", part.alias("part"), "value")
-    sizes = placed.groupBy(*key, "i").agg(
-        F.count_if(F.col("part") == 0).alias("n0"), F.count_if(F.col("part") == 1).alias("n1")
+    cuts = sketch.select(*key, "_n", F.inline(wanted)).withColumn("_k", F.floor("_h"))
+    cuts = cuts.withColumn("_k2", F.least(F.col("_k") + 1, F.col("_n") - 1))
+
+    # One row per large group and probability: as few as rows / direct_rows, so it is broadcast
+    # and the large groups themselves are never shuffled by key.
+    part = F.when(F.col("_value") < F.col("_lo"), 0).when(F.col("_value") <= F.col("_hi"), 1).otherwise(2)
+    placed = long.join(F.broadcast(cuts.select(*key, "_i", "_lo", "_hi")), key).select(*key, "_i", part.alias("_part"), "_value")
+    sizes = placed.groupBy(*key, "_i").agg(
+        F.count_if(F.col("_part") == 0).alias("_n0"), F.count_if(F.col("_part") == 1).alias("_n1")
     )
 
     def part_of(rank: str):
-        return F.when(F.col(rank) < F.col("n0"), 0).when(F.col(rank) < F.col("n0") + F.col("n1"), 1).otherwise(2)
+        return F.when(F.col(rank) < F.col("_n0"), 0).when(F.col(rank) < F.col("_n0") + F.col("_n1"), 1).otherwise(2)
 
-    target = cuts.join(sizes, [*key, "i"]).select(
-        *key, "i", "h", "k", "k2", "n0", "n1", "lo", "hi", part_of("k").alias("p1"), part_of("k2").alias("p2")
+    target = cuts.join(sizes, [*key, "_i"]).select(
+        *key, "_i", "_h", "_k", "_k2", "_n0", "_n1", "_lo", "_hi", part_of("_k").alias("_p1"), part_of("_k2").alias("_p2")
     )
     inside = (
-        long.join(target, key).withColumn("part", part)
-        .filter((F.col("part") >= F.col("p1")) & (F.col("part") <= F.col("p2")))
-        .groupBy(*key, "i", "value").agg(
-            F.count("*").alias("c"),
-            *[F.first(x).alias(x) for x in ("h", "k", "k2", "n0", "n1", "p1")],
+        long.join(F.broadcast(target), key).withColumn("_part", part)
+        .filter((F.col("_part") >= F.col("_p1")) & (F.col("_part") <= F.col("_p2")))
+        .groupBy(*key, "_i", "_value").agg(
+            F.count("*").alias("_c"),
+            *[F.first(x).alias(x) for x in ("_h", "_k", "_k2", "_n0", "_n1", "_p1")],
         )
     )
-    before = F.when(F.col("p1") == 0, 0).when(F.col("p1") == 1, F.col("n0")).otherwise(F.col("n0") + F.col("n1"))
-    upto = before + F.sum("c").over(Window.partitionBy(*key, "i").orderBy("value"))
-    ranked = inside.withColumn("upto", upto)
-    found = ranked.groupBy(*key, "i").agg(
-        F.min(F.when(F.col("upto") > F.col("k"), F.col("value"))).alias("v1"),
-        F.min(F.when(F.col("upto") > F.col("k2"), F.col("value"))).alias("v2"),
-        F.first(F.col("h") - F.col("k")).alias("frac"),
+    before = F.when(F.col("_p1") == 0, 0).when(F.col("_p1") == 1, F.col("_n0")).otherwise(F.col("_n0") + F.col("_n1"))
+    upto = before + F.sum("_c").over(Window.partitionBy(*key, "_i").orderBy("_value"))
+    ranked = inside.withColumn("_upto", upto)
+    found = ranked.groupBy(*key, "_i").agg(
+        F.min(F.when(F.col("_upto") > F.col("_k"), F.col("_value"))).alias("_v1"),
+        F.min(F.when(F.col("_upto") > F.col("_k2"), F.col("_value"))).alias("_v2"),
+        F.first(F.col("_h") - F.col("_k")).alias("_frac"),
     )
-    value = F.col("v1") + (F.col("v2") - F.col("v1")) * F.col("frac")
+    value = F.col("_v1") + (F.col("_v2") - F.col("_v1")) * F.col("_frac")
     return found.groupBy(*key).agg(
-        *[F.max(F.when(F.col("i") == i, value)).alias(f"q{i}") for i in range(n_probs)]
+        *[F.max(F.when(F.col("_i") == i, value)).alias(f"q{i}") for i in range(n_probs)]
     )

@@ -25,6 +25,7 @@ def bars_of(spark):
         rows = []
         for symbol, values in closes.items():
             for i, c in enumerate(values):
+                c = None if c is None else float(c)
                 day = dt.datetime(2024, 1, 1) + dt.timedelta(days=i)
                 rows.append((symbol, "SSE", "1d", day, c, c, c, c, 100.0, 1000.0, 0.0))
         schema = (
