@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,11 +41,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared folder of the session."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the reliable checkpoint folder.
+    """Cut the lineage through a table in the shared folder.
 
-    Used where one reduced frame feeds many branches, so that a lost executor re-reads a
-    file and does not redo the scan and the windows.
+    Used where one reduced frame feeds many branches: the frame is computed once, a lost
+    executor re-reads a file and does not redo the scan and the windows, and the branches
+    read only their columns.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.operators.upsert import upsert
-from tapeloom.session import materialize, shared_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared folder of the session."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from tapeloom.session import materialize, scratch_path  # noqa: F401 - scratch_path is part of this module's surface
 
 
 def with_period(df: DataFrame, time: str, monthly: bool = True) -> DataFrame:
