@@ -1,4 +1,4 @@
-"""Lineage over an edge table: neighbours, closure, paths, impact, retention of edges per dataset."""
+"""Lineage over an edge table: neighbours, closure, paths, impact, edges of a dataset."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom import fixed
+from tapeloom.functions.columns import kept
 from tapeloom.session import materialize
 
 
@@ -19,25 +20,19 @@ def neighbors(edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, max_depth: int = 1000) -> DataFrame:
     """(root, node) for everything reachable from each root; a root is never its own descendant.
 
-    Level by level: the frontier joins the edges, pairs already known are dropped, and each
-    level is checkpointed, so the plan stays short and cycles end.
+    Level by level: the newest pairs join the edges, pairs already known are dropped, and each
+    level is written to the shared folder, so the plan stays short and cycles end.
     """
     steps = materialize(edges.select("source_id", "target_id").distinct())
     frontier = steps.filter("source_id <> target_id").select(F.col("source_id").alias("root"), F.col("target_id").alias("node"))
-    levels = [materialize(frontier)]
+    known = level = materialize(frontier)
     for _ in range(max_depth):
-        reached = levels[-1].join(steps, F.col("node") == F.col("source_id")).select("root", F.col("target_id").alias("node"))
-        fresh = reached.filter("root <> node").distinct()
-        for known in levels:
-            fresh = fresh.join(known, ["root", "node"], "left_anti")
-        fresh = materialize(fresh)
-        if fresh.isEmpty():
+        reached = level.join(steps, F.col("node") == F.col("source_id")).select("root", F.col("target_id").alias("node"))
+        level = materialize(reached.filter("root <> node").distinct().join(known, ["root", "node"], "left_anti"))
+        if level.isEmpty():
             break
-        levels.append(fresh)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.union(level)
-    return out
+        known = known.union(level)
+    return known
 
 
 def paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int = 10) -> DataFrame:
@@ -73,8 +68,6 @@ def impact(edges: DataFrame, reach: DataFrame) -> DataFrame:
 
 def advise(impacts: DataFrame) -> DataFrame:
     """Advice texts for wide impact, many dependencies, no use."""
-    from tapeloom.functions.columns import kept
-
     return impacts.withColumn("recommendations", kept(
         (F.col("total_impact") > 10, fixed.ADVICE_WIDE_IMPACT),
         (F.col("total_dependencies") > 5, fixed.ADVICE_MANY_DEPENDENCIES),
@@ -99,8 +92,6 @@ def dataset_impact(nodes: DataFrame, edges: DataFrame, reach: DataFrame) -> Data
 
 def provider_impact(datasets: DataFrame) -> DataFrame:
     """Datasets per provider (dataset_id, provider), with advice."""
-    from tapeloom.functions.columns import kept
-
     counted = datasets.groupBy("provider").agg(F.count_distinct("dataset_id").alias("total_impact"))
     return counted.withColumn("recommendations", kept(
         (F.col("total_impact") > 20, fixed.ADVICE_PROVIDER_WIDE), (F.col("total_impact") == 0, fixed.ADVICE_PROVIDER_UNUSED),

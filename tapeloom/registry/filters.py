@@ -121,6 +121,19 @@ QUERIES = {
     "count_duplicates": on_tables(lambda t: normalize.count_duplicates(t.raw("lineitem").select("l_orderkey", "l_linenumber"))),
     "distinct_values": on_tables(lambda t: summaries.distinct_values(
         t.reports(), ["symbol"], "institution", "institutions").select("symbol", F.array_join("institutions", ",").alias("institutions"))),
+    "scalar_math": on_tables(lambda t: t.fundamentals().select(
+        "symbol", "date", F.round(F.ln(F.col("market_cap") + 1e-8), 9).alias("log_cap"), F.round(F.exp(F.col("pe_ttm") / 50), 9).alias("e"),
+        F.round(F.sqrt("pb_ratio"), 9).alias("root"), F.greatest(F.lit(10.0), F.least(F.lit(40.0), F.col("ps_ratio"))).alias("clipped"))),
+    "scalar_text": on_tables(lambda t: t.raw("customer").select(
+        "c_custkey", F.lower("c_name").alias("lowered"), F.contains(F.lower("c_name"), F.lit("#00000001")).alias("has"),
+        F.startswith("c_mktsegment", F.lit("B")).alias("starts"), F.replace("c_name", F.lit("#"), F.lit("-")).alias("replaced"),
+        F.array_join(F.split("c_name", "#"), "/").alias("rejoined"))),
+    "scalar_date": on_tables(lambda t: t.raw("events").select(
+        "event_id", F.year("ts").alias("y"), F.month("ts").alias("m"), F.weekday("ts").alias("w"), F.to_date("ts").alias("d"),
+        F.date_add(F.to_date("ts"), -30).alias("back"), F.date_format("ts", "yyyyMMdd").alias("text"))),
+    "scalar_map": on_tables(lambda t: t.ods_fundamental().select(
+        "symbol", "date", fx.item("raw_data", "pe_ratio").alias("pe"), fx.item("raw_data", "pcf_ratio").alias("absent"),
+        F.array_contains(F.map_keys("raw_data"), "ps_ratio").alias("has_ps"))),
     "schema_diff": on_tables(lambda t: normalize.schema_diff(t.bars(), ["symbol", "exchange", "datetime", "close", "vwap", "amount"])),
 }
 
@@ -202,6 +215,14 @@ ORACLE = {
     "dedup_keep_last": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM (SELECT *, row_number() OVER "
         "(PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM lineitem) WHERE rn = 1",
     "count_duplicates": "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS duplicate_count FROM lineitem",
+    "scalar_math": sql(
+        "SELECT symbol, date, round(ln(market_cap + 1e-8), 9) AS log_cap, round(exp(pe_ttm / 50), 9) AS e, round(sqrt(pb_ratio), 9) AS root, "
+        "greatest(10e0, least(40e0, ps_ratio)) AS clipped FROM fundamentals", "fundamentals"),
+    "scalar_text": "SELECT c_custkey, lower(c_name) AS lowered, contains(lower(c_name), '#00000001') AS has, starts_with(c_mktsegment, 'B') AS starts, "
+        "replace(c_name, '#', '-') AS replaced, replace(c_name, '#', '/') AS rejoined FROM customer",
+    "scalar_date": "SELECT event_id, year(ts) AS y, month(ts) AS m, isodow(ts) - 1 AS w, CAST(ts AS DATE) AS d, CAST(ts AS DATE) - 30 AS back, "
+        "strftime(ts, '%Y%m%d') AS text FROM events",
+    "scalar_map": sql("SELECT symbol, date, pe_ratio AS pe, 0e0 AS absent, true AS has_ps FROM fundamentals", "fundamentals"),
     "distinct_values": sql(
         "SELECT symbol, array_to_string(list_sort(list(DISTINCT institution)), ',') AS institutions FROM reports WHERE institution <> '' GROUP BY 1",
         "reports"),

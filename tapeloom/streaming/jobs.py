@@ -18,6 +18,7 @@ from tapeloom.operators.normalize import dedup_keep_last
 from tapeloom.operators.resample import MINUTES
 from tapeloom.operators.upsert import BAR_KEY
 from tapeloom.sinks import tables as sinks
+from tapeloom.sources.scans import recent_rows
 
 TICK_SERIES = ["exchange", "symbol"]
 
@@ -87,6 +88,11 @@ def upsert_batches(stream: DataFrame, path: str, checkpoint: str, partitions: li
     return for_each_batch(stream, merge, checkpoint)
 
 
+def cold_start(history: DataFrame, rows: int = 100) -> DataFrame:
+    """What a new table begins with: the last rows of every series."""
+    return recent_rows(history, rows)
+
+
 def upsert_latest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep a table of the newest bar per series, one version folder per batch."""
 
@@ -106,6 +112,7 @@ def alert_batches(stream: DataFrame, rules: DataFrame, path: str, checkpoint: st
 
     def judge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()
         judged = batch.join(F.broadcast(rules), "name").withColumn("breach", metric_ops.breached())
         rank = F.struct("timestamp", "event_id")
         edge = judged.groupBy("rule").agg(
@@ -125,5 +132,6 @@ def alert_batches(stream: DataFrame, rules: DataFrame, path: str, checkpoint: st
         kept.union(resolved).write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
         after = before.join(edge, "rule", "full").select("rule", F.coalesce("last", "held").alias("breach"))
         after.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+        batch.unpersist()
 
     return for_each_batch(stream, judge, checkpoint)
