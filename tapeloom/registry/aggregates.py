@@ -50,13 +50,13 @@ QUERIES = {
     "frame_summary": on_tables(lambda t: profile.frame_summary(t.prices(), "price").select(
         "data_type", "total_records", "total_columns", "start", "end", "symbol_count", r("missing_ratio", 9), "duplicate_count")),
     "sentiment_summary": on_tables(lambda t: summaries.sentiment_summary(t.news()).select(
-        "symbol", "total_count", "positive_count", "negative_count", "neutral_count", r("avg_sentiment_score", 8), r("avg_confidence", 8))),
+        "symbol", "total_count", "positive_count", "negative_count", "neutral_count", r("avg_sentiment_score", 11), r("avg_confidence", 11))),
     "flow_summary": on_tables(lambda t: summaries.flow_summary(t.flows()).select(
-        "symbol", r("total_net_amount", 2), r("total_inflow", 2), r("total_outflow", 2), r("avg_turnover_rate", 8), "inflow_days", "outflow_days")),
+        "symbol", r("total_net_amount", 2), r("total_inflow", 2), r("total_outflow", 2), r("avg_turnover_rate", 11), "inflow_days", "outflow_days")),
     "report_summary": on_tables(lambda t: summaries.report_summary(t.reports()).select(
-        "symbol", "total_count", "buy_count", "sell_count", "hold_count", r("avg_target_price", 6), F.array_join("institutions", ",").alias("institutions"))),
+        "symbol", "total_count", "buy_count", "sell_count", "hold_count", F.round(F.col("avg_target_price") + OFF_TIE, 6).alias("avg_target_price"), F.array_join("institutions", ",").alias("institutions"))),
     "theme_summary": on_tables(lambda t: summaries.theme_summary(t.themes()).select(
-        "symbol", "total_count", "concept_count", "sector_count", "industry_count", r("avg_weight", 8),
+        "symbol", "total_count", "concept_count", "sector_count", "industry_count", r("avg_weight", 11),
         F.array_join(F.transform("top_themes", lambda x: x["theme_name"]), ",").alias("top_themes"))),
     "top_trader_summary": on_tables(lambda t: summaries.top_trader_summary(t.top_traders()).select(
         "symbol", "total_count", r("total_buy_amount", 2), r("total_sell_amount", 2), r("total_net_amount", 2), F.round(F.col("avg_turnover_rate") + OFF_TIE, 6).alias("avg_turnover_rate"),
@@ -147,19 +147,19 @@ ORACLE = {
         "count(DISTINCT symbol) AS symbol_count, 0e0 AS missing_ratio, 0 AS duplicate_count FROM prices", "prices"),
     "sentiment_summary": sql(
         "SELECT symbol, count(*) AS total_count, " + ", ".join(f"count(*) FILTER (sentiment = '{s}') AS {s}_count" for s in ("positive", "negative", "neutral"))
-        + f", {rq('avg(sentiment_score)', 8, 'avg_sentiment_score')}, {rq('avg(confidence)', 8, 'avg_confidence')} FROM news WHERE confidence >= 0.5 GROUP BY 1", "news"),
+        + f", {rq('avg(sentiment_score)', 11, 'avg_sentiment_score')}, {rq('avg(confidence)', 11, 'avg_confidence')} FROM news WHERE confidence >= 0.5 GROUP BY 1", "news"),
     "flow_summary": sql(
         f"SELECT symbol, {rq('sum(net_amount)', 2, 'total_net_amount')}, {rq('sum(inflow_amount)', 2, 'total_inflow')}, {rq('sum(outflow_amount)', 2, 'total_outflow')}, "
-        f"{rq('avg(turnover_rate)', 8, 'avg_turnover_rate')}, count(*) FILTER (direction = 'inflow') AS inflow_days, "
+        f"{rq('avg(turnover_rate)', 11, 'avg_turnover_rate')}, count(*) FILTER (direction = 'inflow') AS inflow_days, "
         "count(*) FILTER (direction = 'outflow') AS outflow_days FROM flows GROUP BY 1", "flows"),
     "report_summary": sql(
         "SELECT symbol, count(*) AS total_count, count(*) FILTER (rating IN ('buy', 'strong_buy')) AS buy_count, "
         "count(*) FILTER (rating IN ('sell', 'strong_sell')) AS sell_count, count(*) FILTER (rating = 'hold') AS hold_count, "
-        f"{rq('coalesce(avg(target_price), 0)', 6, 'avg_target_price')}, coalesce(array_to_string(list_sort(list(DISTINCT institution) "
+        f"{rq(f'coalesce(avg(target_price), 0) + {OFF_TIE}', 6, 'avg_target_price')}, coalesce(array_to_string(list_sort(list(DISTINCT institution) "
         "FILTER (institution <> '')), ','), '') AS institutions FROM reports GROUP BY 1", "reports"),
     "theme_summary": sql(
         "SELECT symbol, count(*) AS total_count, " + ", ".join(f"count(*) FILTER (theme_type = '{k}') AS {k}_count" for k in ("concept", "sector", "industry"))
-        + f", {rq('avg(weight)', 8, 'avg_weight')}, array_to_string(list(theme_name ORDER BY weight DESC, theme_name, theme_id)[1:5], ',') AS top_themes "
+        + f", {rq('avg(weight)', 11, 'avg_weight')}, array_to_string(list(theme_name ORDER BY weight DESC, theme_name, theme_id)[1:5], ',') AS top_themes "
         "FROM themes GROUP BY 1", "themes"),
     "top_trader_summary": sql(
         f"SELECT symbol, count(*) AS total_count, {rq('sum(buy_amount)', 2, 'total_buy_amount')}, {rq('sum(sell_amount)', 2, 'total_sell_amount')}, "
