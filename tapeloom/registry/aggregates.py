@@ -10,9 +10,19 @@ from tapeloom.registry.base_sql import sql
 from tapeloom.registry.common import on_tables, r, rq
 from tapeloom.registry.joins import CODES
 
-# Sums of prices in 1/32 of a cent often end in an exact 5; a small shift keeps the two
-# engines' summation noise away from the rounding edge.
-OFF_TIE = 1.2345678e-4
+# Means and sums of prices in 1/32 of a cent often end in an exact 5. Both engines round such a
+# column on a grid moved by this much, so summation noise does not sit on a rounding edge.
+OFF_TIE = "1.2345678e-4"
+
+
+def off_tie(c: str, digits: int):
+    return (F.round(F.col(c) + float(OFF_TIE), digits) - float(OFF_TIE)).alias(c)
+
+
+def off_tie_sql(expr: str, digits: int, out: str) -> str:
+    return f"round({expr} + {OFF_TIE}, {digits}) - {OFF_TIE} AS {out}"
+
+
 _OHLCV = ["open", "high", "low", "close", "volume"]
 _PARTS = ("1m", "5m", "15m", "1h", "1d", "1w", "1mo")
 
@@ -38,7 +48,7 @@ def _docs_week_month(t):
 QUERIES = {
     "resample_ohlcv": on_tables(_all_targets),
     "resample_turnover_default": on_tables(lambda t: resample.resample(t.bars().drop("turnover", "open_interest"), "1mo").select(
-        "symbol", "datetime", "close", F.round(F.col("turnover") + OFF_TIE, 3).alias("turnover"), "open_interest")),
+        "symbol", "datetime", "close", off_tie("turnover", 3), "open_interest")),
     "weekly_monthly_docs": on_tables(_docs_week_month),
     "count_by_symbol": on_tables(lambda t: t.bars().groupBy("symbol").agg(F.count("*").alias("n"))),
     "avg_close_by_symbol": on_tables(lambda t: t.bars().groupBy("symbol").agg(F.avg("close").alias("c")).select("symbol", r("c", 6, "avg_close"))),
@@ -54,12 +64,12 @@ QUERIES = {
     "flow_summary": on_tables(lambda t: summaries.flow_summary(t.flows()).select(
         "symbol", r("total_net_amount", 2), r("total_inflow", 2), r("total_outflow", 2), r("avg_turnover_rate", 11), "inflow_days", "outflow_days")),
     "report_summary": on_tables(lambda t: summaries.report_summary(t.reports()).select(
-        "symbol", "total_count", "buy_count", "sell_count", "hold_count", F.round(F.col("avg_target_price") + OFF_TIE, 6).alias("avg_target_price"), F.array_join("institutions", ",").alias("institutions"))),
+        "symbol", "total_count", "buy_count", "sell_count", "hold_count", off_tie("avg_target_price", 6), F.array_join("institutions", ",").alias("institutions"))),
     "theme_summary": on_tables(lambda t: summaries.theme_summary(t.themes()).select(
         "symbol", "total_count", "concept_count", "sector_count", "industry_count", r("avg_weight", 11),
         F.array_join(F.transform("top_themes", lambda x: x["theme_name"]), ",").alias("top_themes"))),
     "top_trader_summary": on_tables(lambda t: summaries.top_trader_summary(t.top_traders()).select(
-        "symbol", "total_count", r("total_buy_amount", 2), r("total_sell_amount", 2), r("total_net_amount", 2), F.round(F.col("avg_turnover_rate") + OFF_TIE, 6).alias("avg_turnover_rate"),
+        "symbol", "total_count", r("total_buy_amount", 2), r("total_sell_amount", 2), r("total_net_amount", 2), off_tie("avg_turnover_rate", 6),
         r("avg_price_change", 8))),
     "index_concentration": on_tables(lambda t: summaries.index_concentration(t.index_members()).select(
         "index_code", "total_components", *[r(c, 9) for c in _CONC])),
@@ -124,7 +134,7 @@ ORACLE = {
     "resample_ohlcv": sql(" UNION ALL ".join(_resampled(k, v) for k, v in _LABEL.items()), "ticks"),
     "resample_turnover_default": sql(
         "SELECT symbol, CAST(m AS TIMESTAMP) AS datetime, arg_max(close, datetime) AS close, "
-        f"{rq(f'sum(close * volume) + {OFF_TIE}', 3, 'turnover')}, 0e0 AS open_interest FROM (SELECT *, date_trunc('month', datetime) AS m FROM bars) "
+        f"{off_tie_sql('sum(close * volume)', 3, 'turnover')}, 0e0 AS open_interest FROM (SELECT *, date_trunc('month', datetime) AS m FROM bars) "
         "GROUP BY symbol, m", "bars"),
     "weekly_monthly_docs": sql(
         _resampled("week", _LABEL["1w"], "bars", False, "label") + " UNION ALL " + _resampled("month", "last_day(datetime)", "bars", False, "label"), "bars"),
@@ -155,7 +165,7 @@ ORACLE = {
     "report_summary": sql(
         "SELECT symbol, count(*) AS total_count, count(*) FILTER (rating IN ('buy', 'strong_buy')) AS buy_count, "
         "count(*) FILTER (rating IN ('sell', 'strong_sell')) AS sell_count, count(*) FILTER (rating = 'hold') AS hold_count, "
-        f"{rq(f'coalesce(avg(target_price), 0) + {OFF_TIE}', 6, 'avg_target_price')}, coalesce(array_to_string(list_sort(list(DISTINCT institution) "
+        f"{off_tie_sql('coalesce(avg(target_price), 0)', 6, 'avg_target_price')}, coalesce(array_to_string(list_sort(list(DISTINCT institution) "
         "FILTER (institution <> '')), ','), '') AS institutions FROM reports GROUP BY 1", "reports"),
     "theme_summary": sql(
         "SELECT symbol, count(*) AS total_count, " + ", ".join(f"count(*) FILTER (theme_type = '{k}') AS {k}_count" for k in ("concept", "sector", "industry"))
@@ -163,7 +173,7 @@ ORACLE = {
         "FROM themes GROUP BY 1", "themes"),
     "top_trader_summary": sql(
         f"SELECT symbol, count(*) AS total_count, {rq('sum(buy_amount)', 2, 'total_buy_amount')}, {rq('sum(sell_amount)', 2, 'total_sell_amount')}, "
-        f"{rq('sum(net_amount)', 2, 'total_net_amount')}, {rq(f'avg(turnover_rate) + {OFF_TIE}', 6, 'avg_turnover_rate')}, {rq('avg(price_change)', 8, 'avg_price_change')} "
+        f"{rq('sum(net_amount)', 2, 'total_net_amount')}, {off_tie_sql('avg(turnover_rate)', 6, 'avg_turnover_rate')}, {rq('avg(price_change)', 8, 'avg_price_change')} "
         "FROM top_traders GROUP BY 1", "top_traders"),
     "index_concentration": sql(
         "SELECT index_code, count(*) AS total_components, " + ", ".join(rq(e, 9, n) for e, n in (
