@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import length_buckets, mixing, neardup, quality, toxicity
+from tapeloom.llm import fingerprints, length_buckets, mixing, neardup, neighbours, oracle, quality, token_packing, toxicity, urls, warc
 from tapeloom.llm.tables import held_out, read
 
 
@@ -22,6 +22,20 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_report(read(spark, sf_dir, "documents"))
+
+
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages against a replica with seeded faults."""
+    records = warc.records(read(spark, sf_dir, "pages"))
+    return warc.audit(records, warc.damaged_copy(records))
+
+
+def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -33,11 +47,23 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
 def op9_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_buckets.batches(read(spark, sf_dir, "documents"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicates, op2_toxicity, op6_mixing, op7_quality, op9_length_buckets)
+    f.__name__: f
+    for f in (
+        op1_near_duplicates, op2_toxicity, op3_fingerprints, op4_warc_fixity, op5_token_packing, op6_mixing, op7_quality, op8_url_filter,
+        op9_length_buckets, op10_neighbours,
+    )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_warc_fixity": oracle.WARC, "op6_mixing": oracle.MIXING}
