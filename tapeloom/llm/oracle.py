@@ -15,12 +15,12 @@ WITH d AS (
   FROM documents),
 s AS (SELECT skey, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM d GROUP BY skey),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, {mixing.MAX_REPEAT} * source_size AS cap FROM s),
-l AS (SELECT *, row_number() OVER o AS at,
+l AS (SELECT *, row_number() OVER o AS pos,
     (sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
       / (sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
   FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
-f AS (SELECT min(at) AS first FROM l WHERE level <= cap / w),
-t AS (SELECT skey, source_size, least(cap::DOUBLE, (SELECT level FROM l, f WHERE at = first) * w) AS target FROM l),
+f AS (SELECT min(pos) AS first_pos FROM l WHERE level <= cap / w),
+t AS (SELECT skey, source_size, least(cap::DOUBLE, (SELECT level FROM l, f WHERE pos = first_pos) * w) AS target FROM l),
 n AS (SELECT floor(sum(source_size) / {mixing.BLOCK_WORDS} + 0.5)::BIGINT AS seats FROM t),
 q AS (SELECT skey, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, skey, k) AS place
   FROM t, n, range(0, n.seats + 1) AS r(k) WHERE target > 0),
