@@ -213,10 +213,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Among several rows of one id the text of smallest digest stays. Rows without an id all stay.
     """
-    found = classes(docs.select("doc_id", "text"), **options).filter("doc_id = class_id").select(F.col("doc_id").alias("_kept"))
-    with_id = docs.filter("doc_id is not null").join(found, F.col("doc_id") == F.col("_kept"), "left_semi")
-    again = with_id.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min(F.xxhash64("text")).alias("_first")).filter("_n > 1")
-    marked = with_id.join(again.select(F.col("doc_id").alias("_again"), "_first"), F.col("doc_id") == F.col("_again"), "left")
-    once = marked.filter("_again is null").drop("_again", "_first")
-    repeated = marked.filter("_again is not null and xxhash64(text) = _first").drop("_again", "_first").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.filter("doc_id is null"))
+    found = classes(docs.select("doc_id", "text"), **options).filter("doc_id = class_id").select(F.col("doc_id").alias("id"))
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    with_id = packed.filter("id is not null").join(found, "id", "left_semi")
+    again = with_id.groupBy("id").agg(F.count("*").alias("n"), F.min("h").alias("first")).filter("n > 1").select("id", "first")
+    marked = with_id.join(again, "id", "left")
+    repeated = marked.filter("h = first").dropDuplicates(["id"])
+    kept = marked.filter("first is null").select("row").unionByName(repeated.select("row")).unionByName(packed.filter("id is null").select("row"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -51,7 +51,7 @@ WARC = f"""
 WITH r AS (
   SELECT page_id AS record_id, {_HEAD} || page_id || '>' || {_EOL} || 'WARC-Target-URI: ' || coalesce(url, '') || {_EOL}
     || 'Content-Type: text/html' || {_EOL} || 'Content-Length: ' || strlen(coalesce(html, '')) || {_EOL} || {_EOL}
-    || coalesce(html, '') || {_EOL} || {_EOL} AS record,
+    || coalesce(html, '') AS record,
     ('0x' || substr(md5('fixity-1:' || page_id), 1, 2))::INT AS draw
   FROM pages),
 o AS (SELECT *, page_id // {warc.RECORDS_PER_ARCHIVE} AS archive, strlen(record)::BIGINT AS bytes FROM (SELECT *, record_id AS page_id FROM r)),

@@ -21,7 +21,7 @@ from tapeloom.llm.tables import materialize
 
 RECORDS_PER_ARCHIVE = 1_024
 FANOUT = 64
-#: Fixed lines of a record; the length of the payload stands between them and the payload.
+#: How a record begins, and what follows it in a file.
 HEAD, TAIL = "WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:", "\r\n\r\n"
 
 
@@ -29,7 +29,7 @@ def record_text(page_id: Column, url: Column, html: Column) -> Column:
     body = F.coalesce(html, F.lit(""))
     return F.concat(
         F.lit(HEAD), page_id.cast("string"), F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
-        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit(TAIL))
+        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body)
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -43,16 +43,19 @@ def archive_of(record_id: str = "record_id") -> Column:
 
 
 def write_warc(rows: DataFrame, path: str) -> None:
-    """One folder per archive below path; its part files, in name order, are the records byte by byte."""
+    """One folder per archive below path; its part files, in name order, are the records byte by byte, each followed by TAIL."""
     (
         rows.withColumn("archive", archive_of()).repartitionByRange("archive", "record_id").sortWithinPartitions("archive", "record_id")
-        .select("archive", "record").write.partitionBy("archive").option("lineSep", "").option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path))
+        .select("archive", "record").write.partitionBy("archive").option("lineSep", TAIL).option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, record) of WARC files written as above; a file splits at record heads, so large files are read in parallel."""
+    """(record_id, record) of WARC files written as above; a file splits at record heads, so large files are read in parallel.
+
+    A payload that itself holds HEAD would be taken for two records.
+    """
     lines = spark.read.option("lineSep", HEAD).text(path).filter("value <> ''")
-    body = F.concat(F.lit(HEAD), F.col("value"))
+    body = F.concat(F.lit(HEAD), F.expr(f"substring(value, 1, length(value) - {len(TAIL)})"))
     return lines.select(F.substring_index("value", ">", 1).try_cast("long").alias("record_id"), body.alias("record"))
 
 
