@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapeloom.functions.quantiles import matched
+
 
 def with_previous(
     df: DataFrame, keys: list[str], order: list[str], columns: list[str], chunk: str = "1 minute",
@@ -27,6 +29,6 @@ def with_previous(
     tails = chunked.groupBy(*keys, "_chunk").agg(F.max_by(row, rank).alias("_tail"))
     by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
     tails = tails.select(*keys, "_chunk", F.lag("_tail").over(by_chunk).alias("_carried"))
-    joined = local.join(tails, [*keys, "_chunk"], "left")
+    joined = matched(local, tails, [*keys, "_chunk"], "left")
     prev = F.coalesce("_prev", "_carried")
     return joined.select(*df.columns, *[prev[c].alias(f"{prefix}{c}") for c in columns])

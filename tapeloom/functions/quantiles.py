@@ -1,7 +1,6 @@
 """Exact grouped quantiles that never gather a large group in one task.
 
-Groups up to a row limit are sorted by a window. The few larger ones (at most rows / limit of
-them, which bounds the broadcast of their keys) go another way: a sketch per group gives a
+Groups up to a row limit are sorted by a window. The few larger ones go another way: a sketch per group gives a
 narrow bracket around every wanted rank, exact counts below and inside the bracket say where
 the rank lies, and only the values of that part are sorted. A poor sketch costs time, never
 exactness.
@@ -22,6 +21,13 @@ def unpivot(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return df.select(*by, F.inline(pairs)).filter("_value is not null")
 
 
+def matched(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null; the keys appear once."""
+    renamed = other.withColumnsRenamed({c: f"_k_{c}" for c in keys})
+    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]
+    return df.join(renamed, on, how).drop(*[f"_k_{c}" for c in keys])
+
+
 def exact_quantiles(
     df: DataFrame, by: list[str], columns: list[str], probs: list[float], accuracy: int = 10_000,
     direct_rows: int = 1_000_000,
@@ -34,8 +40,7 @@ def exact_quantiles(
     counts = df.groupBy(*by).agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)])
     sizes = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"_n{i}").alias("_n")) for i, c in enumerate(columns)])
     large = counts.select(*by, F.inline(sizes)).filter(F.col("_n") > direct_rows).select(*key)
-    small_rows = long.join(F.broadcast(large), key, "left_anti")
-    large_rows = long.join(F.broadcast(large), key, "left_semi")
+    small_rows, large_rows = (matched(long, large, key, how) for how in ("left_anti", "left_semi"))
     return _sorted(small_rows, key, probs).unionByName(_bracketed(large_rows, key, probs, accuracy))
 
 
@@ -88,10 +93,9 @@ def _bracketed(long: DataFrame, key: list[str], probs: list[float], accuracy: in
     cuts = sketch.select(*key, "_n", F.inline(wanted)).withColumn("_k", F.floor("_h"))
     cuts = cuts.withColumn("_k2", F.least(F.col("_k") + 1, F.col("_n") - 1))
 
-    # One row per large group and probability: as few as rows / direct_rows, so it is broadcast
-    # and the large groups themselves are never shuffled by key.
+    # One row per large group and probability; adaptive execution broadcasts it where it is small.
     part = F.when(F.col("_value") < F.col("_lo"), 0).when(F.col("_value") <= F.col("_hi"), 1).otherwise(2)
-    placed = long.join(F.broadcast(cuts.select(*key, "_i", "_lo", "_hi")), key).select(*key, "_i", part.alias("_part"), "_value")
+    placed = matched(long, cuts.select(*key, "_i", "_lo", "_hi"), key).select(*key, "_i", part.alias("_part"), "_value")
     sizes = placed.groupBy(*key, "_i").agg(
         F.count_if(F.col("_part") == 0).alias("_n0"), F.count_if(F.col("_part") == 1).alias("_n1")
     )
@@ -99,11 +103,11 @@ def _bracketed(long: DataFrame, key: list[str], probs: list[float], accuracy: in
     def part_of(rank: str):
         return F.when(F.col(rank) < F.col("_n0"), 0).when(F.col(rank) < F.col("_n0") + F.col("_n1"), 1).otherwise(2)
 
-    target = cuts.join(sizes, [*key, "_i"]).select(
+    target = matched(cuts, sizes, [*key, "_i"]).select(
         *key, "_i", "_h", "_k", "_k2", "_n0", "_n1", "_lo", "_hi", part_of("_k").alias("_p1"), part_of("_k2").alias("_p2")
     )
     inside = (
-        long.join(F.broadcast(target), key).withColumn("_part", part)
+        matched(long, target, key).withColumn("_part", part)
         .filter((F.col("_part") >= F.col("_p1")) & (F.col("_part") <= F.col("_p2")))
         .groupBy(*key, "_i", "_value").agg(
             F.count("*").alias("_c"),

@@ -12,19 +12,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapeloom import fixed
-from tapeloom.functions.quantiles import wide_quantiles
+from tapeloom.functions.quantiles import matched, wide_quantiles
 
 
 def _back(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
     """Left join on null-safe keys, keeping the columns of ``df`` first."""
-    renamed = stats.withColumnsRenamed({c: f"_k_{c}" for c in by})
-    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
-    return df.join(renamed, on, "left").drop(*[f"_k_{c}" for c in by])
+    return matched(df, stats, by, "left")
 
 
-def winsorize(df: DataFrame, by: list[str], columns: list[str], p: float = 0.01, accuracy: int = 10_000) -> DataFrame:
-    """Clip each column to its exact p and 1-p quantiles within ``by``."""
-    wide = wide_quantiles(df, by, columns, [p, 1 - p], accuracy=accuracy)
+def winsorize(
+    df: DataFrame, by: list[str], columns: list[str], p: float = 0.01, accuracy: int = 10_000, bounded: bool = True
+) -> DataFrame:
+    """Clip each column to its exact p and 1-p quantiles within ``by``.
+
+    A group of a cross-section is bounded by the number of symbols, a daily series by the calendar: one
+    exact percentile aggregate serves all columns. For groups of any size set ``bounded`` to False.
+    """
+    if bounded and by:
+        wide = group_percentiles(df, by, columns, [p, 1 - p])
+    else:
+        wide = wide_quantiles(df, by, columns, [p, 1 - p], accuracy=accuracy)
     joined = _back(df, wide, by)
     clipped = {
         c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"_q1_{c}")), F.col(f"_q0_{c}")))
@@ -33,6 +40,55 @@ def winsorize(df: DataFrame, by: list[str], columns: list[str], p: float = 0.01,
     return joined.withColumns(clipped).select(*df.columns)
 
 
+def group_percentiles(df: DataFrame, by: list[str], columns: list[str], probs: list[float]) -> DataFrame:
+    """Exact quantiles ``_q<i>_<column>`` per bounded group, in one aggregate."""
+    asked = F.array(*[F.lit(p) for p in probs])
+    found = df.groupBy(*by).agg(*[F.percentile(F.col(c).cast("double"), asked).alias(f"_p_{c}") for c in columns])
+    return found.select(*by, *[F.col(f"_p_{c}")[i].alias(f"_q{i}_{c}") for c in columns for i in range(len(probs))])
+
+
+def standard_scores(
+    df: DataFrame, by: list[str], columns: list[str], industry: str = "industry", cap: str | None = "mkt_cap", p: float = 0.01
+) -> DataFrame:
+    """neutralize(zscore(winsorize(df))) in two aggregates.
+
+    The z-score is affine within a date and the fit has an intercept per industry, so the residual
+    of the z-score is the residual of the clipped values over their deviation. One aggregate per date and
+    industry holds counts, means, squared deviations and co-moments; those of the date follow from them.
+    """
+    clipped = winsorize(df, by, columns, p)
+    x = F.lit(0.0) if cap is None else F.coalesce(F.ln(F.col(cap) + 1e-8), F.lit(0.0))
+    clipped = clipped.withColumn("_x", x)
+    n = F.count("*")
+    groups = clipped.groupBy(*by, industry).agg(
+        n.alias("_rows"), F.avg("_x").alias("_mx"), (F.var_pop("_x") * n).alias("_xx"),
+        *[f for c in columns for f in (
+            F.count(c).alias(f"_c_{c}"), F.avg(c).alias(f"_m_{c}"), (F.var_pop(c) * F.count(c)).alias(f"_yy_{c}"),
+            (F.covar_pop("_x", c) * F.count(c)).alias(f"_xy_{c}"))],
+    )
+    date = Window.partitionBy(*by)
+    groups = groups.withColumns({f"_a_{c}": F.sum(F.col(f"_c_{c}") * F.col(f"_m_{c}")).over(date) / F.sum(f"_c_{c}").over(date) for c in columns})
+    xx = F.sum("_xx").over(date)
+
+    def deviation(c: str) -> Column:
+        between = F.col(f"_c_{c}") * (F.col(f"_m_{c}") - F.col(f"_a_{c}")) * (F.col(f"_m_{c}") - F.col(f"_a_{c}"))
+        return F.sqrt(F.try_divide(F.sum(F.col(f"_yy_{c}") + between).over(date), F.sum(f"_c_{c}").over(date) - 1))
+
+    per_date = {}
+    for c in columns:
+        per_date |= {
+            f"_s_{c}": deviation(c), f"_n_{c}": F.sum(F.col("_rows") - F.col(f"_c_{c}")).over(date),
+            f"_b_{c}": F.when(xx > 1e-12, F.sum(f"_xy_{c}").over(date) / xx).otherwise(0.0),
+        }
+    joined = _back(clipped, groups.withColumns(per_date), [*by, industry])
+
+    def score(c: str) -> Column:
+        residual = F.col(c) - F.col(f"_m_{c}") - F.col(f"_b_{c}") * (F.col("_x") - F.col("_mx"))
+        return F.try_divide(F.when(F.col(f"_n_{c}") > 0, F.col(c) - F.col(f"_a_{c}")).otherwise(residual), F.col(f"_s_{c}"))
+
+    return joined.withColumns({c: score(c) for c in columns}).select(*df.columns)
+
+
 def zscore(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """(x - mean) / sample deviation within ``by``; null where the deviation is 0 or unknown."""
     stats = df.groupBy(*by).agg(

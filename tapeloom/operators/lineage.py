@@ -17,35 +17,45 @@ def neighbors(edges: DataFrame) -> DataFrame:
     return up.union(down).distinct()
 
 
-def closure(edges: DataFrame, max_depth: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(root, node) for everything reachable from each root; a root is never its own descendant.
 
-    Level by level: the newest pairs join the edges, pairs already known are dropped, and each
-    level is written to the shared folder, so the plan stays short and cycles end.
+    With a table of roots (node_id) only their descendants are followed, one level per round;
+    ancestors come from the reversed edges. Without one every node is a root and reach doubles per
+    round (pairs join pairs), so a chain of n edges takes log n rounds. Rounds end when one finds
+    nothing new, which also ends cycles; each is written to the shared folder, so the plan stays short.
     """
-    steps = materialize(edges.select("source_id", "target_id").distinct())
-    frontier = steps.filter("source_id <> target_id").select(F.col("source_id").alias("root"), F.col("target_id").alias("node"))
-    known = level = materialize(frontier)
-    for _ in range(max_depth):
-        reached = level.join(steps, F.col("node") == F.col("source_id")).select("root", F.col("target_id").alias("node"))
-        level = materialize(reached.filter("root <> node").distinct().join(known, ["root", "node"], "left_anti"))
-        if level.isEmpty():
-            break
+    steps = materialize(edges.select(F.col("source_id").alias("root"), F.col("target_id").alias("node")).filter("root <> node").distinct())
+    if roots is None:
+        known = steps
+        while True:
+            onward = known.select(F.col("root").alias("node"), F.col("node").alias("_to"))
+            grown = known.join(onward, "node").select("root", F.col("_to").alias("node")).filter("root <> node")
+            new = materialize(grown.distinct().join(known, ["root", "node"], "left_anti"))
+            if new.isEmpty():
+                return known
+            known = materialize(known.union(new))
+    known = level = materialize(steps.join(roots.select(F.col("node_id").alias("root")).distinct(), "root", "left_semi"))
+    onward = steps.select(F.col("root").alias("node"), F.col("node").alias("_to"))
+    while not level.isEmpty():
+        reached = level.join(onward, "node").select("root", F.col("_to").alias("node")).filter("root <> node")
+        level = materialize(reached.distinct().join(known, ["root", "node"], "left_anti"))
         known = known.union(level)
     return known
 
 
-def paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int = 10) -> DataFrame:
-    """All simple paths from the nodes of ``sources`` to those of ``targets``, as arrays."""
+def paths(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """All simple paths from the nodes of ``sources`` to those of ``targets``, as arrays.
+
+    A path grows until no simple path is left to extend; on dense graphs their number is exponential.
+    """
     steps = edges.select("source_id", "target_id").distinct()
     alive = materialize(sources.select("node_id").distinct().select(F.col("node_id").alias("end"), F.array("node_id").alias("path")))
     wanted = targets.select(F.col("node_id").alias("end")).distinct()
     found = alive.join(wanted, "end", "left_semi")
-    for _ in range(max_depth):
+    while not alive.isEmpty():
         grown = alive.join(steps, F.col("end") == F.col("source_id")).filter(~F.array_contains("path", F.col("target_id")))
         alive = materialize(grown.select(F.col("target_id").alias("end"), F.concat("path", F.array("target_id")).alias("path")))
-        if alive.isEmpty():
-            break
         found = found.union(alive.join(wanted, "end", "left_semi"))
     return found.select(F.element_at("path", 1).alias("source_id"), F.col("end").alias("target_id"), "path")
 

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tapeloom import fixed
 from tapeloom.functions.carry import with_previous
+from tapeloom.sources.scans import newest_rows
 
 
 def rule_table(spark: SparkSession, rules: list[tuple] | None = None) -> DataFrame:
@@ -27,8 +28,7 @@ def trailing(metrics: DataFrame, now: str, span: str, time: str = "timestamp") -
 
 def history(metrics: DataFrame, points: int = 1000, now: str | None = None, span: str | None = None) -> DataFrame:
     """The newest points of every metric, optionally of a trailing time span."""
-    newest = Window.partitionBy("name").orderBy(F.col("timestamp").desc(), F.col("event_id").desc())
-    kept = metrics.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= points).drop("_rn")
+    kept = newest_rows(metrics, points, ["name"], ["timestamp", "event_id"])
     return trailing(kept, now, span) if span else kept
 
 

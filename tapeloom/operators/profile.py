@@ -53,13 +53,10 @@ def frame_summary(df: DataFrame, data_type: str, date: str = "trade_date", symbo
 
 
 def pivot_close(prices: DataFrame, symbols: list[str] | None = None, date: str = "trade_date") -> DataFrame:
-    """Date by symbol matrix of the mean close.
-
-    The width is one column per symbol: name the symbols, or let Spark find them, which it
-    refuses beyond ``spark.sql.pivotMaxValues``.
-    """
-    grouped = prices.groupBy(date)
-    return (grouped.pivot("symbol", symbols) if symbols else grouped.pivot("symbol")).agg(F.avg("close"))
+    """Mean close per date and symbol: one row each, or one column per symbol of a named list."""
+    if symbols is None:
+        return prices.groupBy(date, "symbol").agg(F.avg("close").alias("close"))
+    return prices.groupBy(date).pivot("symbol", symbols).agg(F.avg("close"))
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -83,11 +80,10 @@ def table_totals(df: DataFrame) -> DataFrame:
 
 
 def profile_table(df: DataFrame, accuracy: int = 1_000_000) -> DataFrame:
-    """One row per column: nulls, distinct values; numbers described, texts by mode, times by range."""
+    """One row per column of any type: nulls, distinct values; numbers described, texts by mode, times by range."""
     kind = kinds(df)
     names = {k: [c for c in df.columns if kind[c] == k] for k in ("numeric", "text", "time")}
-    every = [c for c in df.columns if kind[c] != "other"]
-    counts = value_counts(df, every)
+    counts = value_counts(df, df.columns)
     # Ties of the mode go to the smallest value.
     cells = counts.groupBy("name").agg(
         F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0)).alias("nulls"), F.count("v").alias("distinct"),

@@ -16,7 +16,8 @@ from pyspark.sql.window import Window
 from tapeloom import fixed
 from tapeloom.functions.carry import with_previous
 from tapeloom.functions.columns import kept, price_order_broken
-from tapeloom.functions.quantiles import wide_quantiles
+from tapeloom.functions.quantiles import matched, wide_quantiles
+from tapeloom.operators.crosssection import group_percentiles
 from tapeloom.operators.layers import bar_issues
 from tapeloom.operators.profile import frame_summary
 from tapeloom.operators.series import KEYS, returns
@@ -29,7 +30,7 @@ ISSUE = ["rule_name", "issue_type", "severity", "column", "affected_records", "t
 def with_keys(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     """Join statistics back; without keys they are a single row."""
     if keys:
-        return df.join(stats, keys)
+        return matched(df, stats, keys)
     one = F.lit(1).alias("_one")
     return df.select("*", one).join(F.broadcast(stats.select("*", one)), "_one").drop("_one")
 
@@ -110,8 +111,15 @@ def consistency(df: DataFrame, keys: list[str] = SERIES, time: str = "datetime",
 
 
 def iqr_outliers(df: DataFrame, keys: list[str] = SERIES, columns: list[str] = NUMERIC, accuracy: int = 10_000) -> DataFrame:
-    """Values beyond 1.5 interquartile ranges from the exact quartiles."""
-    bounds = wide_quantiles(df, keys, columns, [0.25, 0.75], accuracy=accuracy)
+    """Values beyond 1.5 interquartile ranges from the exact quartiles.
+
+    Daily series are bounded by the calendar, so one percentile aggregate serves all columns; a whole
+    table (no keys) goes through the bracketed form.
+    """
+    if keys:
+        bounds = group_percentiles(df, keys, columns, [0.25, 0.75])
+    else:
+        bounds = wide_quantiles(df, keys, columns, [0.25, 0.75], accuracy=accuracy)
     joined = with_keys(df.select(*keys, *columns), bounds, keys)
 
     def outside(c: str) -> Column:
@@ -157,7 +165,7 @@ def metrics(issues: DataFrame, df: DataFrame, keys: list[str] = SERIES, correcte
         F.count("*").alias("_issues"),
         *[F.sum(F.when(F.col("issue_type") == t, F.col("affected_records"))).alias(f"_{t}") for t in TYPES],
     )
-    joined = totals.join(sums, keys, "left") if keys else with_keys(totals, sums, keys)
+    joined = matched(totals, sums, keys, "left") if keys else with_keys(totals, sums, keys)
     clean = F.coalesce(F.col("_issues"), F.lit(0)) == 0
 
     def rate(t: str) -> Column:

@@ -133,8 +133,15 @@ def ema(
 
     The recursion is linear, so it splits into blocks of rows. Inside a block it is a
     weighted running sum; the value carried in from the blocks before is a short fold over
-    one row per block. Prices must not be null.
+    one row per block; blocks more than 20 spans back weigh below e^-40 of a value, less than a
+    double resolves, and are left out. Prices must not be null; a span of 1 is the price itself.
     """
+    if min(windows.values()) < 1:
+        raise ValueError("a span is at least 1")
+    if any(span == 1 for span in windows.values()):
+        rest = {name: span for name, span in windows.items() if span > 1}
+        smoothed = ema(df, rest, price, keys, order, block) if rest else df
+        return smoothed.withColumns({name: F.col(price).cast("double") for name, span in windows.items() if span == 1})
     w = over_series(keys, order)
     pos = F.row_number().over(w) - 1
     out = df.withColumn("_pos", pos).withColumn("_block", F.floor(F.col("_pos") / block))

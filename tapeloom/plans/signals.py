@@ -47,9 +47,7 @@ def factor_frame(prices: DataFrame, fundamentals: DataFrame, universe: DataFrame
 
 def score_factors(factors: DataFrame, by=("trade_date",), p: float = 0.01, cap: str | None = "mkt_cap") -> DataFrame:
     """Winsorized, standardized, neutralized factor scores (columns keep their names)."""
-    by = list(by)
-    z = xs.zscore(xs.winsorize(factors, by, FACTORS, p), by, FACTORS)
-    return xs.neutralize(z, by, FACTORS, "industry", cap)
+    return xs.standard_scores(factors, list(by), FACTORS, "industry", cap, p)
 
 
 def select_daily(

@@ -9,6 +9,7 @@ from tapeloom.plans import pipelines
 from tapeloom.registry.base_sql import sql
 from tapeloom.registry.common import on_tables, r, rq
 from tapeloom.registry.joins import CODES
+from tapeloom.session import materialize
 
 # Means and sums of prices in 1/32 of a cent often end in an exact 5. Both engines round such a
 # column on a grid moved by this much, so summation noise does not sit on a rounding edge.
@@ -28,10 +29,11 @@ _PARTS = ("1m", "5m", "15m", "1h", "1d", "1w", "1mo")
 
 
 def _all_targets(t):
-    """Ticks to every target, the coarser ones from the finer ones."""
-    frames = []
+    """Ticks to every target: ticks are read once, each coarser target comes from the next finer one, weeks and months from days."""
+    made, frames = {}, []
     for to in _PARTS:
-        part = resample.resample(t.ticks(), to)
+        source = made.get("1d") if to in ("1w", "1mo") else made.get(_PARTS[_PARTS.index(to) - 1]) if made else t.ticks()
+        made[to] = part = materialize(resample.resample(source, to))
         frames.append(part.select(F.lit(to).alias("target"), "symbol", "datetime", *_OHLCV, r("turnover", 4)))
     out = frames[0]
     for f in frames[1:]:
@@ -52,7 +54,7 @@ QUERIES = {
     "weekly_monthly_docs": on_tables(_docs_week_month),
     "count_by_symbol": on_tables(lambda t: t.bars().groupBy("symbol").agg(F.count("*").alias("n"))),
     "avg_close_by_symbol": on_tables(lambda t: t.bars().groupBy("symbol").agg(F.avg("close").alias("c")).select("symbol", r("c", 6, "avg_close"))),
-    "pivot_close": on_tables(lambda t: profile.pivot_close(t.prices())),
+    "pivot_close": on_tables(lambda t: profile.pivot_close(t.prices()).select("trade_date", "symbol", off_tie("close", 6))),
     "minute_stats": on_tables(lambda t: profile.minute_stats(t.ticks()).select(
         "symbol", "row_count", "first_time", "last_time", "last_close", "total_volume", "min_low", "max_high")),
     "series_count_range": on_tables(lambda t: profile.series_count_range(t.ticks(), ["symbol"])),
@@ -85,7 +87,7 @@ QUERIES = {
     "bar_profile": on_tables(lambda t: profile.table_totals(t.bars().drop("open_interest"))),
     "fin_profile": on_tables(lambda t: profile.table_totals(t.financials().select(
         "symbol", "exchange", "report_date", "report_type", F.round("revenue", 4).alias("revenue"), F.round("net_profit", 4).alias("net_profit"),
-        F.round("total_assets", 2).alias("total_assets")))),
+        F.round("total_assets", 2).alias("total_assets"), F.round("total_liabilities", 2).alias("total_liabilities")))),
 }
 _CONC = ["total_weight", "hhi", "max_weight", "min_weight", "avg_weight", "top10_weight", "top10_concentration"]
 _STATS = ["mean", "std", "min", "q1", "median", "q3", "max"]
@@ -141,7 +143,7 @@ ORACLE = {
     "count_by_symbol": sql("SELECT symbol, count(*) AS n FROM bars GROUP BY 1", "bars"),
     "avg_close_by_symbol": sql(f"SELECT symbol, {rq('avg(close)', 6, 'avg_close')} FROM bars GROUP BY 1", "bars"),
     "pivot_close": sql(
-        "SELECT * FROM (PIVOT (SELECT trade_date, symbol, close FROM prices) ON symbol USING avg(close) GROUP BY trade_date)", "prices"),
+        f"SELECT trade_date, symbol, {off_tie_sql('avg(close)', 6, 'close')} FROM prices GROUP BY 1, 2", "prices"),
     "minute_stats": sql(
         "SELECT symbol, count(*) AS row_count, min(datetime) AS first_time, max(datetime) AS last_time, arg_max(close, datetime) AS last_close, "
         "sum(volume) AS total_volume, min(low) AS min_low, max(high) AS max_high FROM ticks GROUP BY 1", "ticks"),
@@ -208,6 +210,6 @@ ORACLE = {
         ["symbol", "exchange", '"interval"', "datetime", "open", "high", "low", "close", "volume", "turnover"], "b").replace("FROM b", "FROM bars"), "bars"),
     "fin_profile": sql(
         "WITH f AS (SELECT symbol, exchange, report_date, report_type, round(revenue, 4) AS revenue, round(net_profit, 4) AS net_profit, "
-        "round(total_assets, 2) AS total_assets FROM financials) " + _distinct_total(
-            ["symbol", "exchange", "report_date", "report_type", "revenue", "net_profit", "total_assets"], "f"), "financials"),
+        "round(total_assets, 2) AS total_assets, round(total_liabilities, 2) AS total_liabilities FROM financials) " + _distinct_total(
+            ["symbol", "exchange", "report_date", "report_type", "revenue", "net_profit", "total_assets", "total_liabilities"], "f"), "financials"),
 }

@@ -134,7 +134,6 @@ QUERIES = {
     "scalar_map": on_tables(lambda t: t.ods_fundamental().select(
         "symbol", "date", fx.item("raw_data", "pe_ratio").alias("pe"), fx.item("raw_data", "pcf_ratio").alias("absent"),
         F.array_contains(F.map_keys("raw_data"), "ps_ratio").alias("has_ps"))),
-    "schema_diff": on_tables(lambda t: normalize.schema_diff(t.bars(), ["symbol", "exchange", "datetime", "close", "vwap", "amount"])),
 }
 
 _LIST = """

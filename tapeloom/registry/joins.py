@@ -36,7 +36,7 @@ QUERIES = {
     "asof_industry": on_tables(lambda t: joins.valid_at(t.industry(), "1996-03-31").select("symbol", "industry_level", "industry_name")),
     "align_series": on_tables(lambda t: joins.align_series(t.macro(), CODES).select("date", *CODES)),
     "lineage_dataset_join": on_tables(lambda t: lineage.affected_datasets(
-        t.lineage_nodes(), lineage.closure(t.lineage_edges().filter(F.col("source_id").startswith("r") | F.col("source_id").startswith("n"))))),
+        t.lineage_nodes(), lineage.closure(t.lineage_edges()))),
     "apply_adjust_asof": on_tables(lambda t: joins.apply_adjust(t.bars(), t.adj_factor(shift_days=1), mode="asof").select(
         "symbol", "datetime", "close", "adj_factor")),
 }
@@ -84,7 +84,7 @@ ORACLE = {
     "lineage_dataset_join": sql(
         "SELECT root AS node_id, dataset_id FROM (SELECT DISTINCT c.root, n.dataset_id FROM "
         "(WITH RECURSIVE c(root, node) AS (SELECT source_id, target_id FROM e UNION SELECT c.root, e.target_id FROM c JOIN e ON c.node = e.source_id) "
-        "SELECT * FROM c) c JOIN lineage_nodes n ON c.node = n.node_id)".replace(" e ", " (SELECT * FROM lineage_edges WHERE source_id LIKE 'r%' OR source_id LIKE 'n%') e "),
+        "SELECT * FROM c) c JOIN lineage_nodes n ON c.node = n.node_id)".replace(" e ", " lineage_edges e "),
         "lineage_edges", "lineage_nodes"),
     "apply_adjust_asof": sql(
         "SELECT b.symbol, b.datetime, close * adj_factor AS close, adj_factor FROM bars b ASOF LEFT JOIN "

@@ -40,16 +40,20 @@ def _upserted(t: Tables):
     known = t.ticks().filter(F.dayofmonth("datetime") <= 20).withColumn("day", F.dayofmonth("datetime"))
     sinks.write_table(known, path, parts, ["symbol", "datetime"])
     stream = _arriving(t).ticks().filter(F.dayofmonth("datetime") >= 10).withColumn("close", F.col("close") + 1)
-    jobs.upsert_batches(stream.withColumn("day", F.dayofmonth("datetime")), path, path + "-checkpoint", parts)
+    jobs.upsert_batches(stream.withColumn("day", F.dayofmonth("datetime")).withColumn("seq", F.lit(1)), path, path + "-checkpoint", parts)
     return sinks.read_table(t.spark, path)
 
 
 def _latest(t: Tables):
     path = sinks.scratch_path(t.spark, "latest")
     jobs.upsert_latest(_arriving(t).ticks(), path, path + "-checkpoint")
-    versions = t.spark.read.parquet(path)
-    newest = versions.agg(F.max("batch").alias("batch"))
-    return versions.join(newest, "batch")
+    return sinks.read_table(t.spark, path)
+
+
+def _resampled(t: Tables):
+    """What the stream puts out, and the buckets still open when it stops."""
+    done = _sink(t, "resampled", jobs.resample_stream(_arriving(t).ticks(), "1h"))
+    return done.unionByName(jobs.open_buckets(t.ticks(), done, "1h"))
 
 
 def _twice(t: Tables):
@@ -66,7 +70,7 @@ def _alerts(t: Tables):
 QUERIES = {
     "stream_minute_upsert": on_tables(lambda t: _upserted(t).select("symbol", "datetime", "close")),
     "stream_dedup": on_tables(lambda t: _sink(t, "dedup", jobs.dedup(_twice(t), ["symbol"])).select("symbol", "datetime", "close")),
-    "stream_resample": on_tables(lambda t: _sink(t, "resampled", jobs.resample_stream(_arriving(t).ticks(), "1h")).select(
+    "stream_resample": on_tables(lambda t: _resampled(t).select(
         "symbol", "datetime", "open", "high", "low", "close", "volume", r("turnover", 4))),
     "stream_latest": on_tables(lambda t: _latest(t).select("symbol", "datetime", "close")),
     "stream_alerts": on_tables(lambda t: _alerts(t).select("rule", "timestamp", "value", "change", "level")),
@@ -79,7 +83,7 @@ ORACLE = {
     "stream_resample": sql(
         "SELECT symbol, h AS datetime, arg_min(open, datetime) AS open, max(high) AS high, min(low) AS low, arg_max(close, datetime) AS close, "
         f"sum(volume) AS volume, {rq('sum(turnover)', 4, 'turnover')} FROM (SELECT *, CAST(date_trunc('hour', datetime) AS TIMESTAMP) AS h FROM ticks) "
-        "GROUP BY symbol, h HAVING h + INTERVAL 1 HOUR <= (SELECT max(datetime) FROM ticks) - INTERVAL 10 MINUTE", "ticks"),
+        "GROUP BY symbol, h", "ticks"),
     "stream_latest": sql("SELECT symbol, max(datetime) AS datetime, arg_max(close, datetime) AS close FROM ticks GROUP BY 1", "ticks"),
     "stream_alerts": sql("SELECT rule, timestamp, value, change, level FROM changes", "changes"),
 }

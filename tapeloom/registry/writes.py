@@ -25,8 +25,13 @@ def _back(t: Tables, name: str, write):
 
 
 def _tick_update(t: Tables):
-    """Later half of every minute restated."""
-    return t.ticks().filter(F.second("datetime") >= 30).withColumn("close", F.col("close") + 1)
+    """Later half of every minute restated, an outdated copy first."""
+    return _with_copies(t.ticks().filter(F.second("datetime") >= 30).withColumn("close", F.col("close") + 1), "close")
+
+
+def _with_copies(new, value: str):
+    """Every row of an update twice: an outdated value, then the one that counts."""
+    return new.withColumn("seq", F.lit(0)).withColumn(value, F.col(value) * 3 + 7).unionByName(new.withColumn("seq", F.lit(1)))
 
 
 def _year_table(t: Tables):
@@ -35,16 +40,16 @@ def _year_table(t: Tables):
     parts = ["exchange", "interval", "year"]
     sinks.write_table(sinks.with_period(t.bars(), "datetime", monthly=False), path, parts, ["symbol", "datetime"])
     late = t.bars_update().filter(F.col("datetime") >= F.lit("2001-01-01").cast("timestamp_ntz"))
-    sinks.upsert_table(t.spark, path, sinks.with_period(late, "datetime", monthly=False), BAR_KEY, parts, cluster=["symbol", "datetime"])
+    sinks.upsert_table(t.spark, path, sinks.with_period(_with_copies(late, "close"), "datetime", monthly=False), BAR_KEY, parts, ["seq"], cluster=["symbol", "datetime"])
     return sinks.read_table(t.spark, path)
 
 
 def _fin_update(t: Tables):
-    return t.financials().filter(F.month("report_date") == 12).withColumn("revenue", F.col("revenue") * 2)
+    return _with_copies(t.financials().filter(F.month("report_date") == 12).withColumn("revenue", F.col("revenue") * 2), "revenue")
 
 
 def _fund_update(t: Tables):
-    return t.fundamentals().filter(F.dayofmonth("date") >= 28).withColumn("pe_ttm", F.col("pe_ttm") + 1)
+    return _with_copies(t.fundamentals().filter(F.dayofmonth("date") >= 28).withColumn("pe_ttm", F.col("pe_ttm") + 1), "pe_ttm")
 
 
 def _events(t: Tables):
@@ -81,11 +86,9 @@ def _json(t: Tables):
 
 def _csv(t: Tables):
     path = sinks.scratch_path(t.spark, "pivot")
-    wide = pivot_close(t.prices())
-    sinks.export_csv(wide, path)
-    back = t.spark.read.option("header", True).schema(wide.schema).csv(path)
-    cells = F.array(*[F.struct(F.lit(c).alias("symbol"), F.col(f"`{c}`").alias("close")) for c in back.columns if c != "trade_date"])
-    return back.select("trade_date", F.inline(cells)).filter("close is not null")
+    closes = pivot_close(t.prices())
+    sinks.export_csv(closes, path)
+    return t.spark.read.option("header", True).schema(closes.schema).csv(path)
 
 
 def _dws(t: Tables):
@@ -113,10 +116,10 @@ def _written_selection(t: Tables):
 
 
 QUERIES = {
-    "upsert_bars": on_tables(lambda t: upsert(t.bars(), t.bars_update(), BAR_KEY).select(*_KEY, "close", "volume")),
-    "upsert_minutes": on_tables(lambda t: upsert(t.ticks(), _tick_update(t), BAR_KEY).select("symbol", "datetime", "close")),
-    "upsert_financial": on_tables(lambda t: upsert(t.financials(), _fin_update(t), STATEMENT_KEY).select("symbol", "report_date", r("revenue", 4))),
-    "upsert_fundamental": on_tables(lambda t: upsert(t.fundamentals(), _fund_update(t), FUNDAMENTAL_KEY).select("symbol", "date", "pe_ttm")),
+    "upsert_bars": on_tables(lambda t: upsert(t.bars(), _with_copies(t.bars_update(), "close"), BAR_KEY, ["seq"]).select(*_KEY, "close", "volume")),
+    "upsert_minutes": on_tables(lambda t: upsert(t.ticks(), _tick_update(t), BAR_KEY, ["seq"]).select("symbol", "datetime", "close")),
+    "upsert_financial": on_tables(lambda t: upsert(t.financials(), _fin_update(t), STATEMENT_KEY, ["seq"]).select("symbol", "report_date", r("revenue", 4))),
+    "upsert_fundamental": on_tables(lambda t: upsert(t.fundamentals(), _fund_update(t), FUNDAMENTAL_KEY, ["seq"]).select("symbol", "date", "pe_ttm")),
     "upsert_table": on_tables(lambda t: _year_table(t).select(*_KEY, "close", "year")),
     "write_ods": on_tables(lambda t: _back(t, "ods", lambda p: sinks.write_bars(layers.ods_bars(t.bars(), "lake"), p)).select(
         *_KEY, "interval", "close", "volume", "source", "year", "month")),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeloom.functions.quantiles import matched
 from tapeloom.operators.normalize import dedup_keep_last
 from tapeloom.operators.upsert import upsert
 from tapeloom.session import materialize, scratch_path  # noqa: F401 - scratch_path is part of this module's surface
@@ -30,28 +31,70 @@ def write_table(df: DataFrame, path: str, partitions: list[str], cluster: list[s
     writer.partitionBy(*partitions).parquet(path)
 
 
-TEXT_PARTITIONS = (
-    "exchange", "interval", "index_code", "industry_standard", "industry_level", "data_type", "frequency", "strategy",
-)
+#: Types of partition columns; every other one is text, so the interval "1d" or the symbol "000001" stays as written.
+PARTITION_TYPES = {"year": "int", "month": "int", "day": "int", "hour": "int", "load_date": "date", "dt": "date"}
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A written table with its text partition columns as text.
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
 
-    Spark guesses the type of partition values and would take the interval "1d" for the
-    double 1.0, so the guessed type of the known text columns is replaced.
+
+def _partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """Names of the partition columns, from one branch of the folders."""
+    fs, folder = _folder(spark, path)
+    names: list[str] = []
+    while True:
+        below = [x.getPath() for x in fs.listStatus(folder) if x.isDirectory() and "=" in x.getPath().getName()]
+        if not below:
+            return names
+        folder = below[0]
+        names.append(folder.getName().partition("=")[0])
+
+
+def read_table(spark: SparkSession, path: str, types: dict[str, str] | None = None, evolved: bool = False) -> DataFrame:
+    """A written table whose partition columns have their declared types (PARTITION_TYPES, then text).
+
+    ``evolved`` unites the columns of all files, for a table that gained columns.
+    """
+    reader = spark.read.option("mergeSchema", evolved)
+    declared = PARTITION_TYPES | (types or {})
+    parts = {c: T._parse_datatype_string(declared.get(c, "string")) for c in _partition_columns(spark, path)}
+    fields = [T.StructField(f.name, parts.get(f.name, f.dataType)) for f in reader.parquet(path).schema.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
+def only_partitions(table: DataFrame, wanted: DataFrame, partitions: list[str]) -> DataFrame:
+    """Rows of the partitions in ``wanted``.
+
+    Their values, one row per partition, are gathered first: as plain filters they prune the folders
+    before the scan, which a join does not do.
     """
-    guessed = spark.read.parquet(path).schema
-    text = [T.StructField(f.name, T.StringType()) if f.name in TEXT_PARTITIONS else f for f in guessed.fields]
-    return spark.read.schema(T.StructType(text)).parquet(path)
+    rows = wanted.select(*partitions).distinct().collect()
+    for name in partitions:
+        values = {r[name] for r in rows}
+        known = F.col(name).isin([v for v in values if v is not None])
+        table = table.filter(known | F.col(name).isNull() if None in values else known)
+    return matched(table, wanted.select(*partitions).distinct(), partitions, "left_semi")
 
 
-def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str], partitions: list[str], **kw) -> None:
-    """Merge ``new`` into a table; only partitions present in ``new`` are read and written."""
-    touched = new.select(*partitions).distinct()
-    current = read_table(spark, path).join(touched, partitions, "left_semi")
-    merged = materialize(upsert(current, new.select(*current.columns), keys))
-    write_table(merged, path, partitions, **kw)
+def upsert_table(
+    spark: SparkSession, path: str, new: DataFrame, keys: list[str], partitions: list[str], sequence: list[str], **kw
+) -> None:
+    """Merge ``new`` into a table, or create it; only partitions present in ``new`` are read and written.
+
+    The row of greatest ``sequence`` wins per key. Sequence columns that an existing table lacks are not stored;
+    other new columns are, and earlier files read null there.
+    """
+    new = materialize(dedup_keep_last(new, keys, sequence))
+    fs, folder = _folder(spark, path)
+    if not fs.exists(folder):
+        write_table(new, path, partitions, **kw)
+        return
+    current = read_table(spark, path, {c: t for c, t in new.dtypes if c in partitions}, evolved=True)
+    merged = materialize(upsert(only_partitions(current, new, partitions), new, keys, sequence))
+    write_table(merged.drop(*[c for c in sequence if c not in current.columns]), path, partitions, **kw)
 
 
 def write_bars(df: DataFrame, path: str) -> None:
@@ -102,12 +145,14 @@ def purge_table(spark: SparkSession, path: str, today: str, days: int, time: str
     """Delete expired rows of a table: only partitions that hold any are rewritten."""
     limit = F.date_sub(F.lit(today).cast("date"), days)
     table = read_table(spark, path)
-    stale = table.filter(F.to_date(time) < limit).select(*partitions).distinct()
-    kept = materialize(table.join(stale, partitions, "left_semi").filter(F.to_date(time) >= limit))
-    # A partition without any row left is not part of a dynamic overwrite; its folder is removed.
-    gone = stale.join(kept.select(*partitions).distinct(), partitions, "left_anti")
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for row in gone.toLocalIterator():  # one row per expired partition folder
-        fs.delete(fs_path(path + "/" + "/".join(f"{p}={row[p]}" for p in partitions)), True)
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    stale = materialize(table.filter(F.to_date(time) < limit).select(*partitions, folder.alias("_folder")).distinct())
+    kept = materialize(only_partitions(table, stale, partitions).filter(F.to_date(time) >= limit))
+    # A partition without any row left is not part of a dynamic overwrite; its folder, as the file
+    # listing escapes it, is removed.
+    gone = matched(stale, kept.select(*partitions).distinct(), partitions, "left_anti")
+    jvm = spark.sparkContext._jvm
+    for row in gone.select("_folder").distinct().toLocalIterator():  # one row per expired partition folder
+        folder_path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["_folder"]))
+        folder_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder_path, True)
     write_table(kept, path, partitions)

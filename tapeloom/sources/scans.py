@@ -79,9 +79,22 @@ def universe_asof(members: DataFrame, as_of: str) -> DataFrame:
 
 
 def recent_rows(df: DataFrame, n: int, keys=("exchange", "symbol"), time: str = "datetime") -> DataFrame:
-    """Last n rows of each series; every task keeps n rows per series before the shuffle."""
-    order = Window.partitionBy(*keys).orderBy(F.col(time).desc())
-    return df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= n).drop("_rn")
+    """Last n rows of each series."""
+    return newest_rows(df, n, list(keys), [time])
+
+
+def newest_rows(df: DataFrame, n: int, keys: list[str], order: list[str], buckets: int = 64) -> DataFrame:
+    """The n rows of greatest ``order`` per key, pruned twice.
+
+    Every task keeps n rows per key and hash bucket, the tasks of the buckets n rows each, and only
+    ``buckets`` x n rows of a key reach its last window, however many tasks read the key.
+    """
+    newest = [F.col(c).desc() for c in order]
+    parts = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    for by in ([*keys, "_part"], list(keys)):
+        ranked = parts.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*newest)))
+        parts = ranked.filter(F.col("_rn") <= n).drop("_rn")
+    return parts.drop("_part")
 
 
 def rows_of_day(df: DataFrame, day: str, time: str = "datetime") -> DataFrame:

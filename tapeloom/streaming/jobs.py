@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tapeloom.functions.quantiles import matched
 from tapeloom.operators import metrics as metric_ops
-from tapeloom.operators.normalize import dedup_keep_last
-from tapeloom.operators.resample import MINUTES
+from tapeloom.operators.resample import MINUTES, resample
 from tapeloom.operators.upsert import BAR_KEY
 from tapeloom.sinks import tables as sinks
 from tapeloom.sources.scans import recent_rows
@@ -61,7 +61,10 @@ def dedup(stream: DataFrame, keys: list[str], time: str = "datetime", delay: str
 
 
 def resample_stream(stream: DataFrame, to: str = "5m", delay: str = "10 minutes") -> DataFrame:
-    """OHLCV buckets in append mode: a bucket comes out once the watermark has passed its end."""
+    """OHLCV buckets in append mode: a bucket comes out once the watermark has passed its end.
+
+    Rows later than ``delay`` are dropped by the watermark. When a stream ends, ``open_buckets`` gives the rest.
+    """
     ts = F.col("datetime")
     grouped = event_time(stream).withWatermark("datetime", delay).groupBy(*TICK_SERIES, F.window("datetime", MINUTES[to]))
     bars = grouped.agg(
@@ -71,19 +74,30 @@ def resample_stream(stream: DataFrame, to: str = "5m", delay: str = "10 minutes"
     return bars.select(*TICK_SERIES, F.col("window.start").cast("timestamp_ntz").alias("datetime"), "open", "high", "low", "close", "volume", "turnover")
 
 
+def open_buckets(bars: DataFrame, written: DataFrame, to: str = "5m") -> DataFrame:
+    """The buckets of all arrived bars that a stopped stream has not put out yet, by a batch pass over the tail.
+
+    Only bars from the last written bucket of any series on are read again.
+    """
+    last = written.agg(F.max("datetime").alias("_last"))
+    tail = bars.join(last).filter("_last is null or datetime >= _last").drop("_last")
+    whole = resample(tail, to).select(*written.columns)
+    return matched(whole, written.select(*TICK_SERIES, "datetime"), [*TICK_SERIES, "datetime"], "left_anti")
+
+
 def latest_stream(stream: DataFrame) -> DataFrame:
     """Newest bar per series, for update mode."""
     newest = F.max_by(F.struct("datetime", "open", "high", "low", "close", "volume"), "datetime")
     return stream.groupBy(*TICK_SERIES).agg(newest.alias("b")).select(*TICK_SERIES, "b.*")
 
 
-def upsert_batches(stream: DataFrame, path: str, checkpoint: str, partitions: list[str], keys: list[str] = BAR_KEY) -> StreamingQuery:
-    """Merge every micro-batch into a table; a repeated batch writes the same rows again."""
+def upsert_batches(
+    stream: DataFrame, path: str, checkpoint: str, partitions: list[str], keys: list[str] = BAR_KEY, sequence: list[str] = ("seq",)
+) -> StreamingQuery:
+    """Merge every micro-batch into a table; the row of greatest ``sequence`` wins, a repeated batch writes the same rows again."""
     def merge(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
-        fresh = dedup_keep_last(batch, keys, ["seq"]) if "seq" in batch.columns else batch.dropDuplicates(keys)
-        sinks.upsert_table(batch.sparkSession, path, fresh, keys, partitions, cluster=["symbol", "datetime"])
+        if not batch.isEmpty():
+            sinks.upsert_table(batch.sparkSession, path, batch, keys, partitions, list(sequence), cluster=["symbol", "datetime"])
 
     return for_each_batch(stream, merge, checkpoint)
 
@@ -94,12 +108,16 @@ def cold_start(history: DataFrame, rows: int = 100) -> DataFrame:
 
 
 def upsert_latest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a table of the newest bar per series, one version folder per batch."""
+    """Keep a table of the newest bar per series, partitioned by exchange.
+
+    In update mode a batch holds only the series that changed; they are merged by key.
+    """
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/version={number}")
+    def merge(batch: DataFrame, _: int) -> None:
+        if not batch.isEmpty():
+            sinks.upsert_table(batch.sparkSession, path, batch, TICK_SERIES, ["exchange"], ["datetime"])
 
-    return for_each_batch(latest_stream(stream), write, checkpoint, "complete")
+    return for_each_batch(latest_stream(stream), merge, checkpoint, "update")
 
 
 def alert_batches(stream: DataFrame, rules: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
