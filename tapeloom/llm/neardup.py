@@ -11,10 +11,10 @@ so a document of n shingles costs about n + m ln m arrivals. Two signatures agre
 with probability Jp, the probability Jaccard similarity of the weighted shingles.
 
 Links. Equal texts collapse to their smallest id. Representatives that share a band are compared
-with the smallest id of that bucket. What is then still in different components inside one bucket
-is compared pair by pair, except pairs that the triangle inequality (1 - J and 1 - Jp are metrics)
-over the distances to the smallest id excludes. So no group is expanded into all its pairs and no
-link inside a bucket is lost. A pair is a link if its exact J or Jp reaches the threshold.
+with the center of that bucket, the document that meets most others over all bands. What is then
+still in different components inside one bucket is compared pair by pair, except pairs that exact bounds
+(see _open_pairs) exclude. So no group is expanded into all its pairs and no link inside a bucket is lost. A pair is a
+link if its exact J or Jp reaches the threshold.
 
 Edge cases: null and empty texts have no shingles; equal empty texts are one class, a null text
 is alone. Rows that share a doc_id are one document with several texts. A null doc_id gets a
@@ -93,8 +93,8 @@ def _sketches(rows: int, bands: int, words: int):
     return run
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
-    """(J, Jp) of two weighted sets, each as sorted ids and weights.
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float, int]:
+    """(J, Jp, number of common shingles) of two weighted sets, each as sorted ids and weights.
 
     Jp = sum over common d of 1 / sum_e max(a_e / a_d, b_e / b_d). With r = a / b the inner maximum
     is a_e / a_d where r_e >= r_d and b_e / b_d elsewhere, so one sort by r and running sums do.
@@ -103,14 +103,14 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     common, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
     union = len(ka) + len(kb) - len(common)
     if not len(common):
-        return 0.0, 0.0
+        return 0.0, 0.0, 0
     xa, xb = wa[ia], wb[ib]
     only_a, only_b = wa.sum() - xa.sum(), wb.sum() - xb.sum()
     order = np.argsort(xa / xb, kind="stable")
     xa, xb = xa[order], xb[order]
     from_a = np.cumsum(xa[::-1])[::-1]
     below_b = np.concatenate(([0.0], np.cumsum(xb)[:-1]))
-    return len(common) / union, float((1.0 / ((from_a + only_a) / xa + (below_b + only_b) / xb)).sum())
+    return len(common) / union, float((1.0 / ((from_a + only_a) / xa + (below_b + only_b) / xb)).sum()), len(common)
 
 
 def _sets(texts: pa.Array, words: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -122,6 +122,9 @@ def _sets(texts: pa.Array, words: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+_VERIFIED = "a long, b long, j double, jp double, common long, n long, w double"
+
+
 def _verify(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,25 +132,53 @@ def _verify(words: int):
                 part = batch.slice(at, 256)
                 a = part.column("text_a").dictionary_encode()
                 sets, which = _sets(a.dictionary, words), a.indices.to_numpy(zero_copy_only=False)
-                found = [similarity(sets[i], other) for i, other in zip(which, _sets(part.column("text_b"), words), strict=True)]
-                j, jp = (np.array([x[k] for x in found], dtype=np.float64) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(j), pa.array(jp)], ["a", "b", "j", "jp"])
+                others = _sets(part.column("text_b"), words)
+                found = [similarity(sets[i], other) for i, other in zip(which, others, strict=True)]
+                columns = [[x[k] for x in found] for k in range(3)] + [[len(k) for k, _ in others], [float(w.sum()) for _, w in others]]
+                kinds = (pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("a"), part.column("b"), *[pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]],
+                    ["a", "b", "j", "jp", "common", "n", "w"])
     return run
 
 
+def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts (doc_id, text) of the given ids (doc_id), written once for all later joins.
+
+    The ids grow with the corpus, so they are not broadcast.
+    """
+    return materialize(texts.join(ids.distinct().hint("merge"), "doc_id", "left_semi"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """Exact (a, b, j, jp) of the pairs (a, b); texts has doc_id, text.
+    """Exact (a, b, j, jp, common, n, w) of the pairs (a, b); n and w count and weigh the shingles of b.
 
-    Only texts that occur in a pair travel on; a document in very many pairs is a skewed join
-    key, which adaptive execution splits.
+    A document in very many pairs is a skewed join key, which adaptive execution splits.
     """
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialize(texts.join(wanted, "doc_id", "left_semi"))
     both = (
         pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     )
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words), "a long, b long, j double, jp double")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words), _VERIFIED)
+
+
+def _distinct_shingles(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            for first, last, tokens in token_chunks(batch.column("text")):
+                owner, run_hash, _ = weighted_shingles(*shingles(tokens, last - first, words))
+                yield pa.RecordBatch.from_arrays([pa.array(run_hash.astype(np.int64)), pa.array(ids[first + owner])], ["shingle", "doc_id"])
+    return run
+
+
+def lone_shingles(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, lone): how many distinct shingles of a document no other given document has; 0 for an id with several texts."""
+    rows = texts.select("doc_id", "text").mapInArrow(_distinct_shingles(words), "shingle long, doc_id long")
+    single = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("_max")).filter("doc_id = _max")
+    counted = single.groupBy("doc_id").agg(F.count("*").alias("lone"))
+    several = texts.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id")
+    return counted.join(several, "doc_id", "left_anti")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE_WORDS, rows: int = ROWS_PER_BAND, bands: int = BANDS) -> DataFrame:
@@ -163,16 +194,20 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE_
     # Without the copies: a row stays if no other document of equal text has a smaller id.
     lone = sketch.join(copies.filter("doc_id <> text_id").select("doc_id").distinct(), "doc_id", "left_anti")
     banded = lone.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("_max")).filter("center <> _max")
-    members = materialize(banded.join(shared.select("bucket", "center"), "bucket").filter("doc_id <> center"))
+    shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("_min"), F.max("doc_id").alias("_max"), F.count("*").alias("n"))
+    met = materialize(banded.join(shared.filter("_min <> _max").select("bucket", "n"), "bucket"))
+    density = met.groupBy("doc_id").agg(F.sum("n").alias("density"))
+    centers = met.join(density, "doc_id").groupBy("bucket").agg(F.max(F.struct("density", -F.col("doc_id"))).alias("_c"))
+    centers = centers.select("bucket", (-F.col("_c.col2")).alias("center"))
+    members = materialize(met.select("bucket", "doc_id").join(centers, "bucket").filter("doc_id <> center"))
 
     stars = members.select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
-    texts = given.select("doc_id", text)
+    texts = texts_of(given.select("doc_id", text), met.select("doc_id"))
     near = materialize(verified(stars, texts, words))
     same = copies.filter("doc_id <> text_id").select(F.col("text_id").alias("a"), F.col("doc_id").alias("b"))
     is_link = (F.col("j") >= threshold) | (F.col("jp") >= threshold)
     links = near.filter(is_link).select("a", "b").unionByName(same)
-    rest = _open_pairs(members, near, connected_components(links), threshold)
+    rest = _open_pairs(members, near, connected_components(links), texts, threshold, words)
     more = materialize(verified(rest, texts, words).filter(is_link).select("a", "b"))
     labels = connected_components(links.unionByName(more))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
@@ -183,27 +218,40 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE_
     )
 
 
-def _open_pairs(members: DataFrame, near: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one bucket that are in different components and that no distance to the center rules out.
+def _open_pairs(members: DataFrame, near: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
+    """Pairs of one bucket that are in different components and that no exact bound rules out.
 
     The largest component of a bucket is never paired with itself: only documents outside it
     look for partners, so a bucket that is one component costs nothing.
+
+    Bounds. x and y have c_x and c_y shingles in common with the center of their bucket and l_x and l_y that no other
+    document here, the center included, has, so they share at most C = min(c_x, c_y) + min(n_x - c_x - l_x, n_y - c_y - l_y). Then
+    J <= C / (n_x + n_y - C), and since every weight is at least 1 and a b / (a + b) is concave,
+    Jp <= 1 / (w_x / (w_x - n_x + C) + w_y / (w_y - n_y + C) - 1). Both distances also obey the triangle inequality.
     """
-    known = near.select(F.col("a").alias("center"), F.col("b").alias("doc_id"), "j", "jp")
+    known = near.select(F.col("a").alias("center"), F.col("b").alias("doc_id"), "j", "jp", "common", "n", "w")
     placed = (
         members.join(known, ["center", "doc_id"])
         .join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left")
-        .select("bucket", "doc_id", "j", "jp", F.coalesce("label", "doc_id").alias("comp"))
+        .withColumn("comp", F.coalesce("label", "doc_id")).drop("label")
     )
-    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
+    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("_s"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("_s", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
     placed = materialize(placed.join(mixed.select("bucket", "main"), "bucket"))
-    x = placed.filter("comp <> main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "comp", "j", "jp")])
-    y = placed.select("bucket", *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "comp", "j", "jp", "main")])
-    slack = 1.0 - threshold + 1e-9
-    close = (F.abs(F.col("x_j") - F.col("y_j")) <= slack) | (F.abs(F.col("x_jp") - F.col("y_jp")) <= slack)
+    here = placed.select("doc_id").unionByName(placed.select(F.col("center").alias("doc_id"))).distinct()
+    lone = lone_shingles(texts.join(here.hint("merge"), "doc_id", "left_semi"), words)
+    placed = materialize(placed.join(lone, "doc_id", "left").withColumn("other", F.greatest(
+        F.col("n") - F.col("common") - F.coalesce("lone", F.lit(0)), F.lit(0))))
+    columns = ("doc_id", "comp", "j", "jp", "common", "n", "w", "other", "main")
+    x, y = (placed.select("bucket", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "xy")
+    shared = F.least("x_common", "y_common") + F.least("x_other", "y_other")
+    rest_x, rest_y = F.col("x_w") - F.col("x_n") + shared, F.col("y_w") - F.col("y_n") + shared
+    cut, slack = threshold - 1e-9, 1.0 - threshold + 1e-9
+    may_j = (shared >= cut * (F.col("x_n") + F.col("y_n") - shared)) & (F.abs(F.col("x_j") - F.col("y_j")) <= slack)
+    may_jp = (F.try_divide(F.col("x_w"), rest_x) + F.try_divide(F.col("y_w"), rest_y) - 1 <= 1 / cut) & (F.abs(F.col("x_jp") - F.col("y_jp")) <= slack)
     once = (F.col("y_comp") == F.col("y_main")) | (F.col("x_doc_id") < F.col("y_doc_id"))
-    pairs = x.join(y, "bucket").filter((F.col("x_comp") != F.col("y_comp")) & close & once)
+    pairs = x.filter("x_comp <> x_main").join(y, "bucket").filter(
+        (F.col("x_comp") != F.col("y_comp")) & once & (may_j | F.coalesce(may_jp, F.lit(False))))
     pairs = pairs.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
     return materialize(pairs.join(near.select("a", "b"), ["a", "b"], "left_anti"))
 
