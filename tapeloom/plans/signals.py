@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tapeloom import fixed
 from tapeloom.operators import crosssection as xs
@@ -13,6 +15,7 @@ from tapeloom.operators.joins import asof_join, tradable_only
 from tapeloom.session import materialize
 
 FACTORS = ["momentum_120", "volatility_20", "pe_ttm"]
+CustomFactor = Callable[[WindowSpec], Column]
 
 
 def month_end_rows(df: DataFrame, until: str, keys=("symbol",), order: str = "trade_date") -> DataFrame:
@@ -29,25 +32,33 @@ def month_end_rows(df: DataFrame, until: str, keys=("symbol",), order: str = "tr
     return spans.withColumn("asof_date", F.explode(ends)).drop("_from", "_to")
 
 
-def factor_frame(prices: DataFrame, fundamentals: DataFrame, universe: DataFrame, until: str) -> DataFrame:
-    """Cross-sections at every month end up to ``until``: keys, three factors, industry, cap.
+def factor_frame(
+    prices: DataFrame, fundamentals: DataFrame, universe: DataFrame, until: str, custom: dict[str, CustomFactor] | None = None
+) -> DataFrame:
+    """Cross-sections at every month end up to ``until``: keys, three factors, custom ones, industry, cap.
 
-    Rows with any missing value are dropped, as the fundamentals are joined.
+    A custom factor is a name and a function from the window of a symbol's price rows, in time order, to a column;
+    it shares the shuffle of the built-in ones. Rows with any missing value are dropped, as the fundamentals are joined.
     """
-    tradable = tradable_only(prices.select("symbol", "trade_date", "close"), universe)
-    rows = month_end_rows(series.rolling_factors(tradable), until)
+    custom = custom or {}
+    tradable = tradable_only(prices if custom else prices.select("symbol", "trade_date", "close"), universe)
+    window = series.over_series(("symbol",), "trade_date")
+    rolled = series.rolling_factors(tradable).withColumns({name: factor(window) for name, factor in custom.items()})
+    rows = month_end_rows(rolled, until)
     rows = rows.filter("momentum_120 is not null and volatility_20 is not null").select(
-        "symbol", "asof_date", "momentum_120", "volatility_20"
+        "symbol", "asof_date", "momentum_120", "volatility_20", *custom
     )
     known = asof_join(rows, fundamentals.select("symbol", "date", "pe_ttm"), ["symbol"], "asof_date", "date", ["pe_ttm"])
     meta = universe.select("symbol", "industry", F.col("free_float_mkt_cap").alias("mkt_cap"))
     joined = known.join(meta, "symbol").na.drop("any")
-    return joined.select(F.col("asof_date").alias("trade_date"), "symbol", *FACTORS, "industry", "mkt_cap")
+    return joined.select(F.col("asof_date").alias("trade_date"), "symbol", *FACTORS, *custom, "industry", "mkt_cap")
 
 
-def score_factors(factors: DataFrame, by=("trade_date",), p: float = 0.01, cap: str | None = "mkt_cap") -> DataFrame:
+def score_factors(
+    factors: DataFrame, by=("trade_date",), p: float = 0.01, cap: str | None = "mkt_cap", columns: list[str] | None = None
+) -> DataFrame:
     """Winsorized, standardized, neutralized factor scores (columns keep their names)."""
-    return xs.standard_scores(factors, list(by), FACTORS, "industry", cap, p)
+    return xs.standard_scores(factors, list(by), columns or FACTORS, "industry", cap, p)
 
 
 def select_daily(
@@ -87,6 +98,13 @@ def screen_stocks(
     return df
 
 
+def screen_where(df: DataFrame, conditions: list[Column]) -> DataFrame:
+    """Rows for which all conditions of the caller hold; a null does not hold."""
+    for condition in conditions:
+        df = df.filter(condition)
+    return df
+
+
 def select_weighted(factors: DataFrame, top_n: int = 50, weights: dict[str, float] | None = None, by=("trade_date",)) -> DataFrame:
     """The older form: weighted score, direction 'long', equal weights."""
     scored = score_factors(materialize(factors), by).withColumn("score", xs.composite_weighted(weights))

@@ -82,6 +82,21 @@ def _signals(t):
     return signals.build_signals(t.prices(), t.fundamentals(), t.universe(), UNTIL)
 
 
+def _broken_signals(t):
+    """Signals with doubled weights in every fourth month and reversed ranks in every fifth."""
+    month = F.month("trade_date")
+    return _signals(t).withColumns({
+        "weight": F.when(month % 4 == 0, F.col("weight") * 2).otherwise(F.col("weight")),
+        "rank": F.when(month % 5 == 0, -F.col("rank")).otherwise(F.col("rank")),
+    })
+
+
+def _custom(t):
+    """The factor table with a fourth factor of the user: the negative return of five rows."""
+    reversal = {"reversal_5": lambda w: 1 - F.col("close") / F.lag("close", 5).over(w)}
+    return signals.factor_frame(t.prices(), t.fundamentals(), t.universe(), UNTIL, reversal)
+
+
 def _plain(t):
     """Winsorized and standardized factors, unsigned, from one materialized cross-section."""
     base = materialize(_factors(t))
@@ -162,7 +177,13 @@ QUERIES = {
     "ts_zscore": on_tables(lambda t: _history_z(t).select("symbol", "trade_date", r("pe_ttm", 6), r("pb_ratio", 6))),
     "config_rules": on_tables(lambda t: _rules(t).select(
         "trade_date", "symbol", "industry", r("score", 6), "rank", r("weight", 6))),
-    "validate_signals": on_tables(lambda t: signals.validate_signals(_signals(t))),
+    "validate_signals": on_tables(lambda t: signals.validate_signals(_broken_signals(t))),
+    "custom_factor": on_tables(lambda t: _custom(t).select("trade_date", "symbol", r("reversal_5", 8))),
+    "custom_factor_scores": on_tables(lambda t: signals.score_factors(
+        materialize(_custom(t)), cap=None, columns=["reversal_5"]).groupBy("trade_date").agg(F.sum("reversal_5").alias("s")).select(
+        "trade_date", (F.abs("s") < 1e-6).alias("residuals_cancel"))),
+    "custom_screen": on_tables(lambda t: signals.screen_where(
+        t.fundamentals(), [F.col("pe_ttm") < 20, F.col("pb_ratio") > F.col("ps_ratio")]).select("symbol", "date", "pe_ttm", "pb_ratio", "ps_ratio")),
     "signal_summary": on_tables(lambda t: summaries.signal_summary(_signals(t)).select(
         "trade_date", "model_name", "total_stocks", *[r(f"score_{k}", 6) for k in ("mean", "std", "min", "max")],
         *[r(f"weight_{k}", 6) for k in ("sum", "mean", "max", "min")], _top_list(F.col("top_5")).alias("top_5"))),
@@ -175,7 +196,8 @@ QUERIES = {
         t.prices().select("trade_date", "symbol", F.col("amount").alias("score")), DATE, 5,
     ).select("trade_date", "symbol", "rank")),
     "is_rank_monotonic": on_tables(lambda t: xs.is_rank_monotonic(
-        xs.top_n(t.prices().select("trade_date", "symbol", F.col("close").alias("score")), DATE, 50), DATE)),
+        xs.top_n(t.prices().select("trade_date", "symbol", F.col("close").alias("score")), DATE, 50).withColumn(
+            "rank", F.when(F.dayofmonth("trade_date") % 3 == 0, -F.col("rank")).otherwise(F.col("rank"))), DATE)),
 }
 
 _R3 = ", ".join(rq(c, 6, c) for c in F3)
@@ -253,7 +275,16 @@ WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)) r"""),
         + ") s JOIN weighted k USING (trade_date, symbol)))", "weighted"),
     "validate_signals": sql(
         "SELECT trade_date, 'rank_topn_neutral' AS model_name, true AS has_columns, true AS numeric_types, "
-        "abs(sum(weight) - 1) <= 0.01 AS weights_sum_to_one, true AS ranks_in_order FROM signals GROUP BY 1", "signals"),
+        "abs(sum(weight) * CASE WHEN month(trade_date) % 4 = 0 THEN 2 ELSE 1 END - 1) <= 0.01 AS weights_sum_to_one, "
+        "NOT (month(trade_date) % 5 = 0 AND count(*) > 1) AS ranks_in_order FROM signals GROUP BY 1", "signals"),
+    "custom_factor": sql(
+        f"SELECT f.trade_date, f.symbol, {rq('reversal_5', 8, 'reversal_5')} FROM factors f ASOF JOIN (SELECT symbol, trade_date, "
+        "1 - close / lag(close, 5) OVER (PARTITION BY symbol ORDER BY trade_date) AS reversal_5 FROM tradable_prices) p "
+        "ON f.symbol = p.symbol AND f.trade_date >= p.trade_date", "factors", "tradable_prices"),
+    "custom_factor_scores": sql(
+        "SELECT trade_date, CASE WHEN count(*) > 1 THEN true END AS residuals_cancel FROM factors GROUP BY 1", "factors"),
+    "custom_screen": sql(
+        "SELECT symbol, date, pe_ttm, pb_ratio, ps_ratio FROM fundamentals WHERE pe_ttm < 20 AND pb_ratio > ps_ratio", "fundamentals"),
     "signal_summary": sql(
         "SELECT trade_date, 'rank_topn_neutral' AS model_name, count(*) AS total_stocks, " + ", ".join(
             [rq(f"{f}(score)", 6, f"score_{k}") for k, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))]
@@ -264,5 +295,5 @@ WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)) r"""),
         "factors"),
     "rank_selection": sql("SELECT trade_date, symbol, rank FROM (" + _ranked("fundamentals", "pb_ratio", 50) + ")", "fundamentals"),
     "topn_select": sql("SELECT trade_date, symbol, rank FROM (" + _ranked("prices", "amount", 5, "trade_date") + ")", "prices"),
-    "is_rank_monotonic": sql("SELECT trade_date, true AS monotonic FROM prices GROUP BY 1", "prices"),
+    "is_rank_monotonic": sql("SELECT trade_date, NOT (day(trade_date) % 3 = 0 AND count(*) > 1) AS monotonic FROM prices GROUP BY 1", "prices"),
 }

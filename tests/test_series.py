@@ -129,3 +129,12 @@ def test_empty_input_keeps_columns(bars_of):
     empty = bars_of(a=[1.0]).limit(0)
     for df in (series.flow_factors(empty), series.ma_cross(empty), resample.resample(empty, "1w"), series.momentum_span(empty)):
         assert df.count() == 0 and df.columns
+
+
+def test_ema_of_span_one_is_the_price(spark, bars_of):
+    falling = bars_of(a=[float(x) for x in range(20, 0, -1)])
+    got = series.ema(falling, {"one": 1, "two": 2}).orderBy("datetime").collect()
+    assert [r["one"] for r in got] == [r["close"] for r in got] and got[0]["two"] is None and abs(got[1]["two"] - (20 / 3 + 19 * 2 / 3)) < 1e-12
+    assert {r["signal"] for r in series.ma_cross(falling, 1, 3, ma="ema").collect()} <= {0, -1}
+    with pytest.raises(ValueError):
+        series.ema(falling, {"none": 0})

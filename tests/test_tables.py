@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.operators import layers, lineage, metrics, quality, retention
+from tapeloom.operators import layers, lineage, metrics, profile, quality, resample, retention
 from tapeloom.operators.upsert import BAR_KEY
 from tapeloom.plans import pipelines
 from tapeloom.sinks import tables as sinks
@@ -21,7 +21,7 @@ def test_partition_text_survives(spark, bars_of):
     back = sinks.read_table(spark, path)
     assert {r["interval"] for r in back.collect()} == {"1d"}
     late = sinks.with_period(bars_of(a=[5.0]), "datetime")
-    sinks.upsert_table(spark, path, late, BAR_KEY, ["exchange", "interval", "year", "month"])
+    sinks.upsert_table(spark, path, late, BAR_KEY, ["exchange", "interval", "year", "month"], ["datetime"])
     assert sorted(r["close"] for r in sinks.read_table(spark, path).collect()) == [2.0, 5.0]
 
 
@@ -60,8 +60,7 @@ def test_alerts_do_not_depend_on_batches(spark):
 def test_stream_latest_over_batches(spark):
     path = sinks.scratch_path(spark, "latest")
     jobs.upsert_latest(split_stream(spark, 3).ticks(), path, path + "-checkpoint")
-    versions = spark.read.parquet(path)
-    last = versions.filter(F.col("batch") == versions.agg(F.max("batch")).first()[0])
+    last = sinks.read_table(spark, path)
     want = Tables(spark, SF).ticks().groupBy("symbol").agg(F.max("datetime").alias("datetime"))
     assert sorted(map(tuple, last.select("symbol", "datetime").collect())) == sorted(map(tuple, want.collect()))
 
@@ -71,7 +70,7 @@ def test_stream_upsert_repeats_safely(spark):
     ticks = Tables(spark, SF).ticks().withColumn("day", F.dayofmonth("datetime"))
     sinks.write_table(ticks.filter("day <= 3"), path, ["exchange", "day"])
     for run in ("one", "two"):  # a second run with a fresh checkpoint merges the same rows again
-        stream = split_stream(spark, 3).ticks().withColumn("day", F.dayofmonth("datetime"))
+        stream = split_stream(spark, 3).ticks().withColumn("day", F.dayofmonth("datetime")).withColumn("seq", F.lit(1))
         jobs.upsert_batches(stream, path, f"{path}-{run}", ["exchange", "day"])
     assert sinks.read_table(spark, path).count() == ticks.count()
 
@@ -89,6 +88,63 @@ def test_closure_of_a_cycle(spark):
     assert counts["c"]["direct_impact"] == 2 and counts["d"]["total_dependencies"] == 3
 
 
+def test_closure_and_paths_of_long_chains(spark):
+    chain = spark.range(400).selectExpr("concat('n', id) as source_id", "concat('n', id + 1) as target_id")
+    assert lineage.closure(chain).count() == 400 * 401 // 2
+    short = chain.filter("int(substring(source_id, 2)) < 14")
+    ends = spark.createDataFrame([("n0",), ("n14",)], "node_id string")
+    assert [len(r["path"]) for r in lineage.paths(short, ends.filter("node_id = 'n0'"), ends.filter("node_id = 'n14'")).collect()] == [15]
+    down = lineage.closure(short, spark.createDataFrame([("n10",)], "node_id string"))
+    assert sorted(r["node"] for r in down.collect()) == ["n11", "n12", "n13", "n14"] and {r["root"] for r in down.collect()} == {"n10"}
+
+
+def test_profile_has_every_column(spark):
+    df = spark.sql("select * from values (1, true, array('a'), map('k', 1)), (2, null, array('a'), null) t(n, flag, tags, m)")
+    got = {r["column"]: r for r in profile.profile_table(df).collect()}
+    assert set(got) == {"n", "flag", "tags", "m"} and got["flag"]["nulls"] == 1 and got["tags"]["distinct"] == 1
+
+
+def test_table_is_created_merged_and_pruned(spark):
+    path = sinks.scratch_path(spark, "lake")
+    first = spark.sql("select * from values ('000001', 2020, 1, 1.0, 0), ('000001', 2020, 1, 2.0, 1), ('000002', 2021, 5, 3.0, 0) t(symbol, year, k, v, seq)")
+    keys, parts = ["symbol", "year", "k"], ["symbol", "year"]
+    sinks.upsert_table(spark, path, first, keys, parts, ["seq"])
+    more = spark.sql("select * from values ('000001', 2020, 1, 9.0, 2, 'x'), ('000001', 2020, 2, 8.0, 2, 'y') t(symbol, year, k, v, seq, note)")
+    sinks.upsert_table(spark, path, more, keys, parts, ["seq"])
+    got = sinks.read_table(spark, path, evolved=True).orderBy("symbol", "k").collect()
+    assert [(r["symbol"], r["year"], r["k"], r["v"], r["note"]) for r in got] == [
+        ("000001", 2020, 1, 9.0, "x"), ("000001", 2020, 2, 8.0, "y"), ("000002", 2021, 5, 3.0, None)]
+    pruned = sinks.only_partitions(sinks.read_table(spark, path), more, parts)
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "2020" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_purge_of_escaped_and_null_partitions(spark):
+    path = sinks.scratch_path(spark, "escaped")
+    rows = spark.sql("select * from values ('a:b', date'2020-01-01'), ('c=d', date'2024-01-01'), (null, date'2020-01-01'), ('e', date'2020-01-01'), "
+                     "('e', date'2024-01-01') t(name, day_of)")
+    sinks.write_table(rows, path, ["name"])
+    sinks.purge_table(spark, path, "2024-02-01", 100, "day_of", ["name"])
+    assert sorted(r["name"] for r in sinks.read_table(spark, path).collect()) == ["c=d", "e"]
+
+
+def test_null_keys_are_judged(spark):
+    bars = bad_bars(spark).withColumn("exchange", F.lit(None).cast("string"))
+    issues = quality.validate(bars)
+    assert {"time_consistency", "missing_values"} <= {r["rule_name"] for r in issues.collect()}
+    row = quality.metrics(issues, bars).first()
+    assert row["overall_score"] < 1 and row["completeness"] == pytest.approx(0.8)
+
+
+def test_open_buckets_complete_a_stream(spark):
+    path = sinks.scratch_path(spark, "resampled")
+    jobs.run_available(jobs.resample_stream(split_stream(spark, 3).ticks(), "1h"), path, path + "-checkpoint")
+    done, ticks = spark.read.parquet(path), Tables(spark, SF).ticks()
+    got = done.unionByName(jobs.open_buckets(ticks, done, "1h")).select("symbol", "datetime")
+    want = resample.resample(ticks, "1h").select("symbol", "datetime")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_three_bars_lineage_and_layers(spark, bars_of):
     datasets = spark.createDataFrame([("000001", "akshare")], "symbol string, provider string")
     edges = lineage.chain_edges(datasets)
