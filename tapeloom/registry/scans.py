@@ -37,30 +37,42 @@ def _symbols(t):
     return scans.read_symbol_list(t.spark, path)
 
 
+def _stored(t, name: str, df, time: str = "datetime", monthly: bool = True):
+    """A layer written as a partitioned table, then its range read back from the folders of that range."""
+    path = sinks.scratch_path(t.spark, name)
+    if monthly:
+        sinks.write_bars(df, path)
+    else:
+        sinks.write_statements(df, path, time)
+    return scans.scan_layer(sinks.read_table(t.spark, path), S, E, time, monthly)
+
+
+def _dwd(t):
+    return layers.dwd_bars(layers.ods_bars(t.bars(), "lake"))
+
+
 QUERIES = {
     "scan_bars": on_tables(lambda t: scans.scan_range(t.bars(), start=S, end=E, columns=_BAR, order=["symbol", "datetime"])),
     "scan_minutes": on_tables(lambda t: scans.scan_range(
         t.ticks(), start="2024-01-05", end="2024-01-20", columns=["symbol", "datetime", "close", "volume", "turnover"],
         order=["symbol", "datetime"])),
     "scan_multi": on_tables(lambda t: scans.scan_multi(t.bars(), _items(t), S, E).drop("interval")),
-    "scan_ods_bars": on_tables(lambda t: scans.scan_layer(sinks.with_period(t.bars(), "datetime"), S, E).select(
+    "scan_ods_bars": on_tables(lambda t: _stored(t, "ods", layers.ods_bars(t.bars(), "lake")).select(
         "exchange", "symbol", "datetime", "close", "year", "month")),
-    "scan_ods_financial": on_tables(lambda t: scans.scan_range(
-        t.ods_financial(), "report_date", S, E, report_type="income").select(
+    "scan_ods_financial": on_tables(lambda t: _stored(
+        t, "ods_financial", t.ods_financial(), "report_date", False).filter("report_type = 'income'").select(
         "symbol", "report_date", F.round(F.col("raw_income")["total_revenue"], 4).alias("total_revenue"), "source")),
-    "scan_ods_fundamental": on_tables(lambda t: scans.scan_range(t.ods_fundamental(), "date", S, E).select(
+    "scan_ods_fundamental": on_tables(lambda t: _stored(t, "ods_fundamental", t.ods_fundamental(), "date", False).select(
         "symbol", "date", F.col("raw_data")["pe_ratio"].alias("pe_ratio"), "quality_score")),
-    "scan_dwd": on_tables(lambda t: scans.scan_layer(
-        sinks.with_period(layers.dwd_bars(layers.ods_bars(t.bars(), "lake")), "datetime"), S, E).select(
+    "scan_dwd": on_tables(lambda t: _stored(t, "dwd", _dwd(t)).select(
         "exchange", "symbol", "datetime", "amount", "vwap", "is_valid")),
-    "scan_dws_adjusted": on_tables(lambda t: scans.scan_range(
-        layers.dws_adjusted(layers.dwd_bars(layers.ods_bars(t.bars(), "lake")), t.adj_factor()), start=S, end=E).select(
+    "scan_dws_adjusted": on_tables(lambda t: _stored(t, "dws_adjusted", layers.dws_adjusted(_dwd(t), t.adj_factor())).select(
         "exchange", "symbol", "datetime", *[f"{c}_qfq" for c in _OHLC])),
-    "scan_dws_factors": on_tables(lambda t: scans.scan_range(
-        layers.dws_flow_factors(t.bars()), start=S, end=E).select(
+    "scan_dws_factors": on_tables(lambda t: _stored(
+        t, "dws_factors", layers.dws_flow_factors(t.bars()).withColumn("interval", F.lit("1d"))).select(
         "exchange", "symbol", "datetime", "net_inflow", r("volume_ratio", 7))),
-    "scan_dws_merged": on_tables(lambda t: scans.scan_range(
-        layers.dws_merged(layers.dwd_financial(t.ods_financial()), t.fundamentals()), "report_date", S, E).select(
+    "scan_dws_merged": on_tables(lambda t: _stored(
+        t, "dws_merged", layers.dws_merged(layers.dwd_financial(t.ods_financial()), t.fundamentals()), "report_date", False).select(
         "symbol", "report_date", r("roe", 6), r("roa", 6), r("revenue_growth_yoy", 5))),
     "scan_announcements": on_tables(lambda t: scans.scan_events(
         t.announcements(), "announcement_date", "2024-03-01", "2024-10-31").select(

@@ -102,8 +102,8 @@ def write_bars(df: DataFrame, path: str) -> None:
     write_table(with_period(df, "datetime"), path, ["exchange", "interval", "year", "month"], ["symbol", "datetime"])
 
 
-def write_statements(df: DataFrame, path: str) -> None:
-    write_table(with_period(df, "report_date", monthly=False), path, ["year"], ["symbol", "report_date"])
+def write_statements(df: DataFrame, path: str, time: str = "report_date") -> None:
+    write_table(with_period(df, time, monthly=False), path, ["year"], ["symbol", time])
 
 
 def write_events(df: DataFrame, path: str, load_date: str, time: str) -> None:

@@ -9,6 +9,7 @@ from tapeloom.operators import layers, lineage, metrics, profile, quality, resam
 from tapeloom.operators.upsert import BAR_KEY
 from tapeloom.plans import pipelines
 from tapeloom.sinks import tables as sinks
+from tapeloom.sources import scans
 from tapeloom.sources.adapters import Tables
 from tapeloom.streaming import jobs
 
@@ -119,6 +120,14 @@ def test_table_is_created_merged_and_pruned(spark):
     assert "PartitionFilters: [" in plan and "2020" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_a_stored_layer_is_pruned_to_its_range(spark, bars_of):
+    path = sinks.scratch_path(spark, "layer")
+    sinks.write_bars(bars_of(a=[float(i) for i in range(100)]), path)
+    part = scans.scan_layer(sinks.read_table(spark, path), "2024-02-10", "2024-02-20")
+    filters = part._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert part.count() == 11 and "year" in filters and "month" in filters
+
+
 def test_purge_of_escaped_and_null_partitions(spark):
     path = sinks.scratch_path(spark, "escaped")
     rows = spark.sql("select * from values ('a:b', date'2020-01-01'), ('c=d', date'2024-01-01'), (null, date'2020-01-01'), ('e', date'2020-01-01'), "
