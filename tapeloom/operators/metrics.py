@@ -6,6 +6,8 @@ previous state of a metric is carried over time chunks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,6 +92,15 @@ def health(metrics: DataFrame, checks: list[tuple] | None = None) -> DataFrame:
     return table.join(latest(metrics), "name", "left").select("component", "name", "value", status.otherwise("unhealthy").alias("status"))
 
 
+def health_by(metrics: DataFrame, checks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Status per metric name by the caller's rule: from the latest value to a status; a missing metric is unhealthy."""
+    names = metrics.sparkSession.createDataFrame([(name,) for name in checks], "name string")
+    status = F.lit("unhealthy")
+    for name, rule in checks.items():
+        status = F.when((F.col("name") == name) & F.col("value").isNotNull(), rule(F.col("value"))).otherwise(status)
+    return names.join(latest(metrics), "name", "left").select("name", "value", status.alias("status"))
+
+
 def freshness(df: DataFrame, dataset: str, time: str, now: str) -> DataFrame:
     """Hours since the newest row of a dataset."""
     t = F.lit(now).cast("timestamp_ntz")

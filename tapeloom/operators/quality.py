@@ -150,6 +150,14 @@ def validate(df: DataFrame, keys: list[str] = SERIES, columns: list[str] | None
     return reduce(DataFrame.unionByName, parts)
 
 
+def weighted_score(issues: DataFrame, df: DataFrame, weights: dict[str, float], keys: list[str] = SERIES) -> DataFrame:
+    """Weighted mean of the rates of the named rules for every series; a rule has its lowest rate, or 1 without an issue."""
+    rates = [F.min(F.when(F.col("rule_name") == rule, F.col("rate"))).alias(f"_r{i}") for i, rule in enumerate(weights)]
+    joined = matched(df.groupBy(*keys).agg(F.count("*").alias("total_records")), issues.groupBy(*keys).agg(*rates), keys, "left")
+    total = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"_r{i}"), F.lit(1.0)) * float(w) for i, w in enumerate(weights.values())])
+    return joined.select(*keys, "total_records", (total / float(sum(weights.values()))).alias("weighted_score"))
+
+
 TYPES = ("completeness", "accuracy", "consistency", "validity")
 
 

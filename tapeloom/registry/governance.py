@@ -91,6 +91,10 @@ QUERIES = {
         "rule", "timestamp", "value", "change", "level")),
     "alert_stats": on_tables(lambda t: metrics.alert_stats(_alerts(t))),
     "health_status": on_tables(lambda t: metrics.health(t.metrics()).select("component", "name", "value", "status")),
+    "health_by_rule": on_tables(lambda t: metrics.health_by(t.metrics(), {
+        "api_error_rate": lambda v: F.when(v < 0.05, "healthy").otherwise("degraded"),
+        "data_age_hours": lambda v: F.when(v > 5, "unhealthy").otherwise("healthy"),
+    })),
     "metric_history": on_tables(lambda t: metrics.history(t.metrics(), 1000, NOW, "10 days").select("name", "timestamp", "value")),
     "freshness": on_tables(_fresh),
 }
@@ -102,6 +106,10 @@ def _age(name: str, table: str, time: str) -> str:
 
 
 ORACLE = {
+    "health_by_rule": sql(
+        "SELECT name, value, CASE WHEN name = 'api_error_rate' THEN CASE WHEN value < 0.05e0 THEN 'healthy' ELSE 'degraded' END "
+        "WHEN value > 5 THEN 'unhealthy' ELSE 'healthy' END AS status FROM (SELECT name, arg_max(value, (timestamp, event_id)) AS value "
+        "FROM metrics WHERE name IN ('api_error_rate', 'data_age_hours') GROUP BY 1)", "metrics"),
     "lineage_neighbors": sql(
         "SELECT DISTINCT * FROM (SELECT target_id AS node_id, 'upstream' AS direction, source_id AS neighbor FROM lineage_edges UNION ALL "
         "SELECT source_id, 'downstream', target_id FROM lineage_edges)", "lineage_edges"),

@@ -61,6 +61,17 @@ def _metrics(t):
         "exchange", "symbol", "total_records", *[r(c, 9) for c in _TYPES], r("overall_score", 9), "quality_level")
 
 
+WEIGHTS = {"missing_values": 3.0, "price_relationship": 2.0, "negative_values": 1.0, "traded": 2.0}
+
+
+def _weighted(t):
+    """Three rules of the table and one of the user, weighted."""
+    bars = materialize(dirty(t))
+    issues = quality.completeness(bars, columns=COLS).unionByName(quality.accuracy(bars)).unionByName(quality.negative(bars)).unionByName(
+        quality.custom_rule(bars, "traded", "validity", F.col("volume") > 5))
+    return quality.weighted_score(issues, bars, WEIGHTS)
+
+
 QUERIES = {
     "dq_completeness": on_tables(lambda t: _out(quality.completeness(dirty(t), columns=COLS))),
     "dq_accuracy": on_tables(lambda t: _out(quality.accuracy(dirty(t)))),
@@ -74,6 +85,7 @@ QUERIES = {
     "dq_financial": on_tables(lambda t: _out(quality.completeness(
         t.financials().withColumn("net_profit", F.when(F.month("report_date") != 6, F.col("net_profit"))),
         columns=["report_date", "revenue", "net_profit", "total_assets"]))),
+    "dq_weighted_rules": on_tables(lambda t: _weighted(t).select("exchange", "symbol", "total_records", r("weighted_score", 9))),
     "dq_custom_rule": on_tables(lambda t: _out(quality.custom_rule(dirty(t), "traded", "validity", F.col("volume") > 5))),
     "dq_ods_bar": on_tables(lambda t: quality.score_ods_bars(dirty(t)).select(
         "exchange", "symbol", "datetime", r("quality_score", 3), "is_valid", F.array_join("issues", ";").alias("issues"))),
@@ -113,6 +125,12 @@ ORACLE = {
         "THEN '发现数据质量问题，建议尽快处理' END, CASE WHEN bool_or(issue_type = 'completeness') THEN '建议检查数据源，确保数据完整性' END, "
         "CASE WHEN bool_or(issue_type = 'accuracy') THEN '建议验证数据准确性，检查价格关系' END) AS advice FROM issues GROUP BY 1, 2", "issues"),
     "dq_financial": sql(_issue("missing_values", "completeness", "'net_profit'", "count(*) FILTER (month(report_date) = 6)", _sev(0.8), "financials"), "financials"),
+    "dq_weighted_rules": sql(
+        f"SELECT {K}, n AS total_records, round((" + " + ".join(f"coalesce(r_{k}, 1) * {w}e0" for k, w in WEIGHTS.items())
+        + f") / {sum(WEIGHTS.values())}e0, 9) + 0 AS weighted_score FROM (SELECT {K}, count(*) AS n FROM dirty GROUP BY 1, 2) LEFT JOIN (SELECT {K}, "
+        + ", ".join(f"min(rate) FILTER (rule_name = '{k}') AS r_{k}" for k in WEIGHTS) + " FROM (" + _union([
+            _COMPLETE, _ACCURATE, _NEGATIVE, _issue("traded", "validity", "CAST(NULL AS VARCHAR)", "count(*) FILTER (NOT volume > 5)", _sev(0.95))])
+        + ") GROUP BY 1, 2) USING (exchange, symbol)", "dirty"),
     "dq_custom_rule": sql(_issue("traded", "validity", "CAST(NULL AS VARCHAR)", "count(*) FILTER (NOT volume > 5)", _sev(0.95)), "dirty"),
     "dq_ods_bar": sql(f"SELECT {_COLS_OUT.format(n=_N)} FROM (SELECT *, {ISSUES.format(TURNOVER)} AS issues FROM dirty)", "dirty"),
     "dq_dwd_bar": sql(
