@@ -28,7 +28,7 @@ from tapeloom.llm.textbytes import mix64, token_chunks
 
 BUCKET_BITS = 20
 PREFIX_BYTES = (4, 5)
-MAX_ROWS = 6_000
+MAX_ROWS = 4_000
 MAX_TERMS = 4_096
 MIN_CHI2 = 15.0
 
@@ -77,11 +77,11 @@ class FactorizationMachine:
         return out
 
 
-def select_terms(text: np.ndarray, term: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Buckets whose presence depends on the label, strongest first cut at MAX_TERMS."""
-    space, positives, n = 1 << BUCKET_BITS, label.sum(), len(label)
-    a = np.bincount(term[label[text] == 1], minlength=space).astype(float)
-    seen = np.bincount(term, minlength=space).astype(float)
+def select_terms(seen: np.ndarray, a: np.ndarray, n: int, positives: int) -> np.ndarray:
+    """Buckets whose presence depends on the label, strongest first cut at MAX_TERMS.
+
+    seen and a count per bucket the texts that hold it, all and those of label 1.
+    """
     b = seen - a
     rest = np.maximum((n - seen) * seen * positives * (n - positives), 1e-9)
     chi2 = n * (a * (n - positives - b) - b * (positives - a)) ** 2 / rest
@@ -91,12 +91,9 @@ def select_terms(text: np.ndarray, term: np.ndarray, label: np.ndarray) -> np.nd
     return np.sort(strong if len(strong) >= 16 else best[:64][chi2[best[:64]] > 0])
 
 
-def fit(text: np.ndarray, term: np.ndarray, label: np.ndarray, share: float, factors: int = 8, epochs: int = 150, seed: int = 7) -> FactorizationMachine:
+def fit(text: np.ndarray, slot: np.ndarray, buckets: np.ndarray, label: np.ndarray, share: float, factors: int = 8, epochs: int = 150, seed: int = 7) -> FactorizationMachine:
     """Adam on the weighted log loss; share is that of label 1 among all labelled rows."""
-    n, buckets = len(label), select_terms(text, term, label)
-    at = np.searchsorted(buckets, term)
-    used = (at < len(buckets)) & (buckets[np.minimum(at, max(0, len(buckets) - 1))] == term) if len(buckets) else np.zeros(len(term), dtype=bool)
-    text, slot = text[used], at[used]
+    n = len(label)
     weight = np.where(label == 1, share / label.mean(), (1 - share) / (1 - label.mean())) / n
     rng = np.random.default_rng(seed)
     params = [np.array([np.log(share / (1 - share))]), np.zeros(len(buckets)), rng.normal(0, 0.05, (len(buckets), factors))]
@@ -155,17 +152,32 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     if y.min() == y.max():
         nothing.constant = (float(counts.get(1, 0)) + 0.5) / (total + 1.0)
         return nothing
-    # The order of collected rows may differ between runs; sums over rows must not.
-    lists = table.column("terms").combine_chunks()
-    length = np.diff(lists.offsets.to_numpy())
-    flat = lists.flatten().to_numpy().astype(np.int64)
-    text = np.repeat(np.arange(len(y)), length)
-    check = np.bincount(text, weights=(mix64(flat.astype(np.uint64)) >> np.uint64(32)).astype(float), minlength=len(y))
+    space = 1 << BUCKET_BITS
+    seen, with_one = np.zeros(space), np.zeros(space)
+    chunks = [(chunk.column("y").to_numpy(), chunk.column("terms")) for chunk in table.to_batches(max_chunksize=256)]
+    for labels_of, lists in chunks:
+        per_row = np.repeat(labels_of, np.diff(lists.offsets.to_numpy()))
+        flat = lists.flatten().to_numpy()
+        np.add.at(seen, flat, 1.0)
+        np.add.at(with_one, flat[per_row == 1], 1.0)
+    buckets = select_terms(seen, with_one, len(y), int(y.sum()))
+    slots = np.full(space, -1, dtype=np.int32)
+    slots[buckets] = np.arange(len(buckets), dtype=np.int32)
+    rows_of, slots_of, done = [], [], 0
+    for labels_of, lists in chunks:
+        slot = slots[lists.flatten().to_numpy()]
+        owner = np.repeat(np.arange(done, done + len(labels_of)), np.diff(lists.offsets.to_numpy()))
+        rows_of.append(owner[slot >= 0])
+        slots_of.append(slot[slot >= 0].astype(np.int64))
+        done += len(labels_of)
+    text, slot = np.concatenate(rows_of), np.concatenate(slots_of)
+    # Collected rows come in any order. Rows are put in order of label and terms, so reruns agree.
+    check = np.bincount(text, weights=(mix64(slot.astype(np.uint64)) >> np.uint64(32)).astype(float), minlength=len(y))
     rank = np.empty(len(y), dtype=np.int64)
-    order = np.lexsort((check, length, y))
+    order = np.lexsort((check, y))
     rank[order] = np.arange(len(y))
-    back = np.lexsort((flat, rank[text]))
-    return fit(rank[text][back], flat[back], y[order], counts.get(1, 0) / total)
+    back = np.lexsort((slot, rank[text]))
+    return fit(rank[text][back], slot[back], buckets, y[order], counts.get(1, 0) / total)
 
 
 def score(model: FactorizationMachine, text: Column | str = "text") -> Column:
