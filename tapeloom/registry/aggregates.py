@@ -194,14 +194,14 @@ ORACLE = {
         f"SELECT data_code, n AS data_points, f AS first_value, l AS last_value, {rq('l - f', 5, 'total_change')}, "
         f"round((l - f) / f * 100, 2) AS total_change_rate, {rq('a', 4, 'average_value')}, round(CASE WHEN n < 12 THEN a ELSE a12 END, 2) AS ma12, "
         "round(CASE WHEN n < 12 THEN a ELSE a6 END, 2) AS ma6, round(s, 2) AS volatility, hi AS max_value, lo AS min_value, "
-        "CASE WHEN l > f THEN '上升' WHEN l < f THEN '下降' ELSE '平稳' END AS trend FROM (SELECT data_code, count(*) AS n, arg_min(value, date) AS f, "
+        "CASE WHEN l > f THEN '@TREND_UP@' WHEN l < f THEN '@TREND_DOWN@' ELSE '@TREND_FLAT@' END AS trend FROM (SELECT data_code, count(*) AS n, arg_min(value, date) AS f, "
         "arg_max(value, date) AS l, avg(value) AS a, avg(value) FILTER (rn <= 12) AS a12, avg(value) FILTER (rn <= 6) AS a6, "
         "coalesce(stddev_samp(value), 0) AS s, max(value) AS hi, min(value) AS lo FROM (SELECT *, row_number() OVER (PARTITION BY data_code "
         "ORDER BY date DESC) AS rn FROM macro) GROUP BY 1)", "macro"),
     "macro_corr": sql(
         "WITH w AS (SELECT date FROM macro GROUP BY 1 HAVING count(*) = 5), c(code, i) AS (VALUES " + ", ".join(
             f"('{c}', {i})" for i, c in enumerate(CODES)) + ") SELECT series1, series2, data_points, " + rq("k", 6, "correlation")
-        + ", abs(k) >= 0.7 AS is_strong, CASE WHEN abs(k) >= 0.7 THEN CASE WHEN k > 0 THEN '强正相关' ELSE '强负相关' END END AS strength FROM ("
+        + ", abs(k) >= 0.7 AS is_strong, CASE WHEN abs(k) >= 0.7 THEN CASE WHEN k > 0 THEN '@CORR_POSITIVE@' ELSE '@CORR_NEGATIVE@' END END AS strength FROM ("
         "SELECT a.code AS series1, b.code AS series2, count(*) AS data_points, corr(x.value, y.value) AS k FROM c a JOIN c b ON a.i < b.i "
         "JOIN macro x ON x.data_code = a.code JOIN macro y ON y.data_code = b.code AND x.date = y.date WHERE x.date IN (SELECT date FROM w) GROUP BY 1, 2)",
         "macro"),

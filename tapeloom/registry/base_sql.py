@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from tapeloom import fixed
+
 _BARS = """
 SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CASE WHEN l_suppkey % 2 = 0 THEN 'SSE' ELSE 'SZSE' END AS exchange,
   '1d' AS "interval", CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS datetime,
@@ -235,6 +239,10 @@ def sql(body: str, *tables: str, recursive: bool = False) -> str:
     head = "WITH RECURSIVE " if recursive else "WITH "
     lead = body.lstrip()
     if lead.upper().startswith("WITH "):
-        lead = lead[5:]
-        return head + ",\n".join(parts + [lead])
-    return (head + ",\n".join(parts) + "\n" + lead) if parts else lead
+        return with_fixed_texts(head + ",\n".join([*parts, lead[5:]]))
+    return with_fixed_texts((head + ",\n".join(parts) + "\n" + lead) if parts else lead)
+
+
+def with_fixed_texts(text: str) -> str:
+    """``@NAME@`` stands for the fixed text of that name."""
+    return re.sub("@([A-Z_]+)@", lambda m: getattr(fixed, m[1]), text)

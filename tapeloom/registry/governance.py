@@ -121,13 +121,13 @@ ORACLE = {
     "dataset_impact": sql(
         "SELECT dataset_id, s.node_id, coalesce(direct_impact, 0) AS direct_impact, coalesce(total_impact, 0) AS total_impact, coalesce(dependencies, 0) AS "
         "dependencies, coalesce(total_dependencies, 0) AS total_dependencies, coalesce(n, 0) AS affected_datasets, concat_ws('|', CASE WHEN total_impact > 10 THEN "
-        "'该数据集影响范围较大，修改前请谨慎评估' END, CASE WHEN total_dependencies > 5 THEN '该数据集依赖较多，建议检查上游数据质量' END, "
-        "CASE WHEN coalesce(direct_impact, 0) = 0 THEN '该数据集未被其他组件使用，可以考虑归档' END) AS advice FROM (SELECT dataset_id, min(node_id) AS node_id "
+        "'@ADVICE_WIDE_IMPACT@' END, CASE WHEN total_dependencies > 5 THEN '@ADVICE_MANY_DEPENDENCIES@' END, "
+        "CASE WHEN coalesce(direct_impact, 0) = 0 THEN '@ADVICE_UNUSED@' END) AS advice FROM (SELECT dataset_id, min(node_id) AS node_id "
         "FROM lineage_nodes WHERE node_type = 'store' GROUP BY 1) s LEFT JOIN impact i ON s.node_id = i.node_id LEFT JOIN (SELECT root, count(DISTINCT dataset_id) AS n "
         "FROM closure JOIN lineage_nodes ON node = node_id GROUP BY 1) a ON s.node_id = a.root", "impact", "closure", "lineage_nodes"),
-    "provider_impact":
-        f"SELECT provider, count(*) AS total_impact, CASE WHEN count(*) > 20 THEN '该数据提供者影响范围很大，建议建立备用方案' ELSE '' END AS advice FROM "
-        f"(SELECT {_PROVIDER} AS provider FROM supplier) WHERE provider LIKE '%share%' GROUP BY 1",
+    "provider_impact": sql(
+        f"SELECT provider, count(*) AS total_impact, CASE WHEN count(*) > 20 THEN '@ADVICE_PROVIDER_WIDE@' ELSE '' END AS advice FROM "
+        f"(SELECT {_PROVIDER} AS provider FROM supplier) WHERE provider LIKE '%share%' GROUP BY 1"),
     "lineage_edges":
         f"SELECT symbol, provider, step, CASE step WHEN 1 THEN 'source_' || symbol WHEN 2 THEN 'provider_' || provider ELSE 'service_bars_' || symbol END AS source_id, "
         f"CASE step WHEN 1 THEN 'provider_' || provider WHEN 2 THEN 'service_bars_' || symbol ELSE 'store_bars_' || symbol END AS target_id FROM (SELECT CAST(s_suppkey AS VARCHAR) "

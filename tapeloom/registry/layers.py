@@ -28,10 +28,10 @@ SELECT * REPLACE (CASE WHEN day(datetime) = 3 THEN high + 1 ELSE low END AS low,
   CASE day(datetime) WHEN 7 THEN -volume WHEN 13 THEN 0e0 ELSE volume END AS volume,
   CASE WHEN day(datetime) = 9 THEN -turnover ELSE turnover END AS turnover,
   CASE WHEN day(datetime) <> 11 THEN close END AS close) FROM bars""")
-ISSUES = """concat_ws(';', CASE WHEN NOT coalesce(low <= open AND open <= high, false) THEN '价格关系异常' END,
-  CASE WHEN NOT coalesce(low <= close AND close <= high, false) THEN '价格关系异常' END,
-  CASE WHEN volume < 0 THEN '成交量异常' END{})"""
-TURNOVER = ", CASE WHEN turnover < 0 THEN '成交额异常' END"
+ISSUES = """concat_ws(';', CASE WHEN NOT coalesce(low <= open AND open <= high, false) THEN '@BAD_PRICE_ORDER@' END,
+  CASE WHEN NOT coalesce(low <= close AND close <= high, false) THEN '@BAD_PRICE_ORDER@' END,
+  CASE WHEN volume < 0 THEN '@BAD_VOLUME@' END{})"""
+TURNOVER = ", CASE WHEN turnover < 0 THEN '@BAD_TURNOVER@' END"
 
 
 def _fin_dirty(t):
@@ -98,14 +98,14 @@ ORACLE = {
     "dwd_financial": sql(
         f"SELECT symbol, report_date, {rq('rv', 4, 'total_revenue')}, {rq('np', 4, 'net_profit')}, 0e0 AS total_liabilities, "
         f"{rq('np / total_equity * 100', 6, 'roe')}, {rq('CASE WHEN ta > 0 THEN np / ta * 100 ELSE 0 END', 6, 'roa')}, issues = '' AS is_valid, issues FROM ("
-        "SELECT *, concat_ws(';', CASE WHEN rv < 0 THEN '营收为负数' END, CASE WHEN np = 0 AND rv > 0 THEN '营收为正但净利润为0' END, "
-        "CASE WHEN ta <= 0 THEN '总资产无效' END) AS issues FROM (SELECT *, CASE WHEN month(report_date) = 3 AND year(report_date) = 1997 THEN -revenue "
+        "SELECT *, concat_ws(';', CASE WHEN rv < 0 THEN '@NEGATIVE_REVENUE@' END, CASE WHEN np = 0 AND rv > 0 THEN '@ZERO_PROFIT@' END, "
+        "CASE WHEN ta <= 0 THEN '@BAD_ASSETS@' END) AS issues FROM (SELECT *, CASE WHEN month(report_date) = 3 AND year(report_date) = 1997 THEN -revenue "
         "ELSE revenue END AS rv, CASE WHEN month(report_date) = 6 AND year(report_date) = 1997 THEN 0 ELSE net_profit END AS np, "
         "CASE WHEN month(report_date) = 9 AND year(report_date) = 1997 THEN 0 ELSE total_assets END AS ta FROM financials))", "financials"),
     "dwd_fundamental": sql(
         "SELECT symbol, date, pe_ratio, pb_ratio, 0e0 AS ps_ratio, market_cap, issues = '' AS is_valid, issues FROM (SELECT *, concat_ws(';', "
-        "CASE WHEN pe_ratio < 0 THEN '市盈率为负数' END, CASE WHEN pb_ratio < 0 THEN '市净率为负数' END, CASE WHEN market_cap <= 0 THEN '市值无效' END, "
-        "CASE WHEN cc > market_cap THEN '流通市值大于总市值' END) AS issues FROM (SELECT * REPLACE (CASE WHEN day(date) = 5 THEN -pe_ratio ELSE pe_ratio END "
+        "CASE WHEN pe_ratio < 0 THEN '@NEGATIVE_PE@' END, CASE WHEN pb_ratio < 0 THEN '@NEGATIVE_PB@' END, CASE WHEN market_cap <= 0 THEN '@BAD_CAP@' END, "
+        "CASE WHEN cc > market_cap THEN '@FLOAT_OVER_CAP@' END) AS issues FROM (SELECT * REPLACE (CASE WHEN day(date) = 5 THEN -pe_ratio ELSE pe_ratio END "
         "AS pe_ratio, CASE WHEN day(date) = 6 THEN -pb_ratio ELSE pb_ratio END AS pb_ratio, CASE WHEN day(date) = 7 THEN 0 ELSE market_cap END AS market_cap), "
         "market_cap * 0.8e0 AS cc FROM fundamentals))", "fundamentals"),
     "dws_adjusted": sql(

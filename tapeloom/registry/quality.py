@@ -121,9 +121,9 @@ ORACLE = {
         f"SELECT *, {_MEAN} AS o FROM (SELECT {K}, n, {_RATES} FROM (SELECT {K}, count(*) AS n FROM dirty GROUP BY 1, 2) LEFT JOIN "
         f"(SELECT {K}, count(*) AS k, {_SUMS} FROM issues GROUP BY 1, 2) USING (exchange, symbol)))", "dirty", "issues"),
     "dq_recommend": sql(
-        f"SELECT {K}, concat_ws('|', CASE WHEN bool_or(severity = 'critical') THEN '发现严重数据质量问题，建议立即修复' END, CASE WHEN bool_or(severity = 'poor') "
-        "THEN '发现数据质量问题，建议尽快处理' END, CASE WHEN bool_or(issue_type = 'completeness') THEN '建议检查数据源，确保数据完整性' END, "
-        "CASE WHEN bool_or(issue_type = 'accuracy') THEN '建议验证数据准确性，检查价格关系' END) AS advice FROM issues GROUP BY 1, 2", "issues"),
+        f"SELECT {K}, concat_ws('|', CASE WHEN bool_or(severity = 'critical') THEN '@ADVICE_CRITICAL@' END, CASE WHEN bool_or(severity = 'poor') "
+        "THEN '@ADVICE_POOR@' END, CASE WHEN bool_or(issue_type = 'completeness') THEN '@ADVICE_COMPLETENESS@' END, "
+        "CASE WHEN bool_or(issue_type = 'accuracy') THEN '@ADVICE_ACCURACY@' END) AS advice FROM issues GROUP BY 1, 2", "issues"),
     "dq_financial": sql(_issue("missing_values", "completeness", "'net_profit'", "count(*) FILTER (month(report_date) = 6)", _sev(0.8), "financials"), "financials"),
     "dq_weighted_rules": sql(
         f"SELECT {K}, n AS total_records, round((" + " + ".join(f"coalesce(r_{k}, 1) * {w}e0" for k, w in WEIGHTS.items())
@@ -134,10 +134,10 @@ ORACLE = {
     "dq_custom_rule": sql(_issue("traded", "validity", "CAST(NULL AS VARCHAR)", "count(*) FILTER (NOT volume > 5)", _sev(0.95)), "dirty"),
     "dq_ods_bar": sql(f"SELECT {_COLS_OUT.format(n=_N)} FROM (SELECT *, {ISSUES.format(TURNOVER)} AS issues FROM dirty)", "dirty"),
     "dq_dwd_bar": sql(
-        f"SELECT {_COLS_OUT.format(n=_N)} FROM (SELECT *, concat_ws(';', CASE WHEN v <= 0 THEN 'VWAP异常' END, CASE WHEN volume * close <= 0 THEN '成交额异常' END) "
+        f"SELECT {_COLS_OUT.format(n=_N)} FROM (SELECT *, concat_ws(';', CASE WHEN v <= 0 THEN '@BAD_VWAP@' END, CASE WHEN volume * close <= 0 THEN '@BAD_TURNOVER@' END) "
         "AS issues FROM (SELECT *, CASE WHEN volume = 0 THEN close ELSE (open + high + low + close) / 4 END AS v FROM dirty))", "dirty"),
     "dq_dws_adjusted": sql(
-        f"SELECT {_COLS_OUT.format(n=_N)} FROM (SELECT *, CASE WHEN day(datetime) = 4 THEN '后复权因子异常' ELSE '' END AS issues FROM bars)", "bars"),
+        f"SELECT {_COLS_OUT.format(n=_N)} FROM (SELECT *, CASE WHEN day(datetime) = 4 THEN '@BAD_HFQ@' ELSE '' END AS issues FROM bars)", "bars"),
     "dq_frame": sql(
         "SELECT 'price' AS data_type, count(*) AS total_records, false AS many_missing, false AS has_duplicates, count(*) FILTER (close <= 0) AS non_positive, "
         "count(*) FILTER (close <= 0) = 0 AS passed FROM prices UNION ALL SELECT 'fundamental', count(*), false, false, count(*) FILTER (pe_ttm <= 0), "
