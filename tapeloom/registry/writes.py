@@ -66,7 +66,7 @@ def _events(t: Tables):
         if name == "flows":
             sinks.write_events(df.filter("direction = 'inflow'"), path, "2024-12-02", time)
         stored = sinks.read_latest_load(t.spark, path, [key] if key else ["symbol", "date"])
-        part = stored.groupBy(F.lit(name).alias("name"), "load_date").agg(F.count("*").alias("n"))
+        part = stored.select(F.lit(name).alias("name"), "load_date", F.col(key if key else "symbol").cast("string").alias("id"))
         out = part if out is None else out.union(part)
     return out
 
@@ -99,10 +99,11 @@ def _dws(t: Tables):
     merged = _back(t, "dws_merged", lambda p: sinks.write_statements(
         layers.dws_merged(layers.dwd_financial(t.ods_financial()), t.fundamentals()), p))
 
-    def count(name, df):
-        return df.groupBy(F.lit(name).alias("layer"), "exchange", "year").agg(F.count("*").alias("n"))
+    def rows(name, df, time, value):
+        return df.select(F.lit(name).alias("layer"), "exchange", "symbol", F.col(time).cast("date").alias("day"), value.alias("value"), "year")
 
-    return count("adjusted", adjusted).union(count("factors", factors)).union(count("merged", merged))
+    return rows("adjusted", adjusted, "datetime", F.col("close_qfq")).union(rows("factors", factors, "datetime", F.col("net_inflow"))).union(
+        rows("merged", merged, "report_date", r("roe", 6)))
 
 
 def _written_signals(t: Tables):
@@ -164,14 +165,17 @@ ORACLE = {
         "SELECT exchange, symbol, datetime, volume * close AS amount, (open + high + low + close) / 4 AS vwap, true AS is_valid, "
         "year(datetime) AS year, month(datetime) AS month FROM bars", "bars"),
     "write_dws": sql(
-        "SELECT layer, exchange, year, count(*) AS n FROM (SELECT 'adjusted' AS layer, exchange, year(datetime) AS year FROM bars UNION ALL "
-        "SELECT 'factors', exchange, year(datetime) FROM bars UNION ALL SELECT 'merged', exchange, year(report_date) FROM financials) GROUP BY 1, 2, 3",
-        "bars", "financials"),
+        f"SELECT 'adjusted' AS layer, exchange, symbol, CAST(datetime AS DATE) AS day, close * coalesce(qfq, 1) AS value, "
+        "CAST(year(datetime) AS INTEGER) AS year FROM adjusted UNION ALL "
+        f"SELECT 'factors', exchange, symbol, CAST(datetime AS DATE), ni, CAST(year(datetime) AS INTEGER) FROM flow_windows UNION ALL "
+        f"SELECT 'merged', exchange, symbol, CAST(report_date AS DATE), {rq('roe', 6, 'value')}, CAST(year(report_date) AS INTEGER) FROM dwd_fin",
+        "adjusted", "flow_windows", "dwd_fin"),
     "write_events": sql(
-        "SELECT name, DATE '2024-12-01' AS load_date, count(*) AS n FROM (" + " UNION ALL ".join(
-            f"SELECT '{n}' AS name FROM {n}" + (" WHERE direction <> 'inflow'" if n == "flows" else "")
-            for n in ("announcements", "news", "reports", "flows", "themes", "top_traders"))
-        + ") GROUP BY 1 UNION ALL SELECT 'flows', DATE '2024-12-02', count(*) FROM flows WHERE direction = 'inflow'",
+        "SELECT name, DATE '2024-12-01' AS load_date, id FROM (" + " UNION ALL ".join(
+            f"SELECT '{n}' AS name, CAST({k} AS VARCHAR) AS id FROM {n}" + (" WHERE direction <> 'inflow'" if n == "flows" else "")
+            for n, k in (("announcements", "doc_id"), ("news", "doc_id"), ("reports", "report_id"), ("flows", "flow_id"), ("themes", "theme_id"),
+                         ("top_traders", "symbol")))
+        + ") UNION ALL SELECT 'flows', DATE '2024-12-02', CAST(flow_id AS VARCHAR) FROM flows WHERE direction = 'inflow'",
         "announcements", "news", "reports", "flows", "themes", "top_traders"),
     "write_index": sql(f"SELECT index_code, symbol, {rq('weight', 9, 'weight')} FROM index_members", "index_members"),
     "write_industry": sql("SELECT symbol, industry_standard, industry_level, industry_name FROM industry", "industry"),
