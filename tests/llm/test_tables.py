@@ -162,6 +162,21 @@ def test_neighbours_reach_the_recall(spark, spread):
     assert got[120] == [(i, s) for i, s in want[120]]  # copies: equal scores, smaller ids first
 
 
+@pytest.mark.parametrize("sigma", [0.0, 0.3, 0.5, 1.0])
+def test_full_blocks_with_uneven_norms_reach_the_recall(spark, sigma):
+    """The production BLOCK and WANTED on three full blocks of 64 dimensions."""
+    n, rng = 3 * neighbours.BLOCK, np.random.default_rng(12)
+    vectors = rng.normal(size=(n, 64))
+    vectors *= np.exp(sigma * rng.normal(size=(n, 1)))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(table).select("query_id", "vec_id").collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = [len(got[q] & {i for i, _ in want}) / 20 for q, want in brute_nearest(np.arange(n), vectors, 20).items()]
+    print(f"sigma {sigma}: mean {np.mean(hits):.3f}, lowest {min(hits):.2f}")
+    assert np.mean(hits) >= 0.95 and min(hits) >= 0.4
+
+
 def test_neighbours_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
