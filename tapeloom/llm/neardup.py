@@ -8,7 +8,9 @@ Sketch. Each shingle is a Poisson process whose rate is its weight: exponential
 arrival falls on a random component of the signature, and a component keeps the shingle that came
 first. A shingle stops once its next arrival is later than the latest component of the document,
 so a document of n shingles costs about n + m ln m arrivals. Two signatures agree in a component
-with probability Jp, the probability Jaccard similarity of the weighted shingles.
+with probability Jp, the probability Jaccard similarity of the weighted shingles. The same signature with all weights 1
+agrees with probability J, the plain Jaccard similarity. Both are banded: where one copy repeats a passage, J stays high
+and Jp falls. A document without repeated shingles has one signature for both, so only the others have more bands.
 
 Links. Equal texts collapse to their smallest id. Representatives that share a band are compared
 with the center of that bucket, the document that meets most others over all bands. What is then
@@ -77,6 +79,20 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return (key >> np.uint64(1)).astype(np.int64)
 
 
+def both_band_keys(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_texts: int, rows: int, bands: int) -> list[np.ndarray]:
+    """Per text the distinct keys of the weighted and of the plain signature; none for a text without shingles."""
+    weighted = band_keys(prob_min_hash(text, shingle, weight, n_texts, rows * bands), rows)
+    keys = [k if has else k[:0] for k, has in zip(weighted, np.bincount(text, minlength=n_texts) > 0, strict=True)]
+    repeats = np.zeros(n_texts, dtype=bool)
+    repeats[text[weight > 1]] = True
+    at, some = np.flatnonzero(repeats), repeats[text]
+    number = np.cumsum(repeats) - 1
+    plain = band_keys(prob_min_hash(number[text[some]], shingle[some], np.ones(int(some.sum())), len(at), rows * bands), rows)
+    for i, more in zip(at, plain, strict=True):
+        keys[i] = np.concatenate([keys[i], more[more != keys[i]]])
+    return keys
+
+
 def _sketches(rows: int, bands: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,10 +101,9 @@ def _sketches(rows: int, bands: int, words: int):
                 n = last - first
                 owner, run_hash = shingles(tokens, n, words)
                 owner, run_hash, weight = weighted_shingles(owner, run_hash)
-                keys = band_keys(prob_min_hash(owner, run_hash, weight, n, rows * bands), rows)
-                has = np.bincount(owner, minlength=n) > 0
-                ends = np.concatenate(([0], np.cumsum(np.where(has, bands, 0)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[has].ravel()))
+                keys = both_band_keys(owner, run_hash, weight, n, rows, bands)
+                ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
                 yield pa.RecordBatch.from_arrays([ids.slice(first, n), batch.column("digest").slice(first, n), lists], ["doc_id", "digest", "bands"])
     return run
 

@@ -96,6 +96,22 @@ def test_a_chain_and_a_passage_that_many_share(spark, documents_of):
     assert got == brute_classes(rows)
 
 
+def test_a_passage_that_one_copy_repeats(spark, documents_of):
+    """J stays at 0.8 or more and Jp falls far below, so only bands over the plain signature meet these pairs."""
+    rows = []
+    for group in range(60):
+        words = prose(700 + group, 200).split()
+        passage, times = words[80:120], (1, 20, 100)[group % 3]
+        rows += [(10 * group, " ".join(words)), (10 * group + 1, " ".join(words[:120] + passage * times + words[120:]))]
+    sets = [counts_of(t) for _, t in rows]
+    pairs = [both_similarities(a, b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert all(j >= 0.8 for j, _ in pairs) and sum(jp < 0.65 for _, jp in pairs) >= 20
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(documents_of([(i, t, "a") for i, t in rows])).collect()}
+    missed = sum(got[10 * g + 1] != 10 * g for g in range(60))
+    print(f"missed {missed} of 60")
+    assert got == brute_classes(rows)
+
+
 def test_odd_rows(spark, documents_of, odd_rows):
     docs = documents_of(odd_rows)
     got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()}
