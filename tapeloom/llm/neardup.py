@@ -272,15 +272,25 @@ def _open_pairs(members: DataFrame, near: DataFrame, labels: DataFrame, texts: D
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The document with the smallest id of each class, with all its columns; one row per kept id.
+    """One row of each class of texts, with all its columns: the smallest id, nulls last, then the smallest digest.
 
-    Among several rows of one id the text of smallest digest stays. Rows without an id all stay.
+    Where ids are unique they stand for the texts. Else every distinct text is classified under a number of its own, so
+    a second text of an id survives and copies under null ids go. Null texts are one row per id; those without an id all stay.
     """
-    found = classes(docs.select("doc_id", "text"), **options).filter("doc_id = class_id").select(F.col("doc_id").alias("id"))
-    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
-    with_id = packed.filter("id is not null").join(found, "id", "left_semi")
-    again = with_id.groupBy("id").agg(F.count("*").alias("n"), F.min("h").alias("first")).filter("n > 1").select("id", "first")
-    marked = with_id.join(again, "id", "left")
-    repeated = marked.filter("h = first").dropDuplicates(["id"])
-    kept = marked.filter("first is null").select("row").unionByName(repeated.select("row")).unionByName(packed.filter("id is null").select("row"))
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is null or n > 1").isEmpty():
+        found = classes(docs.select("doc_id", "text"), **options).filter("doc_id = class_id").select(F.col("doc_id").alias("id"))
+        packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id")).join(found, "id", "left_semi")
+        return packed.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    digest = F.sha2(F.coalesce(F.col("text"), F.concat(F.lit("null "), F.col("doc_id").cast("string"))), 256)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), digest.alias("digest"))
+    least = rows.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("id"))
+    numbered = materialize(materialize(least).withColumn("number", F.monotonically_increasing_id()))
+    texts = rows.join(numbered.select("digest", "number"), "digest").select("number", F.col("row.text").alias("text"))
+    # Copies of a text have equal numbers, which classes takes as one document.
+    found = classes(texts.select(F.col("number").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("number"), "class_id")
+    rank = F.struct(F.col("id").isNull(), "id", "digest")
+    chosen = numbered.join(found, "number").groupBy("class_id").agg(F.min(rank).alias("_r")).select(
+        F.col("_r.digest").alias("digest"), F.col("_r.id").alias("_id"))
+    kept = rows.join(materialize(chosen), "digest").filter(F.col("id").eqNullSafe(F.col("_id"))).dropDuplicates(["digest"])
+    kept = kept.select("row").unionByName(rows.filter("digest is null").select("row"))
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -123,6 +123,14 @@ def test_odd_rows(spark, documents_of, odd_rows):
     assert neardup.classes(nothing).count() == 0 and neardup.keep_one(nothing).count() == 0
 
 
+def test_keep_one_goes_by_text(spark, documents_of):
+    """A second text of an id survives, copies under null ids go, and a class keeps its smallest id."""
+    a, b, c, d = (prose(800 + k, 80) for k in range(4))
+    rows = [(1, a, "s"), (5, a, "s"), (5, b, "s"), (7, c, "s"), (7, d, "s"), (None, d, "s"), (None, prose(900, 80), "s"), (None, prose(900, 80), "s")]
+    kept = sorted(((r["doc_id"] or 0, r["text"]) for r in neardup.keep_one(documents_of(rows)).collect()))
+    assert kept == sorted([(1, a), (5, b), (7, c), (7, d), (0, prose(900, 80))])
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).selectExpr("id as a", "id + 1 as b").unionAll(spark.sql("select 900L as a, 800L as b"))
     got = {r["node"]: r["label"] for r in connected_components(edges).collect()}
