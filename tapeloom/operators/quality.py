@@ -110,13 +110,15 @@ def consistency(df: DataFrame, keys: list[str] = SERIES, time: str = "datetime",
     return counted.filter("_b > 0").select(*keys, F.inline(F.array(issue)))
 
 
-def iqr_outliers(df: DataFrame, keys: list[str] = SERIES, columns: list[str] = NUMERIC, accuracy: int = 10_000) -> DataFrame:
+def iqr_outliers(
+    df: DataFrame, keys: list[str] = SERIES, columns: list[str] = NUMERIC, accuracy: int = 10_000, bounded: bool = True
+) -> DataFrame:
     """Values beyond 1.5 interquartile ranges from the exact quartiles.
 
     Daily series are bounded by the calendar, so one percentile aggregate serves all columns; a whole
-    table (no keys) goes through the bracketed form.
+    table (no keys) goes through the bracketed form, and so do tick or minute series with ``bounded`` set to False.
     """
-    if keys:
+    if bounded and keys:
         bounds = group_percentiles(df, keys, columns, [0.25, 0.75])
     else:
         bounds = wide_quantiles(df, keys, columns, [0.25, 0.75], accuracy=accuracy)
@@ -140,12 +142,12 @@ def empty_issue(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def validate(df: DataFrame, keys: list[str] = SERIES, columns: list[str] | None = None) -> DataFrame:
-    """All rules of a bar table as one issue table."""
+def validate(df: DataFrame, keys: list[str] = SERIES, columns: list[str] | None = None, bounded: bool = True) -> DataFrame:
+    """All rules of a bar table as one issue table; for series of any length set ``bounded`` to False."""
     columns = columns or ["datetime", *NUMERIC]
     parts = [
         _checked(df, keys, [*_missing(columns), *_price_order(), *_negative(NUMERIC)]),
-        consistency(df, keys), iqr_outliers(df, keys), empty_issue(df, keys),
+        consistency(df, keys), iqr_outliers(df, keys, bounded=bounded), empty_issue(df, keys),
     ]
     return reduce(DataFrame.unionByName, parts)
 

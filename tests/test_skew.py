@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.carry import with_previous
 from tapeloom.functions.quantiles import exact_quantiles
 from tapeloom.operators import crosssection as xs
+from tapeloom.operators import quality
 from tapeloom.operators.normalize import dedup_keep_last
 from tapeloom.operators.upsert import upsert
 
@@ -104,3 +105,11 @@ def test_dedup_and_upsert_with_copies(spark):
     once = upsert(old, df, ["k", "t"], ["seq"])
     twice = upsert(once, df, ["k", "t"], ["seq"])
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == [("a", 1, 10), ("b", 1, 3), ("b", 2, 1), ("hot", 1, 499)]
+
+
+def test_outliers_of_a_hot_series_without_a_gathered_group(hot):
+    _, sdf = hot
+    plain, split = (quality.iqr_outliers(sdf, ["k"], ["x", "y", "z"], bounded=b) for b in (True, False))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, split.collect())) and plain.count() > 0
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (plain, split)]
+    assert "percentile(" in plans[0] and "percentile(" not in plans[1]
