@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import fingerprints, length_buckets, mixing, neardup, neighbours, oracle, quality, token_packing, toxicity, urls, warc
+from tapeloom.llm import (
+    conversations, fingerprints, length_buckets, mixing, neardup, neighbours, oracle, periodic_runs, quality, sentencepieces, token_packing, toxicity,
+    urls, warc,
+)
 from tapeloom.llm.tables import held_out, read
 
 
@@ -59,11 +62,26 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op11_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.round_trip_report(read(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with looped tails."""
+    docs = read(spark, sf_dir, "documents")
+    return periodic_runs.report(docs.withColumn("text", periodic_runs.looped(F.col("doc_id"), F.col("text"))))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations with seeded faults."""
+    return conversations.report(conversations.damaged(read(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_near_duplicates, op2_toxicity, op3_fingerprints, op4_warc_fixity, op5_token_packing, op6_mixing, op7_quality, op8_url_filter,
-        op9_length_buckets, op10_neighbours,
+        op9_length_buckets, op10_neighbours, op11_sentencepieces, op12_periodic_runs, op13_conversation_repair,
     )
 }
 ORACLE: dict[str, str] = {"op4_warc_fixity": oracle.WARC, "op6_mixing": oracle.MIXING}
