@@ -222,12 +222,17 @@ def looped(doc_id: Column, text: Column) -> Column:
     """
     h = F.crc32(doc_id.cast("string"))
     g = F.floor(h / 10)
-    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-    n = F.size(words)
-    a = (g % n).cast("int")
-    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    turned = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(words, F.when(i < a, i).otherwise(a + (i - a) % p) + 1))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(turned, " ")).otherwise(text)
+
+    def turned(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        taken = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(words, F.when(i < a, i).otherwise(a + (i - a) % p) + 1))
+        return F.when(n > 0, F.array_join(taken, " ")).otherwise("")
+
+    # The outer transform binds the words, so a text is split once and not once per word.
+    words = F.array(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)))
+    return F.when(h % 10 == 0, F.element_at(F.transform(words, turned), 1)).otherwise(text)
 
 
 def report(docs: DataFrame) -> DataFrame:
