@@ -7,7 +7,8 @@ again, and where nothing fits the last piece is taken back and replaced by its n
 so a position from which nothing fits never needs a second visit; such positions are kept in a bitfield, and the time is linear.
 
 Pieces hold the mark of a blank only at their beginning, so a text falls apart, before each run of blanks, into chunks
-that are encoded on their own; chunks met before come from a bounded table. A model with other pieces takes the text as one chunk.
+(a model with other pieces takes the text as one chunk), and a chunk wherever its two next characters stand side by side in no piece.
+These parts are encoded on their own; those met before come from a bounded table.
 
 Edge cases: null and empty texts have the begin and end ids only and decode to the empty text; characters without a piece become byte
 pieces; a blank mark in the text itself counts as a blank, as in the library; a null doc_id stays null; repeated rows are encoded as
@@ -18,8 +19,10 @@ from __future__ import annotations
 
 import codecs
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,14 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+_NEVER = float("-inf")
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Model:
     """Pieces, scores and settings of a model file, with the tables that encoding fills as it goes."""
 
@@ -66,37 +77,40 @@ class Model:
             self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         self.cut_at_blanks = not any(MARK in p.lstrip(MARK) for p in self.id_of)
+        #: Two characters that stand side by side in some piece; elsewhere nothing is ever merged.
+        self.joined = {p[k:k + 2] for p in self.id_of for k in range(len(p) - 1)}
         self.surface = [
             b"" if source.is_control(i) else " ⁇ ".encode() if source.is_unknown(i)
             else bytes([int(self.piece[i][3:5], 16)]) if source.is_byte(i) else self.piece[i].replace(MARK, " ").encode()
             for i in ids]
         self.control = {i for i in ids if source.is_control(i)}
-        self._pairs: dict[int, bool] = {}
+        self._pairs: dict[tuple[int, int], bool] = {}
         self._shorter: dict[int, int] = {}
         self._chunks: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
         """The pieces of a short text by merging; text has only characters with a piece."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.score.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
-                return parts
+        parts, score = list(text), self.score.get
+        scores = [score(a + b, _NEVER) for a, b in pairwise(parts)]
+        while scores:
+            best = max(scores)
+            if best == _NEVER:
+                break
+            at = scores.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-
-    def fits(self, before: int, piece: int) -> bool:
+            del scores[at]
+            if at:
+                scores[at - 1] = score(parts[at - 1] + parts[at], _NEVER)
+            if at < len(scores):
+                scores[at] = score(parts[at] + parts[at + 1], _NEVER)
+        return parts
+
+    def _fits(self, before: int, piece: int) -> bool:
         """Whether merging gives these two neighbours again; before -1: whether the piece alone comes out of merging."""
-        key = (before + 1) << 32 | piece
-        known = self._pairs.get(key)
-        if known is None:
-            if len(self._pairs) >= PAIRS_KEPT:
-                self._pairs.clear()
-            wanted = [self.piece[piece]] if before < 0 else [self.piece[before], self.piece[piece]]
-            known = self._pairs[key] = self.merge("".join(wanted)) == wanted
+        if len(self._pairs) >= PAIRS_KEPT:
+            self._pairs.clear()
+        wanted = [self.piece[piece]] if before < 0 else [self.piece[before], self.piece[piece]]
+        known = self._pairs[before, piece] = self.merge("".join(wanted)) == wanted
         return known
 
     def shorter(self, piece: int) -> int:
@@ -109,46 +123,55 @@ class Model:
 
     def _lay(self, longest: list[int]) -> list[int]:
         """Ids over a stretch whose characters all have a piece; longest: the longest piece from each character."""
-        n, at, laid = len(longest), 0, []
+        n, at, laid, before = len(longest), 0, [], -1
         failed = bytearray(n // 8 + 1)
+        size, known = self.size, self._pairs.get
         piece = longest[0]
         while at < n:
-            before = laid[-1] if laid else -1
             while piece >= 0:
-                to = at + self.size[piece]
-                if not failed[to >> 3] >> (to & 7) & 1 and self.fits(before, piece):
-                    break
+                to = at + size[piece]
+                if not failed[to >> 3] >> (to & 7) & 1:
+                    fits = known((before, piece))
+                    if self._fits(before, piece) if fits is None else fits:
+                        break
                 piece = self.shorter(piece)
             if piece >= 0:
                 laid.append(piece)
-                at = to
+                at, before = to, piece
                 piece = longest[at] if at < n else -1
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 taken = laid.pop()
-                at -= self.size[taken]
-                piece = self.shorter(taken)
+                at -= size[taken]
+                piece, before = self.shorter(taken), laid[-1] if laid else -1
         return laid
 
-    def _chunk(self, text: str) -> bytes:
-        """Ids of a chunk as little-endian 32-bit integers."""
-        longest = [-1] * len(text)
+    def _part(self, text: str) -> bytes:
+        """Ids of characters that may all be joined, or of one character without a piece."""
+        whole = self.id_of.get(text)
+        if whole is None and len(text) == 1:
+            return _packed([self.byte_id[b] for b in text.encode()])
+        longest, size = [-1] * len(text), self.size
         for end, piece in self.automaton.iter(text):
             # Ends only grow, so the last piece seen from a character is the longest.
-            longest[end + 1 - self.size[piece]] = piece
-        ids, start = [], 0
-        for at in [i for i, piece in enumerate(longest) if piece < 0] + [len(text)]:
-            if at > start:
-                ids += self._lay(longest[start:at])
-            if at < len(text):
-                ids += [self.byte_id[b] for b in text[at].encode()]
-            start = at + 1
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def _chunk_once(self, text: str) -> bytes:
+            longest[end + 1 - size[piece]] = piece
+        return _packed(self._lay(longest))
+
+    def _chunk(self, text: str) -> bytes:
+        """Ids of a chunk; no piece lies across two characters that are neighbours in no piece, so the chunk is cut there."""
+        joined, cuts = self.joined, [0]
+        for i in range(1, len(text)):
+            if text[i - 1:i + 1] not in joined:
+                cuts.append(i)
+        if len(cuts) == 1:
+            return self._part(text)
+        return b"".join([self._known(text[a:b], self._part) for a, b in pairwise([*cuts, len(text)])])
+
+    def _known(self, text: str, make: Callable[[str], bytes]) -> bytes:
+        """The ids of a stretch of text, from the table or made and kept there."""
         found = self._chunks.get(text)
         if found is None:
-            found = self._chunk(text)
+            found = make(text)
             if len(text) <= CHUNK_CHARS:
                 if len(self._chunks) >= CHUNKS_KEPT:
                     self._chunks.clear()
@@ -161,9 +184,8 @@ class Model:
         chunks = _CHUNK.findall(marked) if self.cut_at_blanks else [marked] if marked else []
         found = list(map(self._chunks.get, chunks))
         if None in found:
-            found = [self._chunk_once(c) if f is None else f for f, c in zip(found, chunks, strict=True)]
-        first, last = (np.array([i], dtype="<u4").tobytes() for i in (self.begin, self.end))
-        return b"".join([first if begin else b"", *found, last if end else b""])
+            found = [self._known(c, self._chunk) if f is None else f for f, c in zip(found, chunks, strict=True)]
+        return b"".join([_packed([self.begin]) if begin else b"", *found, _packed([self.end]) if end else b""])
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the blank before the first piece is taken off, bytes that are no UTF-8 become U+FFFD one by one."""
