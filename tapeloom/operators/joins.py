@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,6 +44,32 @@ def valid_at(df: DataFrame, as_of, start: str = "effective_date", end: str = "en
     return df.filter((F.col(start) <= d) & (F.col(end).isNull() | (F.col(end) > d)))
 
 
+def valid_on(
+    probe: DataFrame, intervals: DataFrame, keys: list[str], date: str, start: str = "effective_date", end: str = "end_date", days: int = 32
+) -> DataFrame:
+    """Every probe row with all interval rows of its keys whose [start, end) covers its date; an open end is null.
+
+    Dates are cut into buckets of ``days``. An interval is repeated once per bucket it touches inside the range of the
+    probe's dates (one row, read first), so the join is an equality on (keys, bucket) and the exact bounds are
+    checked inside a bucket; no pair outside it arises. Rows with a null date or start match nothing.
+    """
+    number = F.floor(F.unix_date(F.col(date).cast("date")) / days).cast("int")
+    bucketed = probe.withColumn("_bucket", number)
+    span = bucketed.agg(F.min("_bucket").alias("a"), F.max("_bucket").alias("b")).first()
+    low, high = (0, -1) if span["a"] is None else (span["a"], span["b"])
+
+    def bucket(c: Column) -> Column:
+        return F.floor(F.unix_date(c.cast("date")) / days).cast("int")
+
+    first = F.greatest(bucket(F.col(start)), F.lit(low))
+    last = F.least(F.coalesce(bucket(F.date_sub(F.col(end).cast("date"), 1)), F.lit(high)), F.lit(high))
+    # A bucket is not touched by an interval that is empty or lies outside the probe's dates.
+    real = F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(end) > F.col(start)))
+    spread = intervals.filter(real & (first <= last)).withColumn("_bucket", F.explode(F.sequence(first, last)))
+    joined = bucketed.join(spread, [*keys, "_bucket"])
+    return joined.filter((F.col(start) <= F.col(date)) & (F.col(end).isNull() | (F.col(end) > F.col(date)))).drop("_bucket")
+
+
 def tradable_only(df: DataFrame, universe: DataFrame) -> DataFrame:
     """Keep symbols whose universe row is tradable."""
     return df.join(universe.filter("is_tradable").select("symbol"), "symbol", "left_semi")

@@ -34,6 +34,11 @@ QUERIES = {
     "asof_fundamental": on_tables(lambda t: _asof(t).select("symbol", "publish_date", "known_date", "pe_ratio", "market_cap")),
     "index_members_asof": on_tables(lambda t: joins.valid_at(t.index_members(), "1996-03-31").select("index_code", "symbol", r("weight", 9))),
     "asof_industry": on_tables(lambda t: joins.valid_at(t.industry(), "1996-03-31").select("symbol", "industry_level", "industry_name")),
+    "index_members_by_day": on_tables(lambda t: joins.valid_on(
+        t.prices().select("trade_date").distinct(), t.index_members(), [], "trade_date").select("trade_date", "index_code", "symbol", r("weight", 9))),
+    "asof_industry_by_day": on_tables(lambda t: joins.valid_on(
+        t.prices().select("symbol", "trade_date", "close"), t.industry().filter("industry_level = 'level2'"), ["symbol"], "trade_date").select(
+        "symbol", "trade_date", "close", "industry_code", "industry_name")),
     "align_series": on_tables(lambda t: joins.align_series(t.macro(), CODES).select("date", *CODES)),
     "lineage_dataset_join": on_tables(lambda t: lineage.affected_datasets(
         t.lineage_nodes(), lineage.closure(t.lineage_edges()))),
@@ -78,6 +83,12 @@ ORACLE = {
     "asof_industry": sql(
         "SELECT symbol, industry_level, industry_name FROM industry WHERE effective_date <= DATE '1996-03-31' "
         "AND (end_date IS NULL OR end_date > DATE '1996-03-31')", "industry"),
+    "index_members_by_day": sql(
+        f"SELECT trade_date, index_code, symbol, {rq('weight', 9, 'weight')} FROM (SELECT DISTINCT trade_date FROM prices) JOIN index_members "
+        "ON effective_date <= trade_date AND (end_date IS NULL OR end_date > trade_date)", "prices", "index_members"),
+    "asof_industry_by_day": sql(
+        "SELECT p.symbol, trade_date, close, industry_code, industry_name FROM prices p JOIN industry i ON p.symbol = i.symbol AND industry_level = 'level2' "
+        "AND effective_date <= trade_date AND (end_date IS NULL OR end_date > trade_date)", "prices", "industry"),
     "align_series": sql(
         "SELECT date, " + ", ".join(f"max(value) FILTER (data_code = '{c}') AS {c}" for c in CODES)
         + " FROM macro GROUP BY 1 HAVING count(*) = 5", "macro"),

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeloom import fixed
 from tapeloom.operators import metrics
 from tapeloom.registry import governance as _governance  # noqa: F401 - defines the SQL of rule changes
-from tapeloom.registry.base_sql import sql
+from tapeloom.registry.base_sql import define, sql
 from tapeloom.registry.common import on_tables, r, rq
 from tapeloom.sinks import tables as sinks
 from tapeloom.sources.adapters import Tables
-from tapeloom.streaming import jobs
+from tapeloom.streaming import alerts, jobs
 
 
 class _Arriving(Tables):
@@ -67,7 +68,52 @@ def _alerts(t: Tables):
     return t.spark.read.parquet(f"{path}/changes")
 
 
+def _newer(t: Tables):
+    """Ten days of all series but one are stored; the stream restates all of January by one, twice."""
+    path = sinks.scratch_path(t.spark, "newer")
+    parts = ["exchange", "day"]
+    known = t.ticks().filter((F.dayofmonth("datetime") <= 10) & (F.col("symbol") != "signup")).withColumn("day", F.dayofmonth("datetime"))
+    sinks.write_table(known, path, parts, ["symbol", "datetime"])
+    for run in ("first", "again"):
+        stream = _arriving(t).ticks().withColumns({"close": F.col("close") + 1, "day": F.dayofmonth("datetime"), "seq": F.lit(1)})
+        jobs.upsert_newer(stream, path, f"{path}-{run}", parts, path + "-cursor")
+    return sinks.read_table(t.spark, path)
+
+
+def _controls(t: Tables):
+    """Every point of an unwatched metric resolves one of the rules by hand."""
+    names = [rule[0] for rule in fixed.ALERT_RULES]
+    rule = F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
+    return t.metrics().filter("name = 'other'").select(rule.alias("rule"), "timestamp", "event_id", F.lit(alerts.RESOLVE).alias("kind"))
+
+
+def _lifecycle(t: Tables):
+    """All events, then from the same checkpoint a tick per rule that lets time run on."""
+    path = sinks.scratch_path(t.spark, "lifecycle")
+    controls = _controls(t)
+    controls.write.parquet(f"{path}/controls")
+    for run in ("events", "end"):
+        if run == "end":
+            end = controls.groupBy("rule").agg((F.max("timestamp") + F.expr("interval 3 days")).alias("timestamp"))
+            end.select("rule", "timestamp", F.lit(-1).cast("long").alias("event_id"), F.lit(alerts.TICK).alias("kind")).write.mode("append").parquet(f"{path}/controls")
+        stream = jobs.file_stream(t.spark, f"{path}/controls", alerts.CONTROL_SCHEMA)
+        changes = alerts.lifecycle(_arriving(t).metrics(), stream, metrics.rule_table(t.spark))
+        with alerts.with_rocksdb(t.spark):
+            jobs.run_available(changes, f"{path}/changes", f"{path}/checkpoint")
+    return t.spark.read.parquet(f"{path}/changes")
+
+
+define("control_segments", ["metrics", "rules"], """
+SELECT *, sum(CAST(kind = 'resolve' AS INT)) OVER (PARTITION BY rule ORDER BY timestamp, event_id) AS segment FROM (
+SELECT rule, timestamp, event_id, value, 'point' AS kind, level FROM metrics JOIN rules USING (name)
+WHERE CASE op WHEN '>' THEN value > threshold ELSE value < threshold END
+UNION ALL SELECT rules.rule, timestamp, event_id, NULL, 'resolve', level FROM metrics JOIN rules
+  ON rules.rule = ['@R0@', '@R1@', '@R2@', '@R3@'][CAST(event_id % 4 AS INT) + 1] WHERE metrics.name = 'other')""".replace(
+    "@R0@", fixed.ALERT_RULES[0][0]).replace("@R1@", fixed.ALERT_RULES[1][0]).replace("@R2@", fixed.ALERT_RULES[2][0]).replace("@R3@", fixed.ALERT_RULES[3][0]))
+
 QUERIES = {
+    "stream_minute_cursor": on_tables(lambda t: _newer(t).select("symbol", "datetime", "close")),
+    "stream_alert_lifecycle": on_tables(lambda t: _lifecycle(t).select("rule", "timestamp", "value", "change", "level")),
     "stream_minute_upsert": on_tables(lambda t: _upserted(t).select("symbol", "datetime", "close")),
     "stream_dedup": on_tables(lambda t: _sink(t, "dedup", jobs.dedup(_twice(t), ["symbol"])).select("symbol", "datetime", "close")),
     "stream_resample": on_tables(lambda t: _resampled(t).select(
@@ -77,6 +123,15 @@ QUERIES = {
 }
 
 ORACLE = {
+    "stream_minute_cursor": sql(
+        "SELECT symbol, datetime, close FROM ticks WHERE day(datetime) <= 10 AND symbol <> 'signup' UNION ALL SELECT symbol, datetime, close + 1 FROM (SELECT *, "
+        "row_number() OVER (PARTITION BY symbol ORDER BY datetime DESC) AS rn FROM ticks) WHERE CASE WHEN symbol = 'signup' THEN rn <= 100 ELSE day(datetime) > 10 END",
+        "ticks"),
+    "stream_alert_lifecycle": sql(
+        "SELECT rule, min(timestamp) AS timestamp, arg_min(value, (timestamp, event_id)) AS value, 'fired' AS change, min(level) AS level FROM control_segments "
+        "WHERE kind = 'point' GROUP BY rule, segment UNION ALL SELECT c.rule, c.timestamp, NULL, 'resolved', c.level FROM control_segments c "
+        "JOIN (SELECT DISTINCT rule, segment FROM control_segments WHERE kind = 'point') f ON c.rule = f.rule AND c.segment = f.segment + 1 "
+        "WHERE c.kind = 'resolve'", "control_segments"),
     "stream_minute_upsert": sql(
         "SELECT symbol, datetime, CASE WHEN day(datetime) >= 10 THEN close + 1 ELSE close END AS close FROM ticks", "ticks"),
     "stream_dedup": sql("SELECT DISTINCT symbol, datetime, close FROM ticks", "ticks"),

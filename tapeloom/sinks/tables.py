@@ -41,6 +41,11 @@ def _folder(spark: SparkSession, path: str):
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    fs, folder = _folder(spark, path)
+    return fs.exists(folder)
+
+
 def _partition_columns(spark: SparkSession, path: str) -> list[str]:
     """Names of the partition columns, from one branch of the folders."""
     fs, folder = _folder(spark, path)
@@ -88,8 +93,7 @@ def upsert_table(
     other new columns are, and earlier files read null there.
     """
     new = materialize(dedup_keep_last(new, keys, sequence))
-    fs, folder = _folder(spark, path)
-    if not fs.exists(folder):
+    if not table_exists(spark, path):
         write_table(new, path, partitions, **kw)
         return
     current = read_table(spark, path, {c: t for c, t in new.dtypes if c in partitions}, evolved=True)
