@@ -97,14 +97,15 @@ def _source(kind: str, *parts: str) -> Column:
 def dws_adjusted(dwd: DataFrame, factors: DataFrame | None = None, at=None) -> DataFrame:
     """Prices under the forward and the backward factor; without a factor both are 1."""
     if factors is None:
-        rated = dwd.withColumns({"qfq_factor": F.lit(1.0), "hfq_factor": F.lit(1.0)})
-    else:
-        # One pass gives the forward ratio; the backward one is its inverse.
-        ratio = factor_ratio(dwd, factors)
-        rated = ratio.withColumns({
-            "qfq_factor": F.coalesce("ratio", F.lit(1.0)),
-            "hfq_factor": F.coalesce(F.try_divide(F.lit(1.0), F.col("ratio")), F.lit(1.0)),
-        })
+        return adjusted_by(dwd.withColumn("ratio", F.lit(1.0)), at)
+    return adjusted_by(factor_ratio(dwd, factors), at)
+
+
+def adjusted_by(rated: DataFrame, at=None) -> DataFrame:
+    """Prices under the forward ``ratio`` and its inverse; without one both are 1."""
+    rated = rated.withColumns({
+        "qfq_factor": F.coalesce("ratio", F.lit(1.0)), "hfq_factor": F.coalesce(F.try_divide(F.lit(1.0), F.col("ratio")), F.lit(1.0)),
+    })
     sides = {f"{c}_{s}": F.col(c) * F.col(f"{s}_factor") for s in ("qfq", "hfq") for c in PRICES}
     return rated.withColumns(sides).select(
         *KEYS, "datetime", *sides, "qfq_factor", "hfq_factor", _now(at).alias("adjusted_at"),

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.operators import layers
-from tapeloom.plans import pipelines
+from tapeloom.plans import lake, pipelines
 from tapeloom.registry.base_sql import define, sql
 from tapeloom.registry.common import on_tables, r, rq
+from tapeloom.session import scratch_path
+from tapeloom.sinks import tables as sinks
 
 KEY = ["exchange", "symbol", "datetime"]
 
@@ -64,6 +66,16 @@ def _texts(c: str = "quality_issues"):
     return F.array_join(c, ";").alias("issues")
 
 
+def _refreshed(t):
+    """Layers of all bars but those of spring 1997, then a refresh with these; the derived tables side by side."""
+    path = scratch_path(t.spark, "refresh")
+    spring = (F.year("datetime") == 1997) & F.month("datetime").between(3, 4)
+    lake.run_bar_layers(t.bars().filter(~spring), "lake", path, t.adj_factor())
+    lake.refresh_bar_layers(t.spark, path, t.bars().filter(spring), "lake", t.adj_factor())
+    adjusted, factors = (sinks.read_table(t.spark, f"{path}/{name}") for name in ("dws_adjusted", "dws_factors"))
+    return adjusted.join(factors.select("exchange", "symbol", "datetime", "volume_ratio", "price_momentum_5d", "price_momentum_20d"), ["exchange", "symbol", "datetime"])
+
+
 _DWS = ["pe_ratio", "pb_ratio", "ps_ratio", "roe", "roa", "net_margin"]
 QUERIES = {
     "ods_bars": on_tables(lambda t: _ods(t).select(*KEY, "close", "source", "quality_score")),
@@ -79,13 +91,18 @@ QUERIES = {
         *KEY, "net_inflow", r("volume_ratio", 7), r("price_momentum_5d", 8), r("price_momentum_20d", 8))),
     "dws_merged_financial": on_tables(lambda t: layers.dws_merged(layers.dwd_financial(t.ods_financial()), t.fundamentals()).select(
         "symbol", "report_date", *[r(c, 5) for c in _DWS], r("revenue_growth_yoy", 5))),
-    "bar_layers_pipeline": on_tables(lambda t: pipelines.layer_counts(pipelines.bar_layers(t.bars(), "lake", t.adj_factor()))),
-    "financial_layers_pipeline": on_tables(lambda t: pipelines.layer_counts(pipelines.financial_layers(t.ods_financial(), t.fundamentals()))),
+    "bar_layers_pipeline": on_tables(lambda t: lake.run_bar_layers(t.bars(), "lake", scratch_path(t.spark, "lake"), t.adj_factor())),
+    "financial_layers_pipeline": on_tables(lambda t: lake.run_financial_layers(t.ods_financial(), t.fundamentals(), scratch_path(t.spark, "lake"))),
+    "bar_layer_counts": on_tables(lambda t: pipelines.layer_counts(pipelines.bar_layers(t.bars(), "lake", t.adj_factor()))),
+    "financial_layer_counts": on_tables(lambda t: pipelines.layer_counts(pipelines.financial_layers(t.ods_financial(), t.fundamentals()))),
+    "bar_layers_refresh": on_tables(lambda t: _refreshed(t).select(
+        "exchange", "symbol", "datetime", "close_qfq", r("volume_ratio", 7), r("price_momentum_5d", 8), r("price_momentum_20d", 8))),
     "batch_symbols": on_tables(lambda t: pipelines.batch_status(
         t.universe().select("symbol"), pipelines.bar_layers(t.bars(), "lake", t.adj_factor()))),
 }
 
 _COUNT = "SELECT exchange, symbol, '{}' AS layer, count(*) AS n FROM {} GROUP BY 1, 2"
+_SPAN = "SELECT '{0}' AS layer, count(*) AS n, CAST(min({1}) AS DATE) AS first_date, CAST(max({1}) AS DATE) AS last_date FROM {2}"
 _BARS4 = ("ods_bars", "dwd_bars", "dws_adjusted", "dws_factors")
 ORACLE = {
     "ods_bars": sql("SELECT exchange, symbol, datetime, close, 'lake' AS source, 1e0 AS quality_score FROM bars", "bars"),
@@ -121,8 +138,14 @@ ORACLE = {
             ("roe", "roe"), ("roa", "roa"), ("100 * net_profit / revenue", "net_margin"), ("revenue_growth", "revenue_growth_yoy")))
         + " FROM dwd_fin f ASOF LEFT JOIN (SELECT symbol, date, market_cap FROM fundamentals) u ON f.symbol = u.symbol AND f.report_date >= u.date",
         "dwd_fin", "fundamentals"),
-    "bar_layers_pipeline": sql(" UNION ALL ".join(_COUNT.format(n, "bars") for n in _BARS4), "bars"),
+    "bar_layers_pipeline": sql(" UNION ALL ".join(_SPAN.format(n, "datetime", "bars") for n in _BARS4), "bars"),
     "financial_layers_pipeline": sql(
+        " UNION ALL ".join(_SPAN.format(n, "report_date", "financials") for n in ("ods_financial", "dwd_financial", "dws_merged")), "financials"),
+    "bar_layers_refresh": sql(
+        f"SELECT exchange, symbol, datetime, close * coalesce(qfq, 1) AS close_qfq, {rq('vr', 7, 'volume_ratio')}, {rq('m5', 8, 'price_momentum_5d')}, "
+        f"{rq('m20', 8, 'price_momentum_20d')} FROM adjusted JOIN flow_windows USING (exchange, symbol, datetime)", "adjusted", "flow_windows"),
+    "bar_layer_counts": sql(" UNION ALL ".join(_COUNT.format(n, "bars") for n in _BARS4), "bars"),
+    "financial_layer_counts": sql(
         " UNION ALL ".join(_COUNT.format(n, "financials") for n in ("ods_financial", "dwd_financial", "dws_merged")), "financials"),
     "batch_symbols": sql(
         "SELECT symbol, CASE WHEN n > 0 THEN 'success' ELSE 'no_data' END AS status, 4 * coalesce(n, 0) AS total_rows FROM universe LEFT JOIN "

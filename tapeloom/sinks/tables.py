@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,15 +18,21 @@ def with_period(df: DataFrame, time: str, monthly: bool = True) -> DataFrame:
     return df.withColumn("month", F.month(time)) if monthly else df
 
 
-def write_table(df: DataFrame, path: str, partitions: list[str], cluster: list[str] = (), codec: str = "zstd") -> None:
+def write_table(
+    df: DataFrame, path: str, partitions: list[str], cluster: list[str] = (), codec: str = "zstd", watch: Observation | None = None,
+    measures: list[Column] = (),
+) -> None:
     """Overwrite the partitions present in ``df``.
 
     Rows are rebalanced by partition, so that a large partition is split over tasks and
-    small ones share a file, and sorted for row-group statistics.
+    small ones share a file, and sorted for row-group statistics. ``watch`` takes the aggregates ``measures`` of what
+    is written, in the tasks that write it.
     """
     laid_out = df.hint("rebalance", *partitions) if partitions else df
     if cluster:
         laid_out = laid_out.sortWithinPartitions(*partitions, *cluster)
+    if watch is not None:
+        laid_out = laid_out.observe(watch, *measures)
     writer = laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", codec)
     writer.partitionBy(*partitions).parquet(path)
 
