@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.components import connected_components
@@ -196,11 +196,16 @@ def lone_shingles(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     return counted.join(several, "doc_id", "left_anti")
 
 
+def _identity(text: Column, doc_id: Column) -> Column:
+    """Digest of a text, or of the id of a null text; a mark in front keeps both kinds apart."""
+    return F.sha2(F.coalesce(F.concat(F.lit("t"), text), F.concat(F.lit("n"), doc_id.cast("string"))), 256)
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE_WORDS, rows: int = ROWS_PER_BAND, bands: int = BANDS) -> DataFrame:
     """(doc_id, class_id, text_id): the smallest id of the class, and of the documents of equal text."""
     text = F.lower(F.col("text")).alias("text")
     given = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.concat(F.lit("null "), F.col("doc_id"))), 256)).alias("digest")
+    digest = F.unhex(_identity(F.col("text"), F.col("doc_id"))).alias("digest")
     sketch = materialize(
         given.select("doc_id", digest, text).mapInArrow(_sketches(rows, bands, words), "doc_id long, digest binary, bands array<long>")
     )
@@ -281,7 +286,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
         found = classes(docs.select("doc_id", "text"), **options).filter("doc_id = class_id").select(F.col("doc_id").alias("id"))
         packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id")).join(found, "id", "left_semi")
         return packed.select(*[F.col("row")[c].alias(c) for c in docs.columns])
-    digest = F.sha2(F.coalesce(F.col("text"), F.concat(F.lit("null "), F.col("doc_id").cast("string"))), 256)
+    digest = _identity(F.col("text"), F.col("doc_id"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), digest.alias("digest"))
     least = rows.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("id"))
     numbered = materialize(materialize(least).withColumn("number", F.monotonically_increasing_id()))

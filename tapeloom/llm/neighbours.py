@@ -51,10 +51,12 @@ class Forest:
     """The sorted arrays of one block."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float):
-        self.ids, self.vectors, self.small = ids, vectors, vectors.astype(np.float32)
-        rest = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0.0))
+        # Over the largest norm all vectors lie in the unit ball, whatever their magnitude.
+        scaled = vectors / longest
+        self.ids, self.vectors, self.small = ids, vectors, scaled.astype(np.float32)
+        rest = np.sqrt(np.maximum(1.0 - (scaled**2).sum(axis=1), 0.0))
         self.directions = projections(vectors.shape[1] + 1)
-        hashed = codes(np.hstack([vectors, rest[:, None]]), self.directions)
+        hashed = codes(np.hstack([scaled, rest[:, None]]), self.directions)
         self.order = np.argsort(hashed, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(hashed.T, self.order, axis=1)
 
@@ -75,7 +77,11 @@ class Forest:
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, wanted: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per query the ids and scores of its best k candidates, in any order."""
-        low, high = self.ranges(queries, wanted)
+        unit = queries / np.abs(queries).max(axis=1, keepdims=True)
+        unit /= np.sqrt((unit**2).sum(axis=1, keepdims=True))
+        low, high = self.ranges(unit, wanted)
+        # Twice the worst error of a single-precision product of two vectors of norm one or less.
+        slack = 2 * (queries.shape[1] + 4) * 2.0**-24
         marked = np.zeros(len(self.ids), dtype=bool)
         for i, (own, query) in enumerate(zip(query_ids, queries, strict=True)):
             marked[:] = False
@@ -83,8 +89,7 @@ class Forest:
                 marked[self.order[t, low[i, t]:high[i, t]]] = True
             found = np.flatnonzero(marked & (self.ids != own))
             if len(found) > k:  # single precision only rules out what cannot be among the best
-                rough = self.small[found] @ query.astype(np.float32)
-                slack = 1e-5 * (np.abs(query).sum() * np.abs(self.small).max() + 1e-30)
+                rough = self.small[found] @ unit[i].astype(np.float32)
                 found = found[rough >= np.partition(rough, -k)[-k] - slack]
             score = (self.vectors[found] * query).sum(axis=1)
             best = np.lexsort((self.ids[found], -score))[:k]
@@ -123,8 +128,10 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, wanted: int = W
     """(query_id, rank, vec_id, score) for the rows whose vec_id is divisible by ``every``."""
     rows = materialize(usable(embeddings))
     asks = F.col("vec_id") % every == 0
-    norm2 = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
-    facts = rows.agg(F.count("*").alias("n"), F.count_if(asks).alias("q"), F.max(F.sqrt(norm2)).alias("longest")).first()
+    top = F.array_max(F.transform("v", F.abs))
+    # Scaled by its largest component, so that no square overflows.
+    norm = F.col("top") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + (x / F.col("top")) * (x / F.col("top"))))
+    facts = rows.withColumn("top", top).agg(F.count("*").alias("n"), F.count_if(asks).alias("q"), F.max(norm).alias("longest")).first()
     blocks, chunks = max(1, -(-facts["n"] // block)), max(1, -(-facts["q"] // chunk))
     queries = rows.filter(asks).groupBy("vec_id").agg(F.min("v").alias("v"))
 
@@ -137,6 +144,6 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, wanted: int = W
     indexed = rows.select("vec_id", "v", F.lit(False).alias("asks"), dealt(blocks, "block").alias("block"), F.explode(numbers(chunks)).alias("chunk"))
     asked = queries.select("vec_id", "v", F.lit(True).alias("asks"), F.explode(numbers(blocks)).alias("block"), dealt(chunks, "chunk").alias("chunk"))
     found = indexed.unionByName(asked).groupBy("block", "chunk").applyInArrow(
-        _search_cell(k, wanted, facts["longest"] or 0.0), "query_id long, vec_id long, score double")
+        _search_cell(k, wanted, min(facts["longest"] or 1.0, float(np.finfo(float).max))), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -49,13 +49,13 @@ _HEAD = "'" + warc.HEAD.replace("\r\n", f"' || {_EOL} || '") + "'"
 
 WARC = f"""
 WITH r AS (
-  SELECT page_id AS record_id, {_HEAD} || page_id || '>' || {_EOL} || 'WARC-Target-URI: ' || coalesce(url, '') || {_EOL}
+  SELECT page_id AS record_id, {_HEAD} || page_id || '>' || {_EOL} || 'WARC-Target-URI: ' || replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') || {_EOL}
     || 'Content-Type: text/html' || {_EOL} || 'Content-Length: ' || strlen(coalesce(html, '')) || {_EOL} || {_EOL}
     || coalesce(html, '') AS record,
     ('0x' || substr(md5('fixity-1:' || page_id), 1, 2))::INT AS draw
   FROM pages),
 o AS (SELECT *, page_id // {warc.RECORDS_PER_ARCHIVE} AS archive, strlen(record)::BIGINT AS bytes FROM (SELECT *, record_id AS page_id FROM r)),
-p AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY archive ORDER BY record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM o)
+p AS (SELECT *, coalesce(sum(bytes + {len(warc.TAIL)}) OVER (PARTITION BY archive ORDER BY record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM o)
 SELECT record_id, archive, "offset", bytes,
   CASE WHEN draw < 2 THEN bytes WHEN draw < 4 THEN strlen(left(record, length(record) - 9))
     WHEN draw < 6 THEN NULL ELSE 2 * bytes END::BIGINT AS replica_bytes,

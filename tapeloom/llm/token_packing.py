@@ -55,7 +55,8 @@ class Tokenizer:
     """Whole-text token ids; a very long text is encoded in parts that end where the pre-tokenizer cuts anyway."""
 
     def __init__(self, path: str):
-        self.encode = encoding(path).encode_ordinary
+        made = encoding(path)
+        self.encode, self.largest = made.encode_ordinary, made.max_token_value
 
     def ids(self, text: str) -> np.ndarray:
         if len(text) <= PART_CHARS:
@@ -122,10 +123,10 @@ def best_fit_decreasing(lengths: np.ndarray, width: int) -> np.ndarray:
 
 
 SCHEMA = (
-    "part int, lot int, row int, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
+    "part int, lot int, row int, n_tokens int, id_bytes int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
 )
 _ARROW = pa.schema([
-    ("part", pa.int32()), ("lot", pa.int32()), ("row", pa.int32()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("positions", pa.binary()),
+    ("part", pa.int32()), ("lot", pa.int32()), ("row", pa.int32()), ("n_tokens", pa.int32()), ("id_bytes", pa.int32()), ("ids", pa.binary()), ("positions", pa.binary()),
     ("cu_seqlens", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
 
 
@@ -149,20 +150,23 @@ def packed_rows(doc_ids: list, ids: np.ndarray, cuts: np.ndarray, width: int, pa
                 source = cuts[doc[s]] + start[s]
                 matrix[to:to + size[s]] = ids[source:source + size[s]]
                 place[to:to + size[s]] = np.arange(size[s])
-            values = [part, lot, row, int(cu[-1]), matrix.tobytes(), place.tobytes(), cu.tolist(), [doc_ids[d] for d in doc[mine].tolist()], start[mine].tolist()]
+            values = [part, lot, row, int(cu[-1]), matrix.itemsize, matrix.tobytes(), place.tobytes(), cu.tolist(), [doc_ids[d] for d in doc[mine].tolist()], start[mine].tolist()]
             for column, value in zip(columns, values, strict=True):
                 column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, width: int = WIDTH, pad: int = 0, lot_tokens: int = LOT_TOKENS) -> DataFrame:
-    """Packed rows of all texts; ids and positions are ``dtype`` matrices of one row (uint16 for vocabularies and widths that fit)."""
+    """Packed rows of all texts; ids and positions are matrices of one row of unsigned integers of ``id_bytes`` bytes.
+
+    Two bytes if the largest id of the vocabulary, the pad and the width fit, else four.
+    """
     path = vocabulary or default_vocabulary()
-    dtype = "<u2" if width <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, lot, tokenizer = context.partitionId() if context is not None else 0, 0, Tokenizer(path)
+        dtype = "<u2" if max(tokenizer.largest, pad, width - 1) < 1 << 16 else "<u4"
         held_ids, held, lengths, total = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -190,7 +194,7 @@ def unpack(rows: DataFrame) -> DataFrame:
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
             for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], dtype="<u2" if len(row["ids"]) == len(row["positions"]) else "<u4")
+                ids = np.frombuffer(row["ids"], dtype=f"<u{row['id_bytes']}")
                 for k, doc in enumerate(row["doc_ids"]):
                     out[0].append(doc)
                     out[1].append(row["starts"][k])
@@ -198,3 +202,23 @@ def unpack(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
     return rows.mapInArrow(run, "doc_id long, start long, ids array<int>")
+
+
+def write_matrices(rows: DataFrame, path: str) -> None:
+    """Packed rows as matrix files: Parquet, ordered by (part, lot, row); the ids of a file are one matrix of fixed width, row after row.
+
+    A lost task writes its file again; half written files are never seen.
+    """
+    rows.sortWithinPartitions("part", "lot", "row").write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def read_matrix(file: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, positions), rows x width, of one file that ``write_matrices`` wrote, for a training loop without Spark."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(file, columns=["id_bytes", "ids", "positions"])
+    if not table.num_rows:
+        return np.zeros((0, 0), "<u2"), np.zeros((0, 0), "<u2")
+    kind = f"<u{table.column('id_bytes')[0].as_py()}"
+    ids, positions = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=kind).reshape(table.num_rows, -1) for c in ("ids", "positions"))
+    return ids, positions

@@ -5,8 +5,8 @@ The host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end,
 the rule's (from its first slash); the longest fitting rule wins. Without one the regression decides:
 block at a probability of one half or more.
 
-The regression is trained on the small table LABELLED; n-grams of three to five characters, host and path apart, count once
-per URL in 2**16 buckets.
+The regression is trained on a labelled table built by rule from word lists (``labelled_urls``); n-grams of three to five characters, host and path apart, count once
+per URL in 2**16 buckets. Pairs of words in _LEFT_OUT are kept out of the table: names of the given pages are judged unseen.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, no n-grams and the verdict allow; equal rules
 with other verdicts: the later one in the list wins.
@@ -24,30 +24,23 @@ from pyspark.sql import functions as F
 from tapeloom.llm.tables import sigmoid
 from tapeloom.llm.textbytes import mix64
 
-#: The labelled URL table: (url, 1 to block or 0 to allow).
-LABELLED = [
-    ("http://cheap-pills.test/buy/now", 1), ("https://www.cheap-pills.test/en/12", 1), ("http://pills-shop.test/offer/7.html", 1),
-    ("http://online-pills.test/en/3/", 1), ("https://casino-win.test/en/44", 1), ("http://m.casino-win.test/play?id=3", 1),
-    ("http://best-casino.test/bonus/", 1), ("https://casino-royal.test/de/9.html", 1), ("http://free-bets.test/en/5/", 1),
-    ("https://blog.free-bets.test/tips", 1), ("http://sports-bets.test/odds/today", 1), ("https://win-bets.test/fr/8", 1),
-    ("http://spam-farm.test/en/1", 1), ("https://www.spam-farm.test/links/all.html", 1), ("http://link-farm.test/de/55/", 1),
-    ("http://spam-links.test/es/4", 1), ("http://ads-track.test/pixel?u=1", 1), ("https://m.ads-track.test/en/2", 1),
-    ("http://ads-serve.test/banner/300/", 1), ("http://track-clicks.test/r/9", 1), ("https://adult-x.test/en/6.html", 1),
-    ("http://www.adult-x.test/videos/", 1), ("http://adult-cams.test/live", 1), ("https://x-adult.test/de/2", 1),
-    ("https://theren.test/en/5082/", 0), ("http://tionsh.test/fr/25930", 0), ("https://blog.ththre.test/en/8/", 0),
-    ("http://m.therha.test/de/77.html", 0), ("https://www.library.test/catalog/history", 0), ("http://university.test/courses/math", 0),
-    ("https://news.city.test/en/2024/council.html", 0), ("http://weather.test/forecast/", 0), ("https://docs.project.test/guide/install", 0),
-    ("http://museum.test/es/visit/", 0), ("https://recipes.test/soup/12", 0), ("http://www.garden.test/en/roses?page=2", 0),
-    ("https://science.test/articles/77", 0), ("http://blog.travel.test/fr/paris", 0), ("https://school.test/de/kurse/", 0),
-    ("http://forum.code.test/thread/901", 0), ("https://maps.test/region/north", 0), ("http://music.test/en/album/4.html", 0),
-    ("https://m.books.test/es/libro/33", 0), ("http://health.gov.test/advice/", 0), ("https://ondered.test/en/1066", 0),
-    ("http://erinnd.test/es/431#top", 0), ("https://onthat.test/de/50884?utm_source=feed", 0), ("http://anheat.test/fr/19.html", 0),
-    ("https://www.reanat.test/en/3665", 0), ("http://blog.shouer.test/en/21003", 0), ("https://edther.test/en/33237?page=2", 0),
-    ("http://lyesin.test/de/12044", 0), ("https://m.hation.test/fr/7/", 0), ("http://ntblea.test/es/24149", 0),
-]
+#: Words of the labelled table: what is blocked, what is not, and what stands beside either.
+BLOCKED_WORDS = (
+    "casino poker slots jackpot roulette bets betting lotto pills meds pharma steroids potency diet ads adserver banner popups tracker tracking "
+    "clicks pixel spam seo backlinks junk adult xxx cams nude escort erotic").split()
+CLEAN_WORDS = (
+    "library museum garden school weather recipes science history music travel forum code maps books health council news sports theatre bakery "
+    "hotel river mountain kitchen bicycle camera poetry language chemistry physics market press winter trains animal doctor street island reading cooking hiking knitting painting writing").split()
+BESIDE = "best free cheap mega royal online super hot top win fast live easy bonus farm x".split()
+#: Parts of invented clean names.
+SYLLABLES = "ba ker lo mi nor pa sel tur va den gri hom jal kes lun mor ner pol qui ras".split()
+_SUFFIXES = ("test", "example.com", "example.org", "example.net")
+_PATHS = ("/en/{n}", "/de/{n}/", "/fr/{n}.html", "/es/{n}?page=2", "/{n}", "/articles/{n}", "/")
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 BUCKET_BITS = 16
 GRAMS = (3, 4, 5)
+#: (word, beside) of names that must stay unseen, for an honest test.
+_LEFT_OUT = {("casino", "win"), ("bets", "free"), ("pills", "cheap"), ("spam", "farm"), ("adult", "x")}
 _AUTHORITY = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -70,20 +63,42 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
     return rule, verdict
 
 
-def grams(host: str, path: str) -> np.ndarray:
-    """Distinct buckets of the character n-grams; every part is framed by its own mark."""
-    found = []
-    for mark, part in ((1, host), (2, path)):
-        if not part:
+def labelled_urls() -> list[tuple[str, int]]:
+    """The labelled URL table, (url, 1 to block or 0 to allow), by rule.
+
+    Each blocked and each clean word stands next to each word of BESIDE, before it and after it, with and without a hyphen, so only the
+    word itself tells the kind; invented names of two or three syllables are clean. Suffixes, subdomains and paths go round alike.
+    """
+    names = [(name, label) for words, label in ((BLOCKED_WORDS, 1), (CLEAN_WORDS, 0)) for word in words for other in BESIDE
+             for name in (f"{word}-{other}", f"{other}-{word}", f"{other}{word}") if (word, other) not in _LEFT_OUT]
+    names += [(a + b + c, 0) for i, a in enumerate(SYLLABLES) for b in SYLLABLES for c in ("", SYLLABLES[i - 7])]
+    return [
+        (f"http{'s' * (k % 2)}://{('', 'www.', 'm.', 'blog.')[k % 4]}{name}.{_SUFFIXES[k % 7 % 4]}{_PATHS[k % 7].format(n=k * 37 % 9_973)}", label)
+        for k, (name, label) in enumerate(names)]
+
+
+def grams(hosts: list[str | None], paths: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket), once each, of the character n-grams of all rows; every part is framed by its own mark, a null row has none."""
+    owners, buckets = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for mark, parts in ((1, hosts), (2, paths)):
+        rows = [i for i, part in enumerate(parts) if part]
+        if not rows:
             continue
-        codes = np.array([mark, *map(ord, part), mark], dtype=np.uint64)
+        framed = [f"{chr(mark)}{parts[i]}{chr(mark)}" for i in rows]
+        codes = np.frombuffer("".join(framed).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+        owner = np.repeat(np.array(rows, dtype=np.int64), [len(x) for x in framed])
         for size in GRAMS:
-            if len(codes) >= size:
-                h = np.full(len(codes) - size + 1, mark * 16 + size, dtype=np.uint64)
-                for i in range(size):
-                    h = mix64(h * np.uint64(31) + codes[i:len(codes) - size + 1 + i])
-                found.append(h >> np.uint64(64 - BUCKET_BITS))
-    return np.unique(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, dtype=np.int64)
+            n = len(codes) - size + 1
+            if n <= 0:
+                continue
+            h = np.full(n, mark * 16 + size, dtype=np.uint64)
+            for i in range(size):
+                h = mix64(h * np.uint64(31) + codes[i:n + i])
+            inside = owner[:n] == owner[size - 1:]
+            owners.append(owner[:n][inside])
+            buckets.append((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)[inside])
+    both = np.unique(np.concatenate(owners) << BUCKET_BITS | np.concatenate(buckets))
+    return both >> BUCKET_BITS, both & ((1 << BUCKET_BITS) - 1)
 
 
 def _parts(url: str) -> tuple[str, str]:
@@ -93,25 +108,34 @@ def _parts(url: str) -> tuple[str, str]:
     return host.translate(str.maketrans(_UPPER, _LOWER)), slash + path
 
 
-def train(table: list[tuple[str, int]] | None = None, steps: int = 400, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """(weights per bucket, bias) by gradient descent on the mean log loss; features are scaled by their number."""
-    table = LABELLED if table is None else table
-    rows = [grams(*_parts(url)) for url, _ in table]
+def _logits(weights: np.ndarray, bias: float, owner: np.ndarray, bucket: np.ndarray, rows: int) -> np.ndarray:
+    """Features are scaled by their number."""
+    total = np.bincount(owner, weights=weights[bucket], minlength=rows)
+    return total / np.sqrt(np.maximum(1, np.bincount(owner, minlength=rows))) + bias
+
+
+def train(table: list[tuple[str, int]] | None = None, steps: int = 300, rate: float = 0.5, decay: float = 1e-2) -> tuple[np.ndarray, float]:
+    """(weights per bucket, bias) by gradient descent on the mean log loss, both labels weighing the same."""
+    table = labelled_urls() if table is None else table
+    hosts, paths = zip(*[_parts(url) for url, _ in table], strict=True)
+    owner, bucket = grams(list(hosts), list(paths))
     y = np.array([label for _, label in table], dtype=float)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    flat = np.concatenate(rows)
-    scale = 1.0 / np.sqrt(np.maximum(1, np.bincount(owner, minlength=len(rows))))
-    w, bias, memory = np.zeros(1 << BUCKET_BITS), 0.0, np.full(1 << BUCKET_BITS, 1e-8)
+    share = np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
+    scale = 1.0 / np.sqrt(np.maximum(1, np.bincount(owner, minlength=len(y))))
+    w, bias, memory, bias_memory = np.zeros(1 << BUCKET_BITS), 0.0, np.full(1 << BUCKET_BITS, 1e-8), 1e-8
     for _ in range(steps):
-        error = (sigmoid(np.bincount(owner, weights=w[flat], minlength=len(rows)) * scale + bias) - y) / len(rows)
-        grad = np.bincount(flat, weights=(error * scale)[owner], minlength=len(w)) + decay * w / len(rows)
+        error = (sigmoid(_logits(w, bias, owner, bucket, len(y))) - y) * share
+        grad = np.bincount(bucket, weights=(error * scale)[owner], minlength=len(w)) + decay * w / len(y)
         memory += grad * grad
         w -= rate * grad / np.sqrt(memory)
-        bias -= rate * error.sum()
+        step = error.sum()
+        bias_memory += step * step
+        bias -= rate * step / np.sqrt(bias_memory)
     return w, bias
 
 
 def probability(weights: np.ndarray, bias: float, host: Column, path: Column) -> Column:
+    """Of a block; null for a null host, 0 for a URL without n-grams."""
     used = np.flatnonzero(weights)
     values = weights[used]
 
@@ -120,20 +144,21 @@ def probability(weights: np.ndarray, bias: float, host: Column, path: Column) ->
         w = np.zeros(1 << BUCKET_BITS)
         w[used] = values
         for hosts, paths in batches:
-            out = []
-            for h, p in zip(hosts.to_pylist(), paths.to_pylist(), strict=True):
-                found = grams(h, p)
-                out.append(float(sigmoid(np.float64(w[found].sum() / np.sqrt(max(1, len(found))) + bias))) if len(found) else 0.0)
-            yield pa.array(out, type=pa.float64())
+            owner, bucket = grams(hosts.to_pylist(), paths.to_pylist())
+            p = sigmoid(_logits(w, bias, owner, bucket, len(hosts)))
+            p[np.bincount(owner, minlength=len(hosts)) == 0] = 0.0
+            yield pa.array(p, type=pa.float64(), mask=np.asarray(hosts.is_null()))
 
     return run(host, path)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, url: str = "url", key: str = "page_id") -> DataFrame:
-    """(key, host, path, rule, verdict, probability of block)."""
+    """(key, host, path, rule, verdict, probability); probability of a block where no rule fits, else null."""
     weights, bias = train()
     parted = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), RULES if rules is None else rules)
-    scored = parted.withColumn("probability", probability(weights, bias, F.col("host"), F.col("path")))
+    ruled = parted.withColumns({"rule": rule, "verdict": verdict})
+    # Only URLs without a rule are scored.
+    scored = ruled.withColumn("probability", probability(weights, bias, F.when(F.col("rule").isNull(), F.col("host")), F.col("path")))
     learned = F.when(F.col("probability") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))
-    return scored.select(key, "host", "path", rule.alias("rule"), F.coalesce(verdict, learned).alias("verdict"), "probability")
+    return scored.select(key, "host", "path", "rule", F.coalesce("verdict", learned).alias("verdict"), "probability")

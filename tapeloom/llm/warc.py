@@ -13,6 +13,10 @@ id form one leaf whose digest ignores their order (sums and xor, so a hot id nee
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,13 +26,17 @@ from tapeloom.llm.tables import materialize
 RECORDS_PER_ARCHIVE = 1_024
 FANOUT = 64
 #: How a record begins, and what follows it in a file.
-HEAD, TAIL = "WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:", "\r\n\r\n"
+#: The pages carry no date, so all records have the same one.
+HEAD, TAIL = "WARC/1.0\r\nWARC-Type: resource\r\nWARC-Date: 2000-01-01T00:00:00Z\r\nWARC-Record-ID: <urn:page:", "\r\n\r\n"
+_ID, _LENGTH = re.compile(rb"\r\nWARC-Record-ID: <urn:page:(-?\d+)>\r\n"), re.compile(rb"\r\nContent-Length: (\d+)\r\n\r\n")
 
 
 def record_text(page_id: Column, url: Column, html: Column) -> Column:
     body = F.coalesce(html, F.lit(""))
+    # A line break would end the header field.
+    target = F.replace(F.replace(F.coalesce(url, F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     return F.concat(
-        F.lit(HEAD), page_id.cast("string"), F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
+        F.lit(HEAD), page_id.cast("string"), F.lit(">\r\nWARC-Target-URI: "), target,
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body)
 
 
@@ -49,14 +57,33 @@ def write_warc(rows: DataFrame, path: str) -> None:
         .select("archive", "record").write.partitionBy("archive").option("lineSep", TAIL).option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path))
 
 
+def parse(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(record_id, record) of one file; where a record ends is told by its Content-Length, not by what its page holds."""
+    at = 0
+    while at < len(data):
+        length = _LENGTH.search(data, at)
+        name = _ID.search(data, at)
+        if length is None or name is None or name.start() > length.start():
+            raise ValueError(f"no record at byte {at}")
+        end = length.end() + int(length[1])
+        if end > len(data):
+            raise ValueError(f"record at byte {at} ends beyond the file")
+        yield int(name[1]), data[at:end]
+        at = end + len(TAIL)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, record) of WARC files written as above; a file splits at record heads, so large files are read in parallel.
+    """(record_id, record) of WARC files written as above; one task reads a file of at most RECORDS_PER_ARCHIVE records as a whole."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path).select("content")
 
-    A payload that itself holds HEAD would be taken for two records.
-    """
-    lines = spark.read.option("lineSep", HEAD).text(path).filter("value <> ''")
-    body = F.concat(F.lit(HEAD), F.expr(f"substring(value, 1, length(value) - {len(TAIL)})"))
-    return lines.select(F.substring_index("value", ">", 1).try_cast("long").alias("record_id"), body.alias("record"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                found = list(parse(content.as_py()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i for i, _ in found], pa.int64()), pa.array([r.decode() for _, r in found], pa.string())], ["record_id", "record"])
+
+    return files.mapInArrow(run, "record_id long, record string")
 
 
 def leaves(rows: DataFrame) -> DataFrame:
@@ -104,7 +131,7 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """(record_id, archive, offset, bytes, replica_bytes, kind) of each leaf that differs.
 
     kind: changed, missing (not in the right replica) or extra (only there). offset and bytes are where the left replica
-    holds the record in its archive; null for extra ones.
+    holds the record in its archive, as ``write_warc`` lays it out (its files one after the other); null for extra ones.
     """
     levels = trees(left, right)
     marked = None
@@ -122,7 +149,7 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     touched = damaged.select("archive").distinct()
     places = (
         levels[0][0].withColumn("archive", F.floor(F.col("node") / RECORDS_PER_ARCHIVE).cast("long")).join(touched, "archive", "left_semi")
-        .select("node", F.coalesce(F.sum("bytes").over(line), F.lit(0)).alias("offset")))
+        .select("node", F.coalesce(F.sum(F.col("bytes") + len(TAIL) * F.col("n")).over(line), F.lit(0)).alias("offset")))
     kind = F.when(F.col("r_hash").isNull(), "missing").when(F.col("l_hash").isNull(), "extra").otherwise("changed")
     return damaged.join(places, "node", "left").select(
         F.col("node").alias("record_id"), "archive", "offset", F.col("l_bytes").alias("bytes"), F.col("r_bytes").alias("replica_bytes"), kind.alias("kind"))

@@ -135,3 +135,10 @@ def test_components_of_a_long_path(spark):
     edges = spark.range(200).selectExpr("id as a", "id + 1 as b").unionAll(spark.sql("select 900L as a, 800L as b"))
     got = {r["node"]: r["label"] for r in connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(201)}, 800: 800, 900: 800}
+
+
+def test_null_texts_are_not_their_lookalikes(spark):
+    docs = spark.createDataFrame([(17, None), (18, "null 17"), (19, "n17"), (20, "17"), (None, "t"), (21, "t")], "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect() if r["doc_id"] is not None}
+    assert found == {17: 17, 18: 18, 19: 19, 20: 20, 21: 21}
+    assert sorted(str(r["text"]) for r in neardup.keep_one(docs).collect()) == ["17", "None", "n17", "null 17", "t"]

@@ -120,13 +120,64 @@ def test_audit_places_records_and_takes_empty_replicas(spark, pages):
     for r in sorted(left.collect(), key=lambda r: r["record_id"]):
         archive = r["record_id"] // warc.RECORDS_PER_ARCHIVE
         places.setdefault(r["record_id"], at.get(archive, 0))
-        at[archive] = at.get(archive, 0) + len(r["record"].encode())
+        at[archive] = at.get(archive, 0) + len(r["record"].encode()) + len(warc.TAIL)
     for r in warc.audit(left, left.filter("false")).collect():
         assert r["kind"] == "missing" and r["offset"] == places[r["record_id"]]
     assert warc.audit(left.filter("false"), left.filter("false")).count() == 0
     assert {r["kind"] for r in warc.audit(left.filter("false"), left).collect()} == {"extra"}
 
 
+def test_pages_that_hold_record_heads_are_read_by_length(spark, tmp_path):
+    nested = warc.HEAD + "7>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = [(1, "http://a.test/\r\nContent-Length: 1\r\n\r\n", nested * 3), (2, None, nested), (2, "u", "\r\n\r\n"), (None, "é", "漢" * 9)]
+    records = warc.records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    warc.write_warc(records, str(tmp_path / "n"))
+    assert sorted(map(tuple, warc.read_warc(spark, str(tmp_path / "n")).collect())) == sorted(map(tuple, records.collect()))
+    with pytest.raises(ValueError, match="no record"):
+        list(warc.parse(b"junk"))
+
+
+def test_reported_offsets_are_places_in_the_files(spark, pages, tmp_path):
+    left = warc.records(pages).dropDuplicates(["record_id"])
+    warc.write_warc(left, str(tmp_path / "o"))
+    archives = {}
+    for folder in (tmp_path / "o").glob("archive=*"):
+        archives[int(folder.name.partition("=")[2])] = b"".join(f.read_bytes() for f in sorted(folder.glob("*.txt")))
+    by_id = {r["record_id"]: r["record"].encode() for r in left.collect()}
+    found = warc.audit(left, warc.damaged_copy(left)).filter("kind <> 'extra'").collect()
+    assert len(found) > 50
+    for r in found:
+        assert archives[r["archive"]][r["offset"]:r["offset"] + r["bytes"]] == by_id[r["record_id"]]
+
+
+def test_wide_vocabularies_keep_their_ids(spark, documents_of, tmp_path):
+    import base64
+
+    # 256 bytes and 70,000 invented ranks: ids beyond 16 bits occur.
+    tokens = [bytes([b]) for b in range(256)] + [f"{k:05d}".encode() for k in range(70_000)]
+    steps = sorted({t[:n] for t in tokens[256:] for n in range(2, 5)})
+    path = tmp_path / "wide.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(i).encode() for i, t in enumerate([*tokens[:256], *steps, *tokens[256:]])))
+    rows = [(k, f"{69_990 + k % 10:05d}" * 4 + " x", "a") for k in range(40)]
+    packed = token_packing.pack(documents_of(rows), vocabulary=str(path), width=64)
+    assert {r["id_bytes"] for r in packed.collect()} == {4}
+    encode = token_packing.encoding(str(path)).encode_ordinary
+    got = {r["doc_id"]: r["ids"] for r in token_packing.unpack(packed).collect()}
+    assert got == {k: encode(t) for k, t, _ in rows} and max(max(v) for v in got.values()) > 1 << 16
+
+
+def test_matrix_files_hold_the_rows(spark, documents_of, tmp_path):
+    rows = token_packing.pack(documents_of([(k, prose(k, 40 + k), "a") for k in range(60)]).coalesce(2), width=128)
+    token_packing.write_matrices(rows, str(tmp_path / "m"))
+    want = {(r["ids"], r["positions"]) for r in rows.collect()}
+    got = set()
+    for file in (tmp_path / "m").glob("*.parquet"):
+        ids, positions = token_packing.read_matrix(str(file))
+        assert ids.shape == positions.shape and ids.shape[1] == 128
+        got |= {(a.tobytes(), b.tobytes()) for a, b in zip(ids, positions, strict=True)}
+    assert got == want
+
+
 def test_packing_round_trip(spark, documents_of, odd_rows):
     docs = documents_of([*odd_rows, *[(1_000 + k, prose(k, 5 + 37 * k % 900), "a") for k in range(150)]])
     rows = token_packing.pack(docs.repartition(3), width=256, lot_tokens=20_000)
