@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapeloom.functions.carry import last_known
+
 PRICES = ("open", "high", "low", "close")
 
 
 def asof_join(
-    probe: DataFrame, build: DataFrame, keys: list[str], probe_time: str, build_time: str, fields: list[str]
+    probe: DataFrame, build: DataFrame, keys: list[str], probe_time: str, build_time: str, fields: list[str], chunk: str | None = None
 ) -> DataFrame:
     """Attach to every probe row the newest build row of its key with build_time <= probe_time.
 
     Union and carry: both sides share one shuffle by key and one sort by time, so no range
-    join and no row pairs arise.
+    join and no row pairs arise. Where a key may hold more rows than a task should sort, ``chunk`` (such as "30 days")
+    cuts it into time chunks, and the newest build row of the earlier ones is carried in by a table of one row per chunk.
     """
     payload = F.struct(build_time, *fields)
     left = probe.select(*keys, F.col(probe_time).alias("_t"), F.lit(1).alias("_side"),
@@ -24,7 +27,11 @@ def asof_join(
                          F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_p"].dataType).alias("_p"),
                          payload.alias("_b"))
     carry = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    merged = left.unionByName(right).withColumn("_b", F.last("_b", ignorenulls=True).over(carry))
+    both = left.unionByName(right)
+    if chunk is None:
+        merged = both.withColumn("_b", F.last("_b", ignorenulls=True).over(carry))
+    else:
+        merged = last_known(both, keys, ["_t", "_side"], ["_b"], chunk)
     found = merged.filter("_side = 1")
     as_of = F.col(f"_b.{build_time}").alias(f"known_{build_time}")
     return found.select("_p.*", as_of, *[F.col(f"_b.{f}").alias(f) for f in fields])

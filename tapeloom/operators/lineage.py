@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom import fixed
 from tapeloom.functions.columns import kept
-from tapeloom.session import materialize
+from tapeloom.session import materialize, scratch_path
 
 
 def neighbors(edges: DataFrame) -> DataFrame:
@@ -27,39 +29,75 @@ def closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """
     steps = materialize(edges.select(F.col("source_id").alias("root"), F.col("target_id").alias("node")).filter("root <> node").distinct())
     if roots is None:
-        known = steps
+        known = new = steps
         while True:
-            onward = known.select(F.col("root").alias("node"), F.col("node").alias("_to"))
-            grown = known.join(onward, "node").select("root", F.col("_to").alias("node")).filter("root <> node")
+            # Only pairs with a new half can be new.
+            grown = _onward(new, known).union(_onward(known, new)).filter("root <> node")
             new = materialize(grown.distinct().join(known, ["root", "node"], "left_anti"))
             if new.isEmpty():
                 return known
             known = materialize(known.union(new))
-    known = level = materialize(steps.join(roots.select(F.col("node_id").alias("root")).distinct(), "root", "left_semi"))
-    onward = steps.select(F.col("root").alias("node"), F.col("node").alias("_to"))
-    while not level.isEmpty():
-        reached = level.join(onward, "node").select("root", F.col("_to").alias("node")).filter("root <> node")
-        level = materialize(reached.distinct().join(known, ["root", "node"], "left_anti"))
-        known = known.union(level)
-    return known
+    first = steps.join(roots.select(F.col("node_id").alias("root")).distinct(), "root", "left_semi")
+    return _by_levels(first, lambda level: _onward(level, steps).filter("root <> node").distinct(), ["root", "node"])
+
+
+def _onward(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(root, node): the pairs of ``left`` lengthened by those of ``right``."""
+    return left.join(right.select(F.col("root").alias("node"), F.col("node").alias("_to")), "node").select("root", F.col("_to").alias("node"))
+
+
+def _by_levels(first: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str] | None = None) -> DataFrame:
+    """``first`` and all that ``step`` makes of each level, until a level is empty; with ``keys`` only rows that are new go on.
+
+    Every level is a folder of one table, so the plan of the result is one scan, however many levels there are.
+    """
+    spark, path = first.sparkSession, scratch_path(first.sparkSession, "levels")
+    schema, number, level = first.schema, 0, first
+    while True:
+        level.write.parquet(f"{path}/depth={number}")
+        level = spark.read.schema(schema).parquet(f"{path}/depth={number}")
+        known = spark.read.schema(schema).parquet(path).select(*schema.names)
+        if level.isEmpty():
+            return known
+        level = step(level)
+        if keys is not None:
+            level = level.join(known, keys, "left_anti")
+        number += 1
+
+
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node_id) of the seeds and all nodes that can be reached from any of them; no pairs are kept."""
+    steps = materialize(edges.select(F.col("source_id").alias("node_id"), F.col("target_id").alias("_to")).distinct())
+    return _by_levels(
+        seeds.select("node_id").distinct(), lambda level: level.join(steps, "node_id").select(F.col("_to").alias("node_id")).distinct(), ["node_id"])
 
 
 def paths(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """All simple paths from the nodes of ``sources`` to those of ``targets``, as arrays.
 
-    A path grows until no simple path is left to extend; on dense graphs their number is exponential.
+    Only edges into nodes from which a target can be reached are followed, so branches that end elsewhere are never
+    walked. A path grows until no simple path is left to extend; on dense graphs their number is exponential.
     """
-    steps = edges.select("source_id", "target_id").distinct()
-    alive = materialize(sources.select("node_id").distinct().select(F.col("node_id").alias("end"), F.array("node_id").alias("path")))
-    wanted = targets.select(F.col("node_id").alias("end")).distinct()
-    found = alive.join(wanted, "end", "left_semi")
-    while not alive.isEmpty():
-        grown = alive.join(steps, F.col("end") == F.col("source_id")).filter(~F.array_contains("path", F.col("target_id")))
-        alive = materialize(grown.select(F.col("target_id").alias("end"), F.concat("path", F.array("target_id")).alias("path")))
-        found = found.union(alive.join(wanted, "end", "left_semi"))
+    reversed_ = edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
+    useful = materialize(reachable(reversed_, targets))
+    steps = useful_steps(edges, useful)
+    first = sources.select("node_id").distinct().join(useful, "node_id", "left_semi").select(F.col("node_id").alias("end"), F.array("node_id").alias("path"))
+
+    def grow(level: DataFrame) -> DataFrame:
+        grown = level.join(steps, F.col("end") == F.col("source_id")).filter(~F.array_contains("path", F.col("target_id")))
+        return grown.select(F.col("target_id").alias("end"), F.concat("path", F.array("target_id")).alias("path"))
+
+    found = _by_levels(first, grow).join(targets.select(F.col("node_id").alias("end")).distinct(), "end", "left_semi")
     return found.select(F.element_at("path", 1).alias("source_id"), F.col("end").alias("target_id"), "path")
 
 
+def useful_steps(edges: DataFrame, useful: DataFrame) -> DataFrame:
+    """The edges into nodes of ``useful``, once each."""
+    return materialize(
+        edges.select("source_id", "target_id").distinct().join(useful.select(F.col("node_id").alias("target_id")), "target_id", "left_semi")
+        .select("source_id", "target_id"))
+
+
 def impact(edges: DataFrame, reach: DataFrame) -> DataFrame:
     """Direct and total counts up and down per node, from the edges and their closure."""
     step = edges.select("source_id", "target_id").distinct()

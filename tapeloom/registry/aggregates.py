@@ -30,11 +30,8 @@ _PARTS = ("1m", "5m", "15m", "1h", "1d", "1w", "1mo")
 
 def _all_targets(t):
     """Ticks to every target: ticks are read once, each coarser target comes from the next finer one, weeks and months from days."""
-    made, frames = {}, []
-    for to in _PARTS:
-        source = made.get("1d") if to in ("1w", "1mo") else made.get(_PARTS[_PARTS.index(to) - 1]) if made else t.ticks()
-        made[to] = part = materialize(resample.resample(source, to))
-        frames.append(part.select(F.lit(to).alias("target"), "symbol", "datetime", *_OHLCV, r("turnover", 4)))
+    chain = resample.resample_chain(t.ticks(), list(_PARTS))
+    frames = [chain[to].select(F.lit(to).alias("target"), "symbol", "datetime", *_OHLCV, r("turnover", 4)) for to in _PARTS]
     out = frames[0]
     for f in frames[1:]:
         out = out.union(f)

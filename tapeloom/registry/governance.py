@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeloom import fixed
 from tapeloom.operators import events, lineage, metrics, retention
 from tapeloom.registry.base_sql import define, sql
 from tapeloom.registry.common import on_tables, r, rq
@@ -21,8 +22,7 @@ SELECT node_id, count(*) FILTER (k = 1) AS direct_impact, count(*) FILTER (k = 2
 FROM (SELECT source_id AS node_id, 1 AS k FROM lineage_edges UNION ALL SELECT root, 2 FROM closure
   UNION ALL SELECT target_id, 3 FROM lineage_edges UNION ALL SELECT node, 4 FROM closure) GROUP BY 1""")
 define("rules", [], """
-SELECT * FROM (VALUES ('data_quality_low', 'data_quality_score', 0.8e0, '<', 'warning'), ('data_freshness_old', 'data_age_hours', 24e0, '>', 'error'),
-  ('storage_space_low', 'storage_usage_percent', 90e0, '>', 'critical'), ('api_error_rate_high', 'api_error_rate', 0.1e0, '>', 'error'))
+SELECT * FROM (VALUES """ + ", ".join(f"('{rule}', '{name}', {bound}e0, '{op}', '{level}')" for rule, name, bound, op, level, _ in fixed.ALERT_RULES) + """)
 v(rule, name, threshold, op, level)""")
 define("changes", ["metrics", "rules"], """
 SELECT * FROM (SELECT *, CASE WHEN breach AND NOT before THEN 'fired' WHEN NOT breach AND before THEN 'resolved' END AS change FROM (
@@ -45,6 +45,12 @@ def _providers(t):
 _PROVIDER = "CASE s_suppkey % 3 WHEN 0 THEN 'akshare' WHEN 1 THEN 'tushare' ELSE 'yfinance' END"
 
 
+def _worsened(t):
+    """Metrics at ten times their level, quality at a tenth of it."""
+    value = F.col("value")
+    return t.metrics().withColumn("value", F.when(F.col("name") == "data_quality_score", value / 10).otherwise(value * 10))
+
+
 def _alerts(t):
     fired = metrics.alerts(metrics.transitions(t.metrics(), metrics.rule_table(t.spark)))
     return fired.withColumn("acknowledged", F.col("event_id") % 2 == 0)
@@ -86,7 +92,7 @@ QUERIES = {
         "event_id", "timestamp", "user_id", "asset_id", "details")),
     "metric_stats": on_tables(lambda t: metrics.statistics(metrics.trailing(t.metrics(), NOW, "10 days")).select(
         "name", "count", "min", "max", r("mean", 7), "latest")),
-    "alert_rules": on_tables(lambda t: metrics.firing(t.metrics(), metrics.rule_table(t.spark)).select("rule", "name", "level", "value", "threshold")),
+    "alert_rules": on_tables(lambda t: metrics.firing(_worsened(t), metrics.rule_table(t.spark)).select("rule", "name", "level", "value", "threshold")),
     "alert_transitions": on_tables(lambda t: metrics.transitions(t.metrics(), metrics.rule_table(t.spark)).select(
         "rule", "timestamp", "value", "change", "level")),
     "alert_stats": on_tables(lambda t: metrics.alert_stats(_alerts(t))),
@@ -149,7 +155,8 @@ ORACLE = {
         f"SELECT name, count(*) AS count, min(value) AS min, max(value) AS max, {rq('avg(value)', 7, 'mean')}, arg_max(value, (timestamp, event_id)) AS latest FROM metrics "
         f"WHERE timestamp >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY GROUP BY 1", "metrics"),
     "alert_rules": sql(
-        "SELECT rule, name, level, value, threshold FROM (SELECT name, arg_max(value, (timestamp, event_id)) AS value FROM metrics GROUP BY 1) JOIN rules USING (name) "
+        "SELECT rule, name, level, value, threshold FROM (SELECT name, CASE name WHEN 'data_quality_score' THEN v / 10 ELSE v * 10 END AS value FROM "
+        "(SELECT name, arg_max(value, (timestamp, event_id)) AS v FROM metrics GROUP BY 1)) JOIN rules USING (name) "
         "WHERE CASE op WHEN '>' THEN value > threshold ELSE value < threshold END", "metrics", "rules"),
     "alert_transitions": sql("SELECT rule, timestamp, value, change, level FROM changes", "changes"),
     "alert_stats": sql(

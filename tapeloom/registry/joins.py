@@ -39,6 +39,10 @@ QUERIES = {
     "asof_industry_by_day": on_tables(lambda t: joins.valid_on(
         t.prices().select("symbol", "trade_date", "close"), t.industry().filter("industry_level = 'level2'"), ["symbol"], "trade_date").select(
         "symbol", "trade_date", "close", "industry_code", "industry_name")),
+    "asof_ticks": on_tables(lambda t: joins.asof_join(
+        t.ticks().filter("symbol = 'purchase'").select("exchange", "datetime", "close"),
+        t.ticks().filter("symbol = 'view'").select("exchange", "datetime", F.col("close").alias("seen")), ["exchange"], "datetime", "datetime", ["seen"],
+        chunk="6 hours").select("datetime", "close", "known_datetime", "seen")),
     "align_series": on_tables(lambda t: joins.align_series(t.macro(), CODES).select("date", *CODES)),
     "lineage_dataset_join": on_tables(lambda t: lineage.affected_datasets(
         t.lineage_nodes(), lineage.closure(t.lineage_edges()))),
@@ -89,6 +93,9 @@ ORACLE = {
     "asof_industry_by_day": sql(
         "SELECT p.symbol, trade_date, close, industry_code, industry_name FROM prices p JOIN industry i ON p.symbol = i.symbol AND industry_level = 'level2' "
         "AND effective_date <= trade_date AND (end_date IS NULL OR end_date > trade_date)", "prices", "industry"),
+    "asof_ticks": sql(
+        "SELECT p.datetime, p.close, v.datetime AS known_datetime, v.close AS seen FROM (SELECT * FROM ticks WHERE symbol = 'purchase') p ASOF LEFT JOIN "
+        "(SELECT * FROM ticks WHERE symbol = 'view') v ON p.exchange = v.exchange AND p.datetime >= v.datetime", "ticks"),
     "align_series": sql(
         "SELECT date, " + ", ".join(f"max(value) FILTER (data_code = '{c}') AS {c}" for c in CODES)
         + " FROM macro GROUP BY 1 HAVING count(*) = 5", "macro"),

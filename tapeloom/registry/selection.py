@@ -74,6 +74,12 @@ SELECT trade_date, symbol, industry, round(0 + momentum_120 * 0.4e0 + volatility
 FROM scored_plain)) WHERE rank <= 50""")
 
 
+define("custom_rows", ["factors", "tradable_prices"], """
+SELECT f.trade_date, f.symbol, f.industry, p.x FROM factors f ASOF JOIN (SELECT symbol, trade_date,
+  1 - close / lag(close, 5) OVER (PARTITION BY symbol ORDER BY trade_date) AS x FROM tradable_prices) p
+ON f.symbol = p.symbol AND f.trade_date >= p.trade_date""")
+
+
 def _factors(t, until: str = UNTIL):
     return signals.factor_frame(t.prices(), t.fundamentals(), t.universe(), until)
 
@@ -180,8 +186,7 @@ QUERIES = {
     "validate_signals": on_tables(lambda t: signals.validate_signals(_broken_signals(t))),
     "custom_factor": on_tables(lambda t: _custom(t).select("trade_date", "symbol", r("reversal_5", 8))),
     "custom_factor_scores": on_tables(lambda t: signals.score_factors(
-        materialize(_custom(t)), cap=None, columns=["reversal_5"]).groupBy("trade_date").agg(F.sum("reversal_5").alias("s")).select(
-        "trade_date", (F.abs("s") < 1e-6).alias("residuals_cancel"))),
+        materialize(_custom(t)), cap=None, columns=["reversal_5"]).select("trade_date", "symbol", r("reversal_5", 6))),
     "custom_screen": on_tables(lambda t: signals.screen_where(
         t.fundamentals(), [F.col("pe_ttm") < 20, F.col("pb_ratio") > F.col("ps_ratio")]).select("symbol", "date", "pe_ttm", "pb_ratio", "ps_ratio")),
     "signal_summary": on_tables(lambda t: summaries.signal_summary(_signals(t)).select(
@@ -282,7 +287,11 @@ WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)) r"""),
         "1 - close / lag(close, 5) OVER (PARTITION BY symbol ORDER BY trade_date) AS reversal_5 FROM tradable_prices) p "
         "ON f.symbol = p.symbol AND f.trade_date >= p.trade_date", "factors", "tradable_prices"),
     "custom_factor_scores": sql(
-        "SELECT trade_date, CASE WHEN count(*) > 1 THEN true END AS residuals_cancel FROM factors GROUP BY 1", "factors"),
+        f"SELECT trade_date, symbol, {rq('CASE WHEN missing > 0 THEN z ELSE z - m END', 6, 'reversal_5')} FROM (SELECT *, avg(z) OVER (PARTITION BY trade_date, "
+        "industry) AS m, count(*) FILTER (z IS NULL) OVER (PARTITION BY trade_date) AS missing FROM (SELECT trade_date, symbol, industry, (c - avg(c) OVER d) / "
+        "nullif(stddev_samp(c) OVER d, 0) AS z FROM (SELECT c.trade_date, symbol, industry, greatest(least(x, hi), lo) AS c FROM custom_rows c "
+        "JOIN (SELECT trade_date, quantile_cont(x, 0.01e0) AS lo, quantile_cont(x, 0.99e0) AS hi FROM custom_rows GROUP BY 1) b USING (trade_date)) "
+        "WINDOW d AS (PARTITION BY trade_date)))", "custom_rows"),
     "custom_screen": sql(
         "SELECT symbol, date, pe_ttm, pb_ratio, ps_ratio FROM fundamentals WHERE pe_ttm < 20 AND pb_ratio > ps_ratio", "fundamentals"),
     "signal_summary": sql(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeloom.functions.carry import in_blocks, last_known
 from tapeloom.operators import joins, performance, series
 from tapeloom.registry.base_sql import define, sql
 from tapeloom.registry.common import on_tables, r, rq
@@ -34,7 +35,24 @@ def _pnl(t):
     return performance.signal_pnl(series.ma_cross(t.bars(), 10, 30, band_bp=3.0, delay=1))
 
 
+def _tick_windows(t):
+    """Windows over ticks, whose series have no bound, in blocks of rows."""
+    def compute(rows, keys):
+        return series.volatility_n(series.sma(rows, {"ma20": 20}, keys=keys), 20, keys=keys)
+
+    return in_blocks(t.ticks(), list(series.KEYS), ["datetime"], 20, compute, block_rows=500)
+
+
+def _tick_gaps_filled(t):
+    """Ticks that lost every third close and volume, filled forward in time chunks."""
+    lost = F.unix_micros(F.col("datetime").cast("timestamp"))
+    holed = t.ticks().withColumns({c: F.when(lost % 3 != k, F.col(c)) for k, c in enumerate(("close", "open"))})
+    return last_known(holed, list(series.KEYS), ["datetime"], ["close", "open"], "6 hours")
+
+
 QUERIES = {
+    "tick_windows": on_tables(lambda t: _tick_windows(t).select("symbol", "datetime", r("ma20", 6), r("volatility", 6))),
+    "tick_forward_fill": on_tables(lambda t: _tick_gaps_filled(t).select("symbol", "datetime", "close", "open")),
     "returns": on_tables(lambda t: series.returns(t.bars()).select(*KEY, r("ret", 8))),
     "momentum_n": on_tables(lambda t: series.momentum_n(t.bars(), 120).select(*KEY, r("momentum", 8))),
     "momentum_cfg": on_tables(
@@ -124,6 +142,15 @@ FROM (SELECT exchange, symbol, datetime, close, 1000 * CASE WHEN rn <= 30 THEN 0
 define("pnl_rows", ["signs"], _PNL)
 
 ORACLE = {
+    "tick_windows": sql(
+        f"SELECT symbol, datetime, {rq('CASE WHEN count(close) OVER w = 20 THEN avg(close) OVER w END', 6, 'ma20')}, "
+        f"{rq('CASE WHEN count(ret) OVER w = 20 THEN stddev_samp(ret) OVER w END', 6, 'volatility')} FROM (SELECT *, close / lag(close) OVER "
+        "(PARTITION BY symbol ORDER BY datetime) - 1 AS ret FROM ticks) WINDOW w AS (PARTITION BY symbol ORDER BY datetime ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)",
+        "ticks"),
+    "tick_forward_fill": sql(
+        "SELECT symbol, datetime, last_value(c IGNORE NULLS) OVER w AS close, last_value(o IGNORE NULLS) OVER w AS open FROM (SELECT symbol, datetime, "
+        "CASE WHEN epoch_us(datetime) % 3 <> 0 THEN close END AS c, CASE WHEN epoch_us(datetime) % 3 <> 1 THEN open END AS o FROM ticks) "
+        "WINDOW w AS (PARTITION BY symbol ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "ticks"),
     "returns": sql(f"SELECT exchange, symbol, datetime, {rq('ret', 8, 'ret')} FROM rets", "rets"),
     "momentum_n": sql(
         f"SELECT exchange, symbol, datetime, {rq(f'close / lag(close, 120) OVER ({W}) - 1', 8, 'momentum')} FROM bars",
