@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom import fixed
 from tapeloom.functions.columns import kept
+from tapeloom.operators.reach import numbered, reach_counts
 from tapeloom.session import materialize, scratch_path
 
 
@@ -98,20 +99,34 @@ def useful_steps(edges: DataFrame, useful: DataFrame) -> DataFrame:
         .select("source_id", "target_id"))
 
 
-def impact(edges: DataFrame, reach: DataFrame) -> DataFrame:
-    """Direct and total counts up and down per node, from the edges and their closure."""
+def impact(edges: DataFrame) -> DataFrame:
+    """Direct and total counts up and down per node; totals are counted on sets of nodes (``reach``), not on pairs."""
+    own = numbered(_as_items(edges))
+    return _impact(edges, own, reach_counts(edges, own))
+
+
+def _impact(edges: DataFrame, own: DataFrame, below: DataFrame) -> DataFrame:
+    """impact with the numbered nodes and the counts (node_id, kind, total) of what lies below each node at hand."""
     step = edges.select("source_id", "target_id").distinct()
+    above = reach_counts(edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")), own)
     parts = [
-        step.select(F.col("source_id").alias("node_id"), F.lit("direct_impact").alias("kind")),
-        step.select("target_id", F.lit("dependencies")),
-        reach.select("root", F.lit("total_impact")),
-        reach.select("node", F.lit("total_dependencies")),
+        step.groupBy(F.col("source_id").alias("node_id")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("direct_impact")),
+        step.groupBy(F.col("target_id").alias("node_id")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("dependencies")),
+        below.filter("kind = 'node'").select("node_id", F.col("total").alias("n"), F.lit("total_impact").alias("kind")),
+        above.select("node_id", F.col("total").alias("n"), F.lit("total_dependencies").alias("kind")),
     ]
     rows = parts[0]
     for part in parts[1:]:
-        rows = rows.union(part)
+        rows = rows.unionByName(part)
     kinds = ("direct_impact", "total_impact", "dependencies", "total_dependencies")
-    return rows.groupBy("node_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    return rows.groupBy("node_id").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in kinds])
+
+
+def _as_items(edges: DataFrame) -> DataFrame:
+    """Every node as an item of itself, near the other children of its parent."""
+    parents = edges.groupBy(F.col("target_id").alias("node_id")).agg(F.min("source_id").alias("near"))
+    nodes = edges.select(F.col("source_id").alias("node_id")).union(edges.select("target_id")).distinct()
+    return nodes.join(parents, "node_id", "left").select("node_id", F.lit("node").alias("kind"), F.col("node_id").alias("item"), "near")
 
 
 def advise(impacts: DataFrame) -> DataFrame:
@@ -129,12 +144,15 @@ def affected_datasets(nodes: DataFrame, reach: DataFrame) -> DataFrame:
     return hits.select(F.col("root").alias("node_id"), "dataset_id").distinct()
 
 
-def dataset_impact(nodes: DataFrame, edges: DataFrame, reach: DataFrame) -> DataFrame:
+def dataset_impact(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Impact of each dataset through its first store node, with the number of affected datasets."""
     stores = nodes.filter("node_type = 'store'").groupBy("dataset_id").agg(F.min("node_id").alias("node_id"))
-    counts = affected_datasets(nodes, reach).groupBy("node_id").agg(F.count("*").alias("affected_datasets"))
+    held = nodes.filter("dataset_id is not null").select("node_id", F.lit("dataset").alias("kind"), F.col("dataset_id").alias("item"), F.col("dataset_id").alias("near"))
+    own = numbered(_as_items(edges).unionByName(held))
+    below = materialize(reach_counts(edges, own))
+    counts = below.filter("kind = 'dataset'").select("node_id", F.col("total").alias("affected_datasets"))
     zeros = {c: 0 for c in ("direct_impact", "total_impact", "dependencies", "total_dependencies", "affected_datasets")}
-    joined = stores.join(impact(edges, reach), "node_id", "left").join(counts, "node_id", "left").na.fill(zeros)
+    joined = stores.join(_impact(edges, own.filter("kind = 'node'"), below), "node_id", "left").join(counts, "node_id", "left").na.fill(zeros)
     return advise(joined)
 
 

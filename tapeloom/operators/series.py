@@ -7,10 +7,16 @@ Tick series go through ``functions.carry`` or are resampled first.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
+from tapeloom.functions.quantiles import matched
+from tapeloom.session import materialize
+
 KEYS = ("exchange", "symbol", "interval")
 
 
@@ -240,28 +246,60 @@ def statement_growth(df: DataFrame, fields: list[str], keys=("exchange", "symbol
     return df.withColumns({f"{f}_growth": 100 * (F.try_divide(F.col(f), F.lag(f).over(w)) - 1) for f in fields})
 
 
-def valuation_percentile(df: DataFrame, metric: str = "pe_ratio", rows: int = 252, keys=("exchange", "symbol")) -> DataFrame:
-    """Percent of the last ``rows`` rows whose metric is not below the current one."""
-    frame = over_series(keys, "date").rowsBetween(-(rows - 1), 0)
-    seen = F.collect_list(F.struct(F.col(metric).alias("x"))).over(frame)
-    listed = df.withColumn("_seen", seen)
-    above = F.size(F.filter("_seen", lambda s: s["x"] >= F.col(metric)))
-    return listed.withColumn(f"{metric}_percentile", F.try_divide(above * 100.0, F.size("_seen"))).drop("_seen")
+def valuation_percentile(df: DataFrame, metric: str = "pe_ratio", rows: int = 252, keys=("exchange", "symbol"), order: str = "date") -> DataFrame:
+    """Percent of the last ``rows`` rows whose metric is not below the current one; 0 where the current one is null.
+
+    A series is compared in numpy by shifted slices, so no row carries a list. Series without a bound go through
+    ``carry.in_blocks`` with a look back of rows - 1. NaN counts as the greatest value.
+    """
+    out = f"{metric}_percentile"
+    given = df.drop(out)
+
+    def rated(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        column = table.column(metric).cast(pa.float64())
+        value, known = column.to_numpy(), ~column.is_null().to_numpy(zero_copy_only=False)
+        code = np.where(known, np.unique(value, return_inverse=True)[1], -1)
+        # NaN marks nulls in ``value`` too; they only take a code of their own, which is overwritten.
+        above = (known & (code >= 0)).astype(np.int64)
+        for back in range(1, min(rows, len(code))):
+            above[back:] += code[:-back] >= code[back:]
+        above[~known] = 0
+        return table.append_column(out, pa.array(100.0 * above / np.minimum(np.arange(1, len(code) + 1), rows)))
+
+    return given.groupBy(*keys).applyInArrow(rated, T.StructType([*given.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def pct_rank_history(
     df: DataFrame, metric: str = "pe_ratio", keys=("exchange", "symbol"), cheap: float = 30, dear: float = 70
 ) -> DataFrame:
-    """Average-rank percentile over the whole history, with a cheap / fair / dear level."""
-    by = Window.partitionBy(*keys)
-    ties = F.count(metric).over(Window.partitionBy(*keys, metric))
-    rank = F.rank().over(by.orderBy(F.col(metric).asc_nulls_last())) + (ties - 1) / 2
-    pct = F.when(F.col(metric).isNotNull(), F.try_divide(rank * 100, F.count(metric).over(by)))
-    out = df.withColumn("percentile", pct)
+    """Average-rank percentile over the whole history, with a cheap / fair / dear level; see ``average_ranks``."""
+    ranks = average_ranks(df, list(keys), metric)
+    pct = F.when(F.col(metric).isNotNull(), F.try_divide(F.col("_rank") * 100, F.col("_total")))
+    out = matched(df, ranks, [*keys, metric], "left").withColumn("percentile", pct).drop("_rank", "_total")
     level = F.when(F.col("percentile") < cheap, "cheap").when(F.col("percentile") > dear, "dear").otherwise("fair")
     return out.withColumn("level", F.when(F.col("percentile").isNotNull(), level))
 
 
+def average_ranks(df: DataFrame, keys: list[str], metric: str) -> DataFrame:
+    """(keys, metric, _rank, _total): the average rank of every distinct value in its series, and the rows of the series.
+
+    No series is sorted in one task: values are counted first, the counts are dealt by range of (series, value), a window sums
+    them inside a range, and what lies in earlier ranges of a series comes from a table of one row per series and range.
+    """
+    counts = df.filter(F.col(metric).isNotNull()).groupBy(*keys, metric).agg(F.count("*").alias("_c"))
+    ranged = materialize(counts.repartitionByRange(*keys, metric).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum("_c").alias("_sum"))
+    series = Window.partitionBy(*keys)
+    before = F.sum("_sum").over(series.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select(*keys, "_range", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_sum").over(series).alias("_total"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_range").orderBy(metric))
+    placed = matched(ranged.withColumn("_upto", upto), offsets, [*keys, "_range"])
+    # Of c equal values the first has rank before + upto - c + 1, the mean lies (c - 1) / 2 after it.
+    rank = F.col("_before") + F.col("_upto") - F.col("_c") + 1 + (F.col("_c") - 1) / 2
+    return placed.select(*keys, metric, rank.alias("_rank"), "_total")
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The newest row per key, by a combinable aggregate."""
     rest = [c for c in df.columns if c not in keys]

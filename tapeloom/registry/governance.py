@@ -76,9 +76,9 @@ QUERIES = {
     "lineage_neighbors": on_tables(lambda t: lineage.neighbors(t.lineage_edges())),
     "lineage_closure": on_tables(lambda t: lineage.closure(t.lineage_edges())),
     "lineage_paths": on_tables(_paths),
-    "lineage_impact": on_tables(lambda t: lineage.impact(t.lineage_edges(), lineage.closure(t.lineage_edges()))),
+    "lineage_impact": on_tables(lambda t: lineage.impact(t.lineage_edges())),
     "dataset_impact": on_tables(lambda t: lineage.dataset_impact(
-        t.lineage_nodes(), t.lineage_edges(), lineage.closure(t.lineage_edges())).select(
+        t.lineage_nodes(), t.lineage_edges()).select(
         "dataset_id", "node_id", "direct_impact", "total_impact", "dependencies", "total_dependencies", "affected_datasets",
         F.array_join("recommendations", "|").alias("advice"))),
     "provider_impact": on_tables(lambda t: lineage.provider_impact(lineage.datasets_of_provider(_providers(t), "share")).select(

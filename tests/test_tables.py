@@ -85,7 +85,7 @@ def test_closure_of_a_cycle(spark):
     nodes = spark.createDataFrame([("a",), ("d",)], "node_id string")
     found = lineage.paths(edges, nodes.filter("node_id = 'a'"), nodes.filter("node_id = 'd'")).collect()
     assert [r["path"] for r in found] == [["a", "b", "c", "d"]]
-    counts = {r["node_id"]: r for r in lineage.impact(edges, reach).collect()}
+    counts = {r["node_id"]: r for r in lineage.impact(edges).collect()}
     assert counts["c"]["direct_impact"] == 2 and counts["d"]["total_dependencies"] == 3
 
 
