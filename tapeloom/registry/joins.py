@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tapeloom.operators import joins, lineage, series
 from tapeloom.registry.base_sql import sql
 from tapeloom.registry.common import on_tables, r, rq
+from tapeloom.session import materialize
+from tapeloom.sinks import tables as sinks
 
 CODES = ["GDP", "CPI", "PPI", "M2", "UNEMPLOYMENT"]
 
@@ -22,7 +24,17 @@ def _asof(t):
     return joins.asof_join(probe, t.fundamentals(), ["exchange", "symbol"], "publish_date", "date", ["pe_ratio", "market_cap"])
 
 
+def _bucketed(t):
+    """Prices and fundamentals as tables bucketed by symbol, joined and put through a window with no further shuffle."""
+    prices = sinks.write_bucketed(t.prices().select("symbol", "trade_date", "close", "volume"), "prices", ["symbol"], ["trade_date"], 8)
+    fund = t.fundamentals().select("symbol", F.col("date").alias("trade_date"), "pe_ttm")
+    fund = sinks.write_bucketed(fund, "fundamentals", ["symbol"], ["trade_date"], 8)
+    with sinks.without_reshuffle(t.spark):
+        return materialize(series.returns(prices.join(fund, ["symbol", "trade_date"]), keys=("symbol",), order="trade_date"))
+
+
 QUERIES = {
+    "join_price_fund_bucketed": on_tables(lambda t: _bucketed(t).select("symbol", "trade_date", "close", "pe_ttm", r("ret", 8))),
     "join_price_fund": on_tables(lambda t: t.prices().join(
         t.fundamentals().select("symbol", F.col("date").alias("trade_date"), "pe_ttm", "market_cap"), ["symbol", "trade_date"]).select(
         "symbol", "trade_date", "close", "volume", "pe_ttm", "market_cap")),
@@ -65,6 +77,9 @@ _DESC = """(SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY trad
   row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS rn FROM prices WHERE trade_date <= DATE '1999-06-30')"""
 
 ORACLE = {
+    "join_price_fund_bucketed": sql(
+        f"SELECT p.symbol, trade_date, close, pe_ttm, {rq('close / lag(close) OVER (PARTITION BY p.symbol ORDER BY trade_date) - 1', 8, 'ret')} "
+        "FROM prices p JOIN fundamentals f ON p.symbol = f.symbol AND trade_date = date", "prices", "fundamentals"),
     "join_price_fund": sql(
         "SELECT p.symbol, trade_date, close, volume, pe_ttm, market_cap FROM prices p JOIN fundamentals f ON p.symbol = f.symbol AND trade_date = date",
         "prices", "fundamentals"),

@@ -72,6 +72,12 @@ def _weighted(t):
     return quality.weighted_score(issues, bars, WEIGHTS)
 
 
+def _gappy_prices(t):
+    """Prices without a close on even days, those of the first of a month twice."""
+    gaps = t.prices().select("symbol", "trade_date", F.when(F.dayofmonth("trade_date") % 2 == 1, F.col("close")).alias("close"), "volume")
+    return gaps.union(gaps.filter(F.dayofmonth("trade_date") == 1))
+
+
 QUERIES = {
     "dq_completeness": on_tables(lambda t: _out(quality.completeness(dirty(t), columns=COLS))),
     "dq_accuracy": on_tables(lambda t: _out(quality.accuracy(dirty(t)))),
@@ -96,7 +102,8 @@ QUERIES = {
             "hfq_factor", F.when(F.dayofmonth("datetime") == 4, 0.0).otherwise(F.col("hfq_factor")))).select(
         "exchange", "symbol", "datetime", r("quality_score", 3), "is_valid", F.array_join("issues", ";").alias("issues"))),
     "dq_frame": on_tables(lambda t: quality.check_frame(t.prices(), "price").union(
-        quality.check_frame(t.fundamentals().withColumnRenamed("date", "trade_date").drop("exchange"), "fundamental"))),
+        quality.check_frame(t.fundamentals().withColumnRenamed("date", "trade_date").drop("exchange"), "fundamental")).union(
+        quality.check_frame(_gappy_prices(t), "price").withColumn("data_type", F.lit("price_with_gaps")))),
     "dq_anomaly": on_tables(lambda t: quality.anomalies(t.bars()).select(
         "exchange", "symbol", "datetime", "type", "value", r("change_rate", 7), "severity")),
     "schema_check": on_tables(lambda t: quality.schema_check(t.bars(), T.StructType([
@@ -141,7 +148,10 @@ ORACLE = {
     "dq_frame": sql(
         "SELECT 'price' AS data_type, count(*) AS total_records, false AS many_missing, false AS has_duplicates, count(*) FILTER (close <= 0) AS non_positive, "
         "count(*) FILTER (close <= 0) = 0 AS passed FROM prices UNION ALL SELECT 'fundamental', count(*), false, false, count(*) FILTER (pe_ttm <= 0), "
-        "count(*) FILTER (pe_ttm <= 0) = 0 FROM fundamentals", "prices", "fundamentals"),
+        "count(*) FILTER (pe_ttm <= 0) = 0 FROM fundamentals UNION ALL SELECT 'price_with_gaps', count(*), (count(*) - count(close)) / (4e0 * count(*)) > 0.1e0, "
+        "count(*) > count(DISTINCT (symbol, trade_date)), count(*) FILTER (close <= 0), count(*) FILTER (close <= 0) = 0 FROM "
+        "(SELECT symbol, trade_date, CASE WHEN day(trade_date) % 2 = 1 THEN close END AS close FROM (SELECT * FROM prices UNION ALL "
+        "SELECT * FROM prices WHERE day(trade_date) = 1))", "prices", "fundamentals"),
     "dq_anomaly": sql(
         f"SELECT {K}, datetime, 'price_spike' AS type, close AS value, {rq('ret', 7, 'change_rate')}, CASE WHEN abs(ret) > 5 * s THEN 'high' ELSE 'medium' END AS severity "
         f"FROM (SELECT *, avg(ret) OVER (PARTITION BY {K}) AS m, stddev_samp(ret) OVER (PARTITION BY {K}) AS s FROM rets) WHERE abs(ret - m) > 3 * s", "rets"),

@@ -66,6 +66,10 @@ QUERIES = {
         "symbol", "date", F.col("raw_data")["pe_ratio"].alias("pe_ratio"), "quality_score")),
     "scan_dwd": on_tables(lambda t: _stored(t, "dwd", _dwd(t)).select(
         "exchange", "symbol", "datetime", "amount", "vwap", "is_valid")),
+    "scan_dwd_financial": on_tables(lambda t: _stored(t, "dwd_financial", layers.dwd_financial(t.ods_financial()), "report_date", False).select(
+        "symbol", "report_date", "report_type", r("total_revenue", 4), r("roe", 6), r("roa", 6), "is_valid")),
+    "scan_dwd_fundamental": on_tables(lambda t: _stored(t, "dwd_fundamental", layers.dwd_fundamental(t.ods_fundamental()), "date", False).select(
+        "symbol", "date", "pe_ratio", "market_cap", "is_valid")),
     "scan_dws_adjusted": on_tables(lambda t: _stored(t, "dws_adjusted", layers.dws_adjusted(_dwd(t), t.adj_factor())).select(
         "exchange", "symbol", "datetime", *[f"{c}_qfq" for c in _OHLC])),
     "scan_dws_factors": on_tables(lambda t: _stored(
@@ -128,6 +132,11 @@ ORACLE = {
     "scan_dwd": sql(
         f"SELECT exchange, symbol, datetime, volume * close AS amount, (open + high + low + close) / 4 AS vwap, "
         f"true AS is_valid FROM bars WHERE {_RANGE}", "bars"),
+    "scan_dwd_financial": sql(
+        f"SELECT symbol, report_date, report_type, {rq('revenue', 4, 'total_revenue')}, {rq('roe', 6, 'roe')}, {rq('roa', 6, 'roa')}, true AS is_valid "
+        f"FROM dwd_fin WHERE report_date BETWEEN DATE '{S}' AND DATE '{E}'", "dwd_fin"),
+    "scan_dwd_fundamental": sql(
+        f"SELECT symbol, date, pe_ratio, market_cap, true AS is_valid FROM fundamentals WHERE date BETWEEN DATE '{S}' AND DATE '{E}'", "fundamentals"),
     "scan_dws_adjusted": sql(
         "SELECT exchange, symbol, datetime, " + ", ".join(f"{c} * coalesce(qfq, 1) AS {c}_qfq" for c in _OHLC)
         + f" FROM adjusted WHERE {_RANGE}", "adjusted"),

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +41,62 @@ def write_table(
         laid_out = laid_out.observe(watch, *measures)
     writer = laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", codec)
     writer.partitionBy(*partitions).parquet(path)
+    _remember_columns(df, path)
+
+
+def _schema_folder(path: str) -> str:
+    """Beside the data: Spark lists no folder whose name starts with an underscore."""
+    return f"{path.rstrip('/')}/_schema"
+
+
+def _remember_columns(df: DataFrame, path: str, known: T.StructType | None = None) -> None:
+    """Keep the united columns of all writes beside the data, so that no later read opens every footer for them.
+
+    Only tables that were merged into have this record; ``known`` starts it.
+    """
+    spark = df.sparkSession
+    stored = _stored_columns(spark, path)
+    base = known or stored
+    if base is None:
+        return
+    names = {f.name for f in base.fields}
+    united = T.StructType([*base.fields, *[f for f in df.schema.fields if f.name not in names]])
+    if united != stored:
+        spark.createDataFrame([(united.json(),)], "value string").coalesce(1).write.mode("overwrite").text(_schema_folder(path))
+
+
+def _stored_columns(spark: SparkSession, path: str) -> T.StructType | None:
+    if not table_exists(spark, _schema_folder(path)):
+        return None
+    row = spark.read.text(_schema_folder(path)).first()
+    return T.StructType.fromJson(json.loads(row["value"])) if row else None
+
+
+def write_bucketed(df: DataFrame, name: str, keys: list[str], order: list[str], buckets: int = 32) -> DataFrame:
+    """A catalog table whose rows lie in ``buckets`` files by hash of ``keys``, each sorted by keys and order.
+
+    Grouping, joins and windows on the keys (and more columns) then need no shuffle; see ``without_reshuffle`` for joins on more. The
+    data lie in the shared folder; the catalog name gets a suffix of its own.
+    """
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex[:12]}"
+    laid_out = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys, *order)
+    laid_out.format("parquet").option("path", scratch_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
+@contextmanager
+def without_reshuffle(spark: SparkSession) -> Iterator[None]:
+    """Let joins on (keys, more) that are planned inside use tables bucketed by keys alone, which Spark does not do by default.
+
+    A key that holds a large part of the rows then stays in one task, so it is for series with a bound.
+    """
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
 
 
 #: Types of partition columns; every other one is text, so the interval "1d" or the symbol "000001" stays as written.
@@ -67,12 +129,14 @@ def _partition_columns(spark: SparkSession, path: str) -> list[str]:
 def read_table(spark: SparkSession, path: str, types: dict[str, str] | None = None, evolved: bool = False) -> DataFrame:
     """A written table whose partition columns have their declared types (PARTITION_TYPES, then text).
 
-    ``evolved`` unites the columns of all files, for a table that gained columns.
+    ``evolved`` unites the columns of all writes, for a table that gained columns: from the record beside the data, or
+    once, where there is none, from the footers of all files.
     """
-    reader = spark.read.option("mergeSchema", evolved)
+    known = _stored_columns(spark, path) if evolved else None
     declared = PARTITION_TYPES | (types or {})
     parts = {c: T._parse_datatype_string(declared.get(c, "string")) for c in _partition_columns(spark, path)}
-    fields = [T.StructField(f.name, parts.get(f.name, f.dataType)) for f in reader.parquet(path).schema.fields]
+    found = known or spark.read.option("mergeSchema", evolved).parquet(path).schema
+    fields = [T.StructField(f.name, parts.get(f.name, f.dataType)) for f in found.fields]
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
@@ -103,6 +167,7 @@ def upsert_table(
         write_table(new, path, partitions, **kw)
         return
     current = read_table(spark, path, {c: t for c, t in new.dtypes if c in partitions}, evolved=True)
+    _remember_columns(current, path, current.schema)
     merged = materialize(upsert(only_partitions(current, new, partitions), new, keys, sequence))
     write_table(merged.drop(*[c for c in sequence if c not in current.columns]), path, partitions, **kw)
 
@@ -152,11 +217,21 @@ def purge_expired(df: DataFrame, today: str, days: int, time: str) -> DataFrame:
 
 
 def purge_table(spark: SparkSession, path: str, today: str, days: int, time: str, partitions: list[str]) -> None:
-    """Delete expired rows of a table: only partitions that hold any are rewritten."""
-    limit = F.date_sub(F.lit(today).cast("date"), days)
+    """Delete expired rows of a table: only partitions that hold any are rewritten.
+
+    Partitions year and month are taken as those of ``time``, as ``with_period`` sets them: folders after the limit are not read.
+    """
+    last = dt.date.fromisoformat(today) - dt.timedelta(days)
+    limit = F.lit(last)
     table = read_table(spark, path)
+    old = table.filter(F.to_date(time) < limit)
+    if "year" in partitions:
+        this_year = F.col("year") == last.year
+        if "month" in partitions:
+            this_year = this_year & (F.col("month") <= last.month)
+        old = old.filter((F.col("year") < last.year) | this_year)
     folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
-    stale = materialize(table.filter(F.to_date(time) < limit).select(*partitions, folder.alias("_folder")).distinct())
+    stale = materialize(old.select(*partitions, folder.alias("_folder")).distinct())
     kept = materialize(only_partitions(table, stale, partitions).filter(F.to_date(time) >= limit))
     # A partition without any row left is not part of a dynamic overwrite; its folder, as the file
     # listing escapes it, is removed.
