@@ -8,8 +8,9 @@ budget // limit pieces; pieces follow a seeded hash order, so batches are mixed.
 Positions in a bucket come from two levels: the row number inside a lot (a hash range of about LOT_ROWS rows) plus
 the number of rows in earlier lots. A bucket of any size is spread over many tasks and only its last batch is short.
 
-Edge cases: null and empty texts become one row of length 0 without bucket and batch; equal rows are
-interchangeable; an empty table gives no row.
+Edge cases: null and empty texts become one row of length 0 without bucket and batch; rows of equal id and text are
+interchangeable and meet in one lot; rows of one id and other texts, null ids too, are spread by their text; an empty
+table gives no row.
 """
 
 from __future__ import annotations
@@ -76,12 +77,14 @@ def batches(
     if budget < max_length:
         raise ValueError("a piece of max_length must fit the budget")
     n = words() if length is None else F.coalesce(length, F.lit(0)).cast("long")
-    sized = docs.select(F.col("doc_id").alias("doc_id"), n.alias("n"))
+    # With the text, so that many rows of one id (or of none) are spread over the lots.
+    digest = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
+    sized = docs.select(F.col("doc_id").alias("doc_id"), n.alias("n"), digest.alias("digest"))
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(max_length).cast("long"))
     pieces = materialize(
-        sized.select("doc_id", "n", F.posexplode(starts).alias("piece", "start"))
-        .select("doc_id", "piece", "start", F.least(F.col("n") - F.col("start"), F.lit(max_length)).alias("length"))
-        .withColumn("key", F.xxhash64(F.lit(SEED), "doc_id", "piece")))
+        sized.select("doc_id", "n", "digest", F.posexplode(starts).alias("piece", "start"))
+        .select("doc_id", "piece", "start", F.least(F.col("n") - F.col("start"), F.lit(max_length)).alias("length"),
+                F.xxhash64(F.lit(SEED), "doc_id", "digest", "piece").alias("key")))
     histogram = {r["length"]: r["count"] for r in pieces.filter("length > 0").groupBy("length").count().collect()}
     limits = optimal_limits(histogram, buckets)
     empty = pieces.filter("length = 0").select(

@@ -13,8 +13,8 @@ Sizes: a shard holds about SHARD_WORDS words, a group SHARDS_PER_GROUP shards, s
 a source of any size. The table of sources (one row each) is ordered in one task.
 
 Edge cases: null text has size 0 and is taken 0 times; a null source is a source, last in order; ties of
-quotients go to the smaller source or shard; rows of equal id and size are interchangeable; a source without
-words has target 0.
+quotients go to the smaller source or shard; rows of equal id and text are interchangeable and meet in one shard; rows of one id
+and other texts, null ids too, are spread by their text; a source without words has target 0.
 """
 
 from __future__ import annotations
@@ -109,7 +109,9 @@ def mix(docs: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """
     rows = docs.select(
         F.struct("*").alias("row"), source_key().alias("skey"), F.col("source").alias("source"), F.col("doc_id").alias("doc_id"),
-        words().alias("size"), seeded(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("key"))
+        words().alias("size"),
+        # With the text, so that many rows of one id (or of none) are spread over the shards.
+        seeded(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("key"))
     narrow = materialize(rows.select("skey", "source", "size", "key"))
     sizes = narrow.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     shared = targets(sizes, max_repeat)

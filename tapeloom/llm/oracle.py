@@ -11,7 +11,7 @@ MIXING = rf"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS skey,
     coalesce(len(regexp_extract_all(text, '{mixing.WORD}')), 0)::BIGINT AS size,
-    md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+    md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 s AS (SELECT skey, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM d GROUP BY skey),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, {mixing.MAX_REPEAT} * source_size AS cap FROM s),

@@ -6,8 +6,11 @@ The score is sigmoid(b + sum of w + sum over pairs of <v, v'>): the pairwise par
 of terms that only together mean harm, such as an insult with the mention of a group.
 
 Learning is bounded: at most ``max_rows`` labelled rows of each class, the ones whose ids hash
-lowest, weighted back to the share of their class among all labelled rows. Terms whose
-presence does not depend on the label (chi-square) get no weight, so long clean texts do not add up noise.
+lowest, weighted back to the share of their class among all labelled rows. A term gets weights if its presence
+depends on the label (chi-square), or if what these leave unexplained depends on it together with another term: every
+pair of terms that PAIR_ROWS drawn rows hold each is tested for its interaction in the residuals, in blocks of
+the term-by-term table dealt over the executors. Other terms get none, so long clean texts do not add up noise. The
+number of terms has no cap.
 
 Edge cases: null and empty texts have no terms and score sigmoid(b). No labelled row: 0. One class
 only: its smoothed share. Labels of one id that disagree or are null: toxic if any says so, null ones are skipped.
@@ -15,12 +18,13 @@ only: its smoothed share. Labels of one id that disagree or are null: toxic if a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm.tables import held_out, sigmoid
@@ -29,8 +33,13 @@ from tapeloom.llm.textbytes import mix64, token_chunks
 BUCKET_BITS = 20
 PREFIX_BYTES = (4, 5)
 MAX_ROWS = 4_000
-MAX_TERMS = 4_096
 MIN_CHI2 = 15.0
+#: An interaction is a contrast of four means; a term of fewer rows can hardly reach MIN_Z, the bar for so many pairs.
+PAIR_ROWS = 40
+MIN_Z = 8.0
+#: Steady but tiny differences between residuals are no interaction worth a weight.
+MIN_CONTRAST = 0.25
+PAIR_BLOCK = 1_024
 
 
 def hashed_terms(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -77,18 +86,70 @@ class FactorizationMachine:
         return out
 
 
-def select_terms(seen: np.ndarray, a: np.ndarray, n: int, positives: int) -> np.ndarray:
-    """Buckets whose presence depends on the label, strongest first cut at MAX_TERMS.
+def telling_terms(seen: np.ndarray, a: np.ndarray, n: int, positives: int) -> np.ndarray:
+    """Which buckets depend on the label by themselves.
 
     seen and a count per bucket the texts that hold it, all and those of label 1.
     """
     b = seen - a
     rest = np.maximum((n - seen) * seen * positives * (n - positives), 1e-9)
     chi2 = n * (a * (n - positives - b) - b * (positives - a)) ** 2 / rest
-    chi2[seen < 2] = 0.0
-    best = np.argsort(-chi2, kind="stable")[:MAX_TERMS]
-    strong = best[chi2[best] >= MIN_CHI2]
-    return np.sort(strong if len(strong) >= 16 else best[:64][chi2[best[:64]] > 0])
+    return (seen >= 2) & (chi2 >= MIN_CHI2)
+
+
+def interactions(one: np.ndarray, two: np.ndarray, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(|c|, |z|) of c = m11 - m10 - m01 + m00 per column of one and of two (0 or 1, rows x terms).
+
+    m is the mean residual of the rows that hold both terms, the left, the right or none; one row of average
+    square is added to each so that small groups stay uncertain.
+    """
+    contrast = variance = np.float32(0)
+    tables = []
+    for weight in (np.ones_like(residual), residual, residual**2):
+        held = one * weight[:, None]
+        both, left, right = held.T @ two, held.sum(axis=0)[:, None], weight @ two
+        tables.append((both, left - both, right - both, weight.sum() - left - right + both))
+    typical = float((residual**2).mean())
+    for sign, n, total, squares in zip((1, -1, -1, 1), *tables, strict=True):
+        contrast = contrast + sign * total / (n + 1)
+        variance = variance + (np.maximum(squares, 0) + typical) / (n + 1) ** 2
+    contrast = np.abs(contrast)
+    return contrast, contrast / np.sqrt(np.maximum(variance, 1e-12))
+
+
+def paired_terms(spark: SparkSession, text: np.ndarray, slot: np.ndarray, residual: np.ndarray, slots: int) -> np.ndarray:
+    """Mask of the slots 0..slots-1 that interact with another one; text and slot list the occurrences, once per text."""
+    order = np.lexsort((text, slot))
+    begin = np.searchsorted(slot[order], np.arange(slots + 1))
+    shared = spark.sparkContext.broadcast((begin, text[order], residual.astype(np.float32)))
+
+    def block(b: int) -> np.ndarray:
+        begin, rows, residual = shared.value
+        low, high = b * PAIR_BLOCK, min((b + 1) * PAIR_BLOCK, slots)
+        held = np.zeros((len(residual), high - low), dtype=np.float32)
+        held[rows[begin[low]:begin[high]], np.repeat(np.arange(high - low), np.diff(begin[low:high + 1]))] = 1.0
+        return held
+
+    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column("id").to_pylist():
+                i = (math.isqrt(8 * number + 1) - 1) // 2
+                j = number - i * (i + 1) // 2
+                one = block(i)
+                contrast, z = interactions(one, one if i == j else block(j), shared.value[2])
+                if i == j:
+                    np.fill_diagonal(z, 0.0)
+                a, b = np.nonzero((z >= MIN_Z) & (contrast >= MIN_CONTRAST))
+                found = np.unique(np.concatenate([a + i * PAIR_BLOCK, b + j * PAIR_BLOCK]))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["slot"])
+
+    # Pairs of blocks i >= j, numbered row by row.
+    blocks = -(-slots // PAIR_BLOCK)
+    count = blocks * (blocks + 1) // 2
+    pairs = spark.range(0, count, 1, min(count, 8 * spark.sparkContext.defaultParallelism))
+    found = pairs.mapInArrow(tested, "slot long").distinct().toArrow().column("slot").to_numpy()
+    shared.unpersist()
+    return np.isin(np.arange(slots), found)
 
 
 def fit(text: np.ndarray, slot: np.ndarray, buckets: np.ndarray, label: np.ndarray, share: float, factors: int = 8, epochs: int = 150, seed: int = 7) -> FactorizationMachine:
@@ -160,24 +221,44 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
         flat = lists.flatten().to_numpy()
         np.add.at(seen, flat, 1.0)
         np.add.at(with_one, flat[per_row == 1], 1.0)
-    buckets = select_terms(seen, with_one, len(y), int(y.sum()))
-    slots = np.full(space, -1, dtype=np.int32)
-    slots[buckets] = np.arange(len(buckets), dtype=np.int32)
-    rows_of, slots_of, done = [], [], 0
-    for labels_of, lists in chunks:
-        slot = slots[lists.flatten().to_numpy()]
-        owner = np.repeat(np.arange(done, done + len(labels_of)), np.diff(lists.offsets.to_numpy()))
-        rows_of.append(owner[slot >= 0])
-        slots_of.append(slot[slot >= 0].astype(np.int64))
-        done += len(labels_of)
-    text, slot = np.concatenate(rows_of), np.concatenate(slots_of)
-    # Collected rows come in any order. Rows are put in order of label and terms, so reruns agree.
-    check = np.bincount(text, weights=(mix64(slot.astype(np.uint64)) >> np.uint64(32)).astype(float), minlength=len(y))
-    rank = np.empty(len(y), dtype=np.int64)
-    order = np.lexsort((check, y))
-    rank[order] = np.arange(len(y))
-    back = np.lexsort((slot, rank[text]))
-    return fit(rank[text][back], slot[back], buckets, y[order], counts.get(1, 0) / total)
+    telling = telling_terms(seen, with_one, len(y), int(y.sum()))
+
+    def occurrences(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(buckets, text, slot) of the wanted buckets."""
+        buckets = np.flatnonzero(wanted)
+        slots = np.full(space, -1, dtype=np.int32)
+        slots[buckets] = np.arange(len(buckets), dtype=np.int32)
+        rows_of, slots_of, done = [], [], 0
+        for labels_of, lists in chunks:
+            slot = slots[lists.flatten().to_numpy()]
+            owner = np.repeat(np.arange(done, done + len(labels_of), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+            rows_of.append(owner[slot >= 0])
+            slots_of.append(slot[slot >= 0])
+            done += len(labels_of)
+        return buckets, np.concatenate(rows_of), np.concatenate(slots_of)
+
+    share = counts.get(1, 0) / total
+
+    def learned(wanted: np.ndarray) -> tuple[FactorizationMachine, np.ndarray]:
+        """The machine over the wanted buckets, and what it leaves unexplained in each drawn row."""
+        buckets, text, slot = occurrences(wanted)
+        # Collected rows come in any order. Rows are put in order of label and terms, so reruns agree.
+        check = np.bincount(text, weights=(mix64(slot.astype(np.uint64)) >> np.uint64(32)).astype(float), minlength=len(y))
+        rank = np.empty(len(y), dtype=np.int64)
+        order = np.lexsort((check, y))
+        rank[order] = np.arange(len(y))
+        back = np.lexsort((slot, rank[text]))
+        model = fit(rank[text][back], slot[back].astype(np.int64), buckets, y[order], share)
+        # Of the draw, where classes have other shares than among all labelled rows.
+        shift = np.log(y.mean() / (1 - y.mean())) - np.log(share / (1 - share))
+        return model, y - sigmoid(model.logits(text, slot, len(y)) + shift)
+
+    model, residual = learned(telling)
+    frequent, text, slot = occurrences(seen >= PAIR_ROWS)
+    more = np.zeros_like(telling)
+    if len(frequent):
+        more[frequent] = paired_terms(docs.sparkSession, text, slot, residual, len(frequent))
+    return learned(telling | more)[0] if (more & ~telling).any() else model
 
 
 def score(model: FactorizationMachine, text: Column | str = "text") -> Column:

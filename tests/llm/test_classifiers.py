@@ -34,6 +34,41 @@ def test_factorization_machine_learns_a_pair(spark, documents_of):
     assert (got[[0, 1, 3, 4]] < 0.5).all() and got[2] > 0.5
 
 
+def test_terms_that_matter_only_together(spark, documents_of):
+    """Toxic with exactly one of two words, beside many words that are toxic by themselves in other documents."""
+    rng, rows, labels = random.Random(2), [], []
+    for i in range(1200):
+        if i % 3 == 2:
+            words, toxic = [prose(i, 20), f"plainly{'abcdefghijklmnopqrstuvwxy'[i % 25]}" if i % 2 else ""], i % 2
+        else:
+            one, two = rng.random() < 0.5, rng.random() < 0.5
+            words, toxic = [prose(i, 20), "copper" if one else "", "lantern" if two else ""], int(one != two)
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "a"))
+        labels.append((i, 1, toxic))
+    docs, marks = documents_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, marks)
+    got = model.scores(pa.array(["a copper pan", "the lantern burns", "copper lantern", "plainlya said"]))
+    assert got[0] > 0.5 and got[1] > 0.5 and got[2] < 0.5 and got[3] > 0.5
+
+
+def test_interactions_match_the_definition():
+    rng = np.random.default_rng(3)
+    one, two = ((rng.random((300, k)) < 0.4).astype(np.float32) for k in (3, 2))
+    residual = rng.normal(size=300).astype(np.float32)
+    got = toxicity.interactions(one, two, residual)
+    for a in range(3):
+        for b in range(2):
+            contrast = variance = 0.0
+            for x in (0, 1):
+                for z in (0, 1):
+                    cell = residual[(one[:, a] == x) & (two[:, b] == z)]
+                    contrast += (1 if x == z else -1) * cell.sum() / (len(cell) + 1)
+                    variance += ((cell**2).sum() + (residual**2).mean()) / (len(cell) + 1) ** 2
+            assert np.isclose(got[0][a, b], abs(contrast), rtol=1e-3, atol=1e-4)
+            assert np.isclose(got[1][a, b], abs(contrast) / np.sqrt(variance), rtol=1e-3, atol=1e-4)
+
+
 def test_logits_match_the_definition():
     rng = np.random.default_rng(0)
     model = toxicity.FactorizationMachine(np.arange(6), 0.3, rng.normal(size=6), rng.normal(size=(6, 3)))

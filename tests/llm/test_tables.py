@@ -79,6 +79,27 @@ def test_mix_reruns_agree(spark, documents_of):
     assert one == two
 
 
+@pytest.mark.parametrize(("module", "run"), [(mixing, mixing.mix), (length_buckets, length_buckets.batches)])
+def test_rows_of_one_id_are_spread(spark, documents_of, monkeypatch, module, run):
+    """Null and repeated ids: the key that deals rows to shards and lots follows the text too."""
+    docs = documents_of([(None if i < 4_000 else 7, prose(i, 8), "a") for i in range(5_000)])
+    written, keep = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df: written.append(keep(df)) or written[-1])
+    rows = run(docs)
+    assert rows.count() == 5_000
+    sizes = [r["count"] for r in written[0].groupBy(module.F.pmod(module.F.xxhash64("key"), module.F.lit(10)).alias("k")).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 1.5 * min(sizes)
+
+
+def test_mix_of_one_id_reruns_agree(spark, documents_of):
+    """Texts of one id and size: which of them is taken does not depend on the order of the rows."""
+    rows = [(5, prose(i, 10), f"s{i % 4}") for i in range(120)]
+    one, two = (
+        sorted((r["text"], r["n_chars"]) for r in mixing.mixed_documents(d).collect())
+        for d in (documents_of(rows), documents_of(rows[::-1]).repartition(5)))
+    assert one == two and len({t for t, _ in one}) > 1
+
+
 def test_limits_are_optimal():
     rng = np.random.default_rng(3)
     for n, buckets in itertools.product((1, 2, 5, 9), (1, 2, 3, 4)):
