@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.quantiles import exact_quantiles
@@ -59,20 +59,38 @@ def pivot_close(prices: DataFrame, symbols: list[str] | None = None, date: str =
     return prices.groupBy(date).pivot("symbol", symbols).agg(F.avg("close"))
 
 
+def _slot(kind: str) -> str:
+    """The type under which values of a column type are counted; equal values stay equal, different ones different."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return "bigint"
+    if kind in ("float", "double"):
+        return "double"
+    return kind if kind.startswith(("decimal", "date", "timestamp")) else "string"
+
+
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(name, v, c): how often each value occurs in each column.
+    """(name, v, known, c): how often each value occurs in each column; v is the value of a text, known says that it is not null.
 
-    One pass for all columns; equal values shrink inside every task before the shuffle.
+    One pass for all columns; equal values shrink inside every task before the shuffle. Numbers and times are
+    shuffled as they are, each in the field of its type, only texts (and types without order) as text.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in columns])
-    return df.select(F.inline(cells)).groupBy("name", "v").agg(F.count("*").alias("c"))
+    kind = {c: _slot(t) for c, t in df.dtypes}
+    slots = sorted({kind[c] for c in columns} | {"string"})
+
+    def cell(c: str) -> Column:
+        fields = [(F.col(c) if k == kind[c] else F.lit(None)).cast(k).alias(f"v{i}") for i, k in enumerate(slots)]
+        return F.struct(F.lit(c).alias("name"), F.col(c).isNotNull().alias("known"), *fields)
+
+    values = [f"v{i}" for i in range(len(slots))]
+    counted = df.select(F.inline(F.array(*map(cell, columns)))).groupBy("name", "known", *values).agg(F.count("*").alias("c"))
+    return counted.select("name", F.col(f"v{slots.index('string')}").alias("v"), "known", "c")
 
 
 def table_totals(df: DataFrame) -> DataFrame:
     """Rows, columns, nulls, duplicate rows and the sum of distinct values over the columns."""
     rows = _copies(df).agg(F.sum("_n").alias("row_count"), F.sum(F.col("_n") - 1).alias("duplicate_count"))
     cells = value_counts(df, df.columns).agg(
-        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0)).alias("null_count"), F.count("v").alias("unique_count"),
+        F.coalesce(F.sum(F.when(~F.col("known"), F.col("c"))), F.lit(0)).alias("null_count"), F.count_if("known").alias("unique_count"),
     )
     # Two one-row tables side by side.
     both = rows.withColumn("_k", F.lit(1)).join(cells.withColumn("_k", F.lit(1)), "_k")
@@ -86,7 +104,7 @@ def profile_table(df: DataFrame, accuracy: int = 1_000_000) -> DataFrame:
     counts = value_counts(df, df.columns)
     # Ties of the mode go to the smallest value.
     cells = counts.groupBy("name").agg(
-        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0)).alias("nulls"), F.count("v").alias("distinct"),
+        F.coalesce(F.sum(F.when(~F.col("known"), F.col("c"))), F.lit(0)).alias("nulls"), F.count_if("known").alias("distinct"),
         F.max(F.when(F.col("v").isNotNull(), F.col("c"))).alias("mode_count"),
         F.min_by("v", F.when(F.col("v").isNotNull(), F.struct(-F.col("c"), "v"))).alias("mode"),
     )

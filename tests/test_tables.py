@@ -211,3 +211,17 @@ def test_unknown_policy_fails_compliance(spark):
     checks = retention.with_expiry(assets, retention.policy_table(spark), "2024-01-01")
     row = retention.compliance_summary(checks).first()
     assert tuple(row) == (3, 1, 1, 1)
+
+
+def test_value_counts_keep_types(spark):
+    """Every type is counted by value: nulls apart, no number or time becomes text before the shuffle."""
+    df = spark.sql("""
+        select * from values (1, 1.5d, 1.50bd, date'2024-01-01', 'a', array(1)), (1, 1.5d, 2.50bd, date'2024-01-02', 'a', array(1)),
+          (2, double('nan'), null, null, '', null), (null, double('nan'), 1.50bd, date'2024-01-01', null, array(2)) t(i, d, m, day, s, l)""")
+    counts = profile.value_counts(df, df.columns)
+    got = {r["name"]: (r["n"], r["x"]) for r in counts.groupBy("name").agg(F.count_if("known").alias("n"), F.sum(F.when(~F.col("known"), F.col("c"))).alias("x")).collect()}
+    assert got == {"i": (2, 1), "d": (2, None), "m": (2, 1), "day": (2, 1), "s": (2, 1), "l": (2, 1)}
+    totals = profile.table_totals(df).first()
+    assert (totals["row_count"], totals["null_count"], totals["duplicate_count"], totals["unique_count"]) == (4, 5, 0, 12)
+    modes = {r["column"]: (r["mode"], r["mode_count"]) for r in profile.profile_table(df).collect()}
+    assert modes["s"] == ("a", 2) and modes["i"] == (None, None)
