@@ -67,7 +67,7 @@ def macro_by_type(df: DataFrame, types: list[str]) -> DataFrame:
     """Macro points of the named types, found through their series codes."""
     spark = df.sparkSession
     wanted = spark.createDataFrame([(t,) for t in types], "wanted string").select(macro_code("wanted").alias("data_code"))
-    return df.join(F.broadcast(wanted), "data_code", "left_semi")
+    return df.join(wanted, "data_code", "left_semi")
 
 
 def audit_by(df: DataFrame, kind: str | None = None, user: int | None = None, asset: str | None = None, latest: int | None = None) -> DataFrame:

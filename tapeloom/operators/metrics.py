@@ -52,12 +52,12 @@ def breached() -> Column:
 
 def firing(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules whose latest metric breaks the threshold."""
-    return latest(metrics).join(F.broadcast(rules), "name").filter(breached())
+    return latest(metrics).join(rules, "name").filter(breached())
 
 
 def transitions(metrics: DataFrame, rules: DataFrame, chunk: str = "1 minute") -> DataFrame:
     """Rows on which a rule starts (fired) or stops (resolved) being broken."""
-    judged = metrics.join(F.broadcast(rules), "name").withColumn("breach", breached())
+    judged = metrics.join(rules, "name").withColumn("breach", breached())
     seen = with_previous(judged, ["rule"], ["timestamp", "event_id"], ["breach"], chunk)
     before = F.coalesce("prev_breach", F.lit(False))
     change = F.when(F.col("breach") & ~before, "fired").when(~F.col("breach") & before, "resolved")

@@ -16,7 +16,7 @@ def policy_table(spark: SparkSession, days: dict[str, int | None] | None = None)
 def with_expiry(assets: DataFrame, policies: DataFrame, now: str) -> DataFrame:
     """Expiry date, whether the asset is expired, and the compliance status, per asset."""
     t = F.lit(now).cast("timestamp_ntz")
-    joined = assets.join(F.broadcast(policies.withColumn("known", F.lit(True))), "policy_id", "left")
+    joined = assets.join(policies.withColumn("known", F.lit(True)), "policy_id", "left")
     expires = F.col("created_at") + F.make_dt_interval(F.col("days"))
     out = joined.withColumn("expires_at", expires)
     out = out.withColumn("is_expired", F.coalesce(F.col("expires_at") < t, F.lit(False)))

@@ -166,7 +166,7 @@ def alert_batches(stream: DataFrame, rules: DataFrame, path: str, checkpoint: st
     def judge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        judged = batch.join(F.broadcast(rules), "name").withColumn("breach", metric_ops.breached())
+        judged = batch.join(rules, "name").withColumn("breach", metric_ops.breached())
         rank = F.struct("timestamp", "event_id")
         edge = judged.groupBy("rule").agg(
             F.max_by("breach", rank).alias("last"), F.min_by("breach", rank).alias("first"), F.min_by("event_id", rank).alias("first_id")
