@@ -81,7 +81,8 @@ QUERIES = {
         "series1", "series2", "data_points", r("correlation", 6), "is_strong", "strength")),
     "profile_table": on_tables(lambda t: profile.profile_table(t.raw("orders")).select(
         "column", "kind", "nulls", "distinct", *[r(c, 5) for c in _STATS], "mode", "mode_count", "min_date", "max_date", "span_days")),
-    "bar_profile": on_tables(lambda t: profile.table_totals(t.bars().drop("open_interest"))),
+    # A sum of doubles depends on the order of its rows in the last bits; amounts are counted as they are to four decimals.
+    "bar_profile": on_tables(lambda t: profile.table_totals(t.bars().drop("open_interest").withColumn("turnover", F.round("turnover", 4)))),
     "fin_profile": on_tables(lambda t: profile.table_totals(t.financials().select(
         "symbol", "exchange", "report_date", "report_type", F.round("revenue", 4).alias("revenue"), F.round("net_profit", 4).alias("net_profit"),
         F.round("total_assets", 2).alias("total_assets"), F.round("total_liabilities", 2).alias("total_liabilities")))),
@@ -204,7 +205,8 @@ ORACLE = {
         "macro"),
     "profile_table": _profile_sql(),
     "bar_profile": sql(_distinct_total(
-        ["symbol", "exchange", '"interval"', "datetime", "open", "high", "low", "close", "volume", "turnover"], "b").replace("FROM b", "FROM bars"), "bars"),
+        ["symbol", "exchange", '"interval"', "datetime", "open", "high", "low", "close", "volume", "turnover"], "b").replace(
+        "FROM b", "FROM (SELECT * REPLACE (round(turnover, 4) AS turnover) FROM bars)"), "bars"),
     "fin_profile": sql(
         "WITH f AS (SELECT symbol, exchange, report_date, report_type, round(revenue, 4) AS revenue, round(net_profit, 4) AS net_profit, "
         "round(total_assets, 2) AS total_assets, round(total_liabilities, 2) AS total_liabilities FROM financials) " + _distinct_total(
