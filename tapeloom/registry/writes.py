@@ -10,7 +10,7 @@ from tapeloom.operators.upsert import BAR_KEY, FUNDAMENTAL_KEY, STATEMENT_KEY, u
 from tapeloom.plans import signals
 from tapeloom.registry import selection as _selection  # noqa: F401 - defines the SQL of factors and signals
 from tapeloom.registry.base_sql import sql
-from tapeloom.registry.common import UNTIL, on_tables, r, rq
+from tapeloom.registry.common import UNTIL, minutes, on_tables, r, rq
 from tapeloom.sinks import tables as sinks
 from tapeloom.sources.adapters import Tables
 
@@ -118,7 +118,7 @@ def _written_selection(t: Tables):
 
 QUERIES = {
     "upsert_bars": on_tables(lambda t: upsert(t.bars(), _with_copies(t.bars_update(), "close"), BAR_KEY, ["seq"]).select(*_KEY, "close", "volume")),
-    "upsert_minutes": on_tables(lambda t: upsert(t.ticks(), _tick_update(t), BAR_KEY, ["seq"]).select("symbol", "datetime", "close")),
+    "upsert_minutes": on_tables(lambda t: upsert(minutes(t), _tick_update(t), BAR_KEY, ["seq", "close"]).select("symbol", "datetime", "close")),
     "upsert_financial": on_tables(lambda t: upsert(t.financials(), _fin_update(t), STATEMENT_KEY, ["seq"]).select("symbol", "report_date", r("revenue", 4))),
     "upsert_fundamental": on_tables(lambda t: upsert(t.fundamentals(), _fund_update(t), FUNDAMENTAL_KEY, ["seq"]).select("symbol", "date", "pe_ttm")),
     "upsert_table": on_tables(lambda t: _year_table(t).select(*_KEY, "close", "year")),
@@ -151,7 +151,8 @@ def _merged(keys: str, new: str, columns: str, *tables: str, old: str) -> str:
 ORACLE = {
     "upsert_bars": _merged("exchange, symbol, datetime", "SELECT * FROM bars_update", "exchange, symbol, datetime, close, volume",
                            "bars", "bars_update", old="bars"),
-    "upsert_minutes": sql("SELECT symbol, datetime, CASE WHEN second(datetime) >= 30 THEN close + 1 ELSE close END AS close FROM ticks", "ticks"),
+    "upsert_minutes": sql(
+        "SELECT symbol, datetime, CASE WHEN second(datetime) >= 30 THEN max(close) + 1 ELSE max(close) END AS close FROM ticks GROUP BY symbol, datetime", "ticks"),
     "upsert_financial": sql(
         f"SELECT symbol, report_date, {rq('CASE WHEN month(report_date) = 12 THEN revenue * 2 ELSE revenue END', 4, 'revenue')} FROM financials",
         "financials"),
