@@ -115,7 +115,7 @@ QUERIES = {
     "stream_minute_cursor": on_tables(lambda t: _newer(t).select("symbol", "datetime", "close")),
     "stream_alert_lifecycle": on_tables(lambda t: _lifecycle(t).select("rule", "timestamp", "value", "change", "level")),
     "stream_minute_upsert": on_tables(lambda t: _upserted(t).select("symbol", "datetime", "close")),
-    "stream_dedup": on_tables(lambda t: _sink(t, "dedup", jobs.dedup(_twice(t), ["symbol"])).select("symbol", "datetime", "close")),
+    "stream_dedup": on_tables(lambda t: _sink(t, "dedup", jobs.dedup(_twice(t), ["symbol", "close"])).select("symbol", "datetime", "close")),
     "stream_resample": on_tables(lambda t: _resampled(t).select(
         "symbol", "datetime", "open", "high", "low", "close", "volume", r("turnover", 4))),
     "stream_latest": on_tables(lambda t: _latest(t).select("symbol", "datetime", "close")),

@@ -56,7 +56,10 @@ def event_time(stream: DataFrame, time: str = "datetime") -> DataFrame:
 
 
 def dedup(stream: DataFrame, keys: list[str], time: str = "datetime", delay: str = "10 minutes") -> DataFrame:
-    """Collapse exact repeats of (keys, time) that arrive within the delay."""
+    """Collapse exact repeats of (keys, time) that arrive within the delay.
+
+    Which row of a key stays is left to chance: ``keys`` must hold every column by which rows of one time can differ.
+    """
     timed = event_time(stream, time).withWatermark(time, delay)
     return timed.dropDuplicatesWithinWatermark([*keys, time]).withColumn(time, F.col(time).cast("timestamp_ntz"))
 
