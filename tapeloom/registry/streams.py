@@ -8,7 +8,7 @@ from tapeloom import fixed
 from tapeloom.operators import metrics
 from tapeloom.registry import governance as _governance  # noqa: F401 - defines the SQL of rule changes
 from tapeloom.registry.base_sql import define, sql
-from tapeloom.registry.common import on_tables, r, rq
+from tapeloom.registry.common import minutes, on_tables, r, rq
 from tapeloom.sinks import tables as sinks
 from tapeloom.sources.adapters import Tables
 from tapeloom.streaming import alerts, jobs
@@ -38,10 +38,10 @@ def _upserted(t: Tables):
     """A table of the first twenty days, then the stream brings all of January restated by one."""
     path = sinks.scratch_path(t.spark, "minutes")
     parts = ["exchange", "day"]
-    known = t.ticks().filter(F.dayofmonth("datetime") <= 20).withColumn("day", F.dayofmonth("datetime"))
+    known = minutes(t).filter(F.dayofmonth("datetime") <= 20).withColumn("day", F.dayofmonth("datetime"))
     sinks.write_table(known, path, parts, ["symbol", "datetime"])
     stream = _arriving(t).ticks().filter(F.dayofmonth("datetime") >= 10).withColumn("close", F.col("close") + 1)
-    jobs.upsert_batches(stream.withColumn("day", F.dayofmonth("datetime")).withColumn("seq", F.lit(1)), path, path + "-checkpoint", parts)
+    jobs.upsert_batches(stream.withColumn("day", F.dayofmonth("datetime")).withColumn("seq", F.lit(1)), path, path + "-checkpoint", parts, sequence=["seq", "close"])
     return sinks.read_table(t.spark, path)
 
 
@@ -133,7 +133,7 @@ ORACLE = {
         "JOIN (SELECT DISTINCT rule, segment FROM control_segments WHERE kind = 'point') f ON c.rule = f.rule AND c.segment = f.segment + 1 "
         "WHERE c.kind = 'resolve'", "control_segments"),
     "stream_minute_upsert": sql(
-        "SELECT symbol, datetime, CASE WHEN day(datetime) >= 10 THEN close + 1 ELSE close END AS close FROM ticks", "ticks"),
+        "SELECT symbol, datetime, CASE WHEN day(datetime) >= 10 THEN max(close) + 1 ELSE max(close) END AS close FROM ticks GROUP BY symbol, datetime", "ticks"),
     "stream_dedup": sql("SELECT DISTINCT symbol, datetime, close FROM ticks", "ticks"),
     "stream_resample": sql(
         "SELECT symbol, h AS datetime, arg_min(open, datetime) AS open, max(high) AS high, min(low) AS low, arg_max(close, datetime) AS close, "
