@@ -72,11 +72,11 @@ def _newer(t: Tables):
     """Ten days of all series but one are stored; the stream restates all of January by one, twice."""
     path = sinks.scratch_path(t.spark, "newer")
     parts = ["exchange", "day"]
-    known = t.ticks().filter((F.dayofmonth("datetime") <= 10) & (F.col("symbol") != "signup")).withColumn("day", F.dayofmonth("datetime"))
+    known = minutes(t).filter((F.dayofmonth("datetime") <= 10) & (F.col("symbol") != "signup")).withColumn("day", F.dayofmonth("datetime"))
     sinks.write_table(known, path, parts, ["symbol", "datetime"])
     for run in ("first", "again"):
         stream = _arriving(t).ticks().withColumns({"close": F.col("close") + 1, "day": F.dayofmonth("datetime"), "seq": F.lit(1)})
-        jobs.upsert_newer(stream, path, f"{path}-{run}", parts, path + "-cursor")
+        jobs.upsert_newer(stream, path, f"{path}-{run}", parts, path + "-cursor", sequence=["seq", "close"])
     return sinks.read_table(t.spark, path)
 
 
@@ -124,8 +124,9 @@ QUERIES = {
 
 ORACLE = {
     "stream_minute_cursor": sql(
-        "SELECT symbol, datetime, close FROM ticks WHERE day(datetime) <= 10 AND symbol <> 'signup' UNION ALL SELECT symbol, datetime, close + 1 FROM (SELECT *, "
-        "row_number() OVER (PARTITION BY symbol ORDER BY datetime DESC) AS rn FROM ticks) WHERE CASE WHEN symbol = 'signup' THEN rn <= 100 ELSE day(datetime) > 10 END",
+        "WITH m AS (SELECT symbol, datetime, max(close) AS close FROM ticks GROUP BY symbol, datetime) "
+        "SELECT symbol, datetime, close FROM m WHERE day(datetime) <= 10 AND symbol <> 'signup' UNION ALL SELECT symbol, datetime, close + 1 FROM (SELECT *, "
+        "row_number() OVER (PARTITION BY symbol ORDER BY datetime DESC) AS rn FROM m) WHERE CASE WHEN symbol = 'signup' THEN rn <= 100 ELSE day(datetime) > 10 END",
         "ticks"),
     "stream_alert_lifecycle": sql(
         "SELECT rule, min(timestamp) AS timestamp, arg_min(value, (timestamp, event_id)) AS value, 'fired' AS change, min(level) AS level FROM control_segments "

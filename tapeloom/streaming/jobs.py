@@ -111,11 +111,13 @@ def high_water(df: DataFrame) -> DataFrame:
     return df.groupBy(*TICK_SERIES).agg(F.max("datetime").alias("datetime"))
 
 
-def upsert_newer(stream: DataFrame, path: str, checkpoint: str, partitions: list[str], cursor: str, cold_rows: int = 100) -> StreamingQuery:
+def upsert_newer(
+    stream: DataFrame, path: str, checkpoint: str, partitions: list[str], cursor: str, cold_rows: int = 100, sequence: list[str] = ("seq",)
+) -> StreamingQuery:
     """Append to a table what is newer than its stored maximum per series, and move the stored maximum on.
 
     The cursor is a table of one row per series beside the data; it is built from the data once if it is missing. Of a series that it does not
-    know, the last ``cold_rows`` rows of the batch are taken. On a repeated time the row of greatest ``seq`` wins. The data are written
+    know, the last ``cold_rows`` rows of the batch are taken. On a repeated time the row of greatest ``sequence`` wins. The data are written
     before the cursor: a batch that runs again before the cursor moved merges the same rows by key, one that runs
     again afterwards finds nothing newer.
     """
@@ -129,12 +131,12 @@ def upsert_newer(stream: DataFrame, path: str, checkpoint: str, partitions: list
             known = sinks.read_table(spark, cursor).select(*TICK_SERIES, F.col("datetime").alias("_stored"))
         else:
             known = spark.createDataFrame([], "exchange string, symbol string, _stored timestamp_ntz")
-        held = matched(dedup_keep_last(batch, BAR_KEY, ["seq"]), known, TICK_SERIES, "left")
+        held = matched(dedup_keep_last(batch, BAR_KEY, list(sequence)), known, TICK_SERIES, "left")
         newer = held.filter("datetime > _stored").drop("_stored")
         first = cold_start(held.filter("_stored is null").drop("_stored"), cold_rows)
         taken = sinks.materialize(newer.unionByName(first))
         if not taken.isEmpty():
-            sinks.upsert_table(spark, path, taken, BAR_KEY, partitions, ["seq"], cluster=["symbol", "datetime"])
+            sinks.upsert_table(spark, path, taken, BAR_KEY, partitions, list(sequence), cluster=["symbol", "datetime"])
             sinks.upsert_table(spark, cursor, high_water(taken), TICK_SERIES, ["exchange"], ["datetime"])
 
     return for_each_batch(stream, take, checkpoint)
