@@ -59,10 +59,13 @@ def valid_on(
     Dates are cut into buckets of ``days``. An interval is repeated once per bucket it touches inside the range of the
     probe's dates (one row, read first), so the join is an equality on (keys, bucket) and the exact bounds are
     checked inside a bucket; no pair outside it arises. Rows with a null date or start match nothing.
+
+    Without keys every interval meets all dates it covers, so a small input makes a large result: the intervals are dealt
+    over many tasks first, whatever their size, and a calendar's worth of dates goes to each of them.
     """
     number = F.floor(F.unix_date(F.col(date).cast("date")) / days).cast("int")
     bucketed = probe.withColumn("_bucket", number)
-    span = bucketed.agg(F.min("_bucket").alias("a"), F.max("_bucket").alias("b")).first()
+    span = bucketed.agg(F.min("_bucket").alias("a"), F.max("_bucket").alias("b"), F.count("*").alias("n")).first()
     low, high = (0, -1) if span["a"] is None else (span["a"], span["b"])
 
     def bucket(c: Column) -> Column:
@@ -72,7 +75,12 @@ def valid_on(
     last = F.least(F.coalesce(bucket(F.date_sub(F.col(end).cast("date"), 1)), F.lit(high)), F.lit(high))
     # A bucket is not touched by an interval that is empty or lies outside the probe's dates.
     real = F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(end) > F.col(start)))
-    spread = intervals.filter(real & (first <= last)).withColumn("_bucket", F.explode(F.sequence(first, last)))
+    touching = intervals.filter(real & (first <= last))
+    if not keys:
+        pieces = max(64, 4 * probe.sparkSession.sparkContext.defaultParallelism)
+        touching = touching.repartition(pieces)
+        bucketed = F.broadcast(bucketed) if span["n"] <= 100_000 else bucketed.repartition(pieces)
+    spread = touching.withColumn("_bucket", F.explode(F.sequence(first, last)))
     joined = bucketed.join(spread, [*keys, "_bucket"])
     return joined.filter((F.col(start) <= F.col(date)) & (F.col(end).isNull() | (F.col(end) > F.col(date)))).drop("_bucket")
 
