@@ -65,7 +65,7 @@ def _events(t: Tables):
         sinks.write_events(df, path, "2024-12-01", time)
         if name == "flows":
             sinks.write_events(df.filter("direction = 'inflow'"), path, "2024-12-02", time)
-        stored = sinks.read_latest_load(t.spark, path, [key] if key else ["symbol", "date"])
+        stored = sinks.read_latest_load(t.spark, path, [key] if key else ["symbol", "date"], [])
         part = stored.select(F.lit(name).alias("name"), "load_date", F.col(key if key else "symbol").cast("string").alias("id"))
         out = part if out is None else out.union(part)
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -26,22 +26,25 @@ def with_period(df: DataFrame, time: str, monthly: bool = True) -> DataFrame:
 
 def write_table(
     df: DataFrame, path: str, partitions: list[str], cluster: list[str] = (), codec: str = "zstd", watch: Observation | None = None,
-    measures: list[Column] = (),
+    measures: list[Column] = (), finish: Callable[[DataFrame], DataFrame] | None = None, rebalance: bool = True,
 ) -> None:
     """Overwrite the partitions present in ``df``.
 
     Rows are rebalanced by partition, so that a large partition is split over tasks and
-    small ones share a file, and sorted for row-group statistics. ``watch`` takes the aggregates ``measures`` of what
+    small ones share a file, and sorted for row-group statistics; ``rebalance`` is False for rows that lie so already, or that
+    all go to one partition. ``finish`` adds the columns that follow from a row itself, once it has been moved. ``watch`` takes the aggregates ``measures`` of what
     is written, in the tasks that write it.
     """
-    laid_out = df.hint("rebalance", *partitions) if partitions else df
+    laid_out = df.hint("rebalance", *partitions) if partitions and rebalance else df
+    if finish is not None:
+        laid_out = finish(laid_out)
     if cluster:
         laid_out = laid_out.sortWithinPartitions(*partitions, *cluster)
     if watch is not None:
         laid_out = laid_out.observe(watch, *measures)
     writer = laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", codec)
     writer.partitionBy(*partitions).parquet(path)
-    _remember_columns(df, path)
+    _remember_columns(laid_out, path)
 
 
 def _schema_folder(path: str) -> str:
@@ -172,9 +175,10 @@ def upsert_table(
     write_table(merged.drop(*[c for c in sequence if c not in current.columns]), path, partitions, **kw)
 
 
-def write_bars(df: DataFrame, path: str) -> None:
-    """Layer layout of bars: exchange, interval, year, month; clustered by symbol and time."""
-    write_table(with_period(df, "datetime"), path, ["exchange", "interval", "year", "month"], ["symbol", "datetime"])
+def write_bars(df: DataFrame, path: str, finish: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Layer layout of bars: exchange, interval, year, month; clustered by symbol and time. ``finish`` makes the layer's rows once they lie by month."""
+    dated = None if finish is None else lambda rows: with_period(finish(rows), "datetime")
+    write_table(with_period(df, "datetime"), path, ["exchange", "interval", "year", "month"], ["symbol", "datetime"], finish=dated)
 
 
 def write_statements(df: DataFrame, path: str, time: str = "report_date") -> None:
@@ -182,13 +186,19 @@ def write_statements(df: DataFrame, path: str, time: str = "report_date") -> Non
 
 
 def write_events(df: DataFrame, path: str, load_date: str, time: str) -> None:
-    """Event rows stamped with the load day; a reload on the same day replaces that day's part."""
-    write_table(df.withColumn("load_date", F.lit(load_date).cast("date")), path, ["load_date"], ["symbol", time], "snappy")
+    """Event rows stamped with the load day; a reload on the same day replaces that day's part.
+
+    A load is one partition, so its rows are written where they are, without a shuffle by partition.
+    """
+    write_table(df.withColumn("load_date", F.lit(load_date).cast("date")), path, ["load_date"], ["symbol", time], "snappy", rebalance=False)
 
 
-def read_latest_load(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
-    """Events with reloads settled: the newest load wins per key."""
-    return dedup_keep_last(read_table(spark, path), key, ["load_date"])
+def read_latest_load(spark: SparkSession, path: str, key: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Events with reloads settled: the newest load wins per key. Of other columns than the key and the load day only ``columns`` are read, if given."""
+    table = read_table(spark, path)
+    if columns is not None:
+        table = table.select(*dict.fromkeys([*key, *columns, "load_date"]))
+    return dedup_keep_last(table, key, ["load_date"])
 
 
 def write_by(df: DataFrame, path: str, partitions: list[str], cluster: list[str] = ()) -> None:
