@@ -11,6 +11,7 @@ from tapeloom.plans import signals
 from tapeloom.registry import selection as _selection  # noqa: F401 - defines the SQL of factors and signals
 from tapeloom.registry.base_sql import sql
 from tapeloom.registry.common import UNTIL, minutes, on_tables, r, rq
+from tapeloom.session import materialize
 from tapeloom.sinks import tables as sinks
 from tapeloom.sources.adapters import Tables
 
@@ -92,10 +93,12 @@ def _csv(t: Tables):
 
 
 def _dws(t: Tables):
-    dwd = layers.dwd_bars(layers.ods_bars(t.bars(), "lake"))
-    adjusted = _back(t, "dws_adjusted", lambda p: sinks.write_bars(layers.dws_adjusted(dwd, t.adj_factor()), p))
+    dwd = materialize(layers.dwd_bars(layers.ods_bars(t.bars(), "lake")).select(*layers.KEYS, "datetime", *layers.PRICES, "volume"))
+    with sinks.without_reshuffle(t.spark):
+        adjusted = _back(t, "dws_adjusted", lambda p: sinks.write_bars(layers.rated_by_series(dwd, t.adj_factor()), p, layers.adjusted_by))
     factors = _back(t, "dws_factors", lambda p: sinks.write_table(
-        sinks.with_period(layers.dws_flow_factors(dwd), "datetime"), p, ["exchange", "year", "month"], ["symbol", "datetime"]))
+        sinks.with_period(layers.measured(dwd), "datetime"), p, ["exchange", "year", "month"], ["symbol", "datetime"],
+        finish=lambda rows: sinks.with_period(layers.factors_by(rows), "datetime")))
     merged = _back(t, "dws_merged", lambda p: sinks.write_statements(
         layers.dws_merged(layers.dwd_financial(t.ods_financial()), t.fundamentals()), p))
 
