@@ -7,11 +7,13 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from tapeloom.operators import joins, layers, lineage
 from tapeloom.operators.series import KEYS
 from tapeloom.plans import lake
 from tapeloom.session import tasks_for
 from tapeloom.sinks import tables as sinks
+from tapeloom.sources import adapters
 from tapeloom.sources.adapters import Tables
 
 
@@ -61,6 +63,62 @@ def test_adjusting_whole_series_shuffles_the_bars_once(spark, bars_of):
     assert got == want and len(got) == 110
 
 
+def shuffled_rows(spark, since=-1):
+    """(newest stage, rows that the stages after ``since`` wrote to shuffles)"""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    seen = [(stages.apply(i).stageId(), stages.apply(i).shuffleWriteRecords()) for i in range(stages.size())]
+    return max((i for i, _ in seen), default=-1), sum(n for i, n in seen if i > since)
+
+
+def line_items(folder, symbols=6, days=400):
+    start = dt.datetime(1997, 1, 1)
+    rows = [(s, d, i) for s in range(symbols) for d in range(days) for i in range(2 if d % 5 == 0 else 1)]
+    pq.write_table(pa.table({
+        "l_orderkey": [(d * 7 + s) % 90 for s, d, _ in rows], "l_linenumber": pa.array([2 - i for _, _, i in rows], pa.int32()),
+        "l_partkey": [s + d for s, d, _ in rows], "l_suppkey": [s for s, _, _ in rows], "l_quantity": [float(1 + (d + i) % 7) for _, d, i in rows],
+        "l_extendedprice": [100.0 + s * d % 31 + i for s, d, i in rows], "l_shipdate": [start + dt.timedelta(days=d) for _, d, _ in rows],
+    }), f"{folder}/lineitem.parquet", coerce_timestamps="us")
+    return len(rows), symbols * days
+
+
+def test_a_run_of_the_bar_layers_moves_a_bar_twice(spark, tmp_path):
+    items, bars = line_items(tmp_path)
+    last, _ = shuffled_rows(spark)
+    counts = contract.queries()["bar_layers_pipeline"](spark, str(tmp_path)).collect()
+    assert {r["n"] for r in counts} == {bars}
+    # Line items to their series, bars to their month; the days and factors of a series are few rows.
+    assert shuffled_rows(spark, last)[1] < items + bars * 1.2
+
+
+def test_bars_by_series_are_the_same_bars(spark, tmp_path, monkeypatch):
+    line_items(tmp_path)
+    tables = Tables(spark, str(tmp_path))
+    want = sorted(map(str, tables.bars().collect()))
+    dealt = tables.bars(5)
+    assert exchanges(dealt) == 1 and dealt.columns == tables.bars().columns
+    assert sorted(map(str, dealt.collect())) == want
+    monkeypatch.setattr(adapters, "DEALT_ROWS", 100)  # a symbol of more items: bars are made first
+    summed = tables.bars(5)
+    assert exchanges(summed) == 2 and sorted(map(str, summed.collect())) == want
+    assert tables.series_tasks() == 8 and tables.series_tasks(100) == 29
+
+
+def test_layers_keep_own_columns_and_one_row_per_bar(spark, bars_of, tmp_path):
+    named = bars_of(a=[float(i + 1) for i in range(60)], b=[2.0] * 50).withColumns(
+        {"ratio": F.lit("mine"), "adj_factor": F.lit(7.0), "net_inflow": F.col("close") * 2, "year": F.lit("of the vendor")})
+    marks = spark.createDataFrame([("SSE", "a", dt.datetime(2024, 1, d), f) for d, f in ((5, 1.0), (20, 2.0), (20, 1.5))], "exchange string, symbol string, datetime timestamp_ntz, adj_factor double")
+    path = str(tmp_path)
+    assert {r["n"] for r in lake.run_bar_layers(named, "x", path, marks).collect()} == {110}
+    ods, adjusted = (sinks.read_table(spark, f"{path}/{name}") for name in ("ods_bars", "dws_adjusted"))
+    assert sorted(map(tuple, ods.select("ratio", "adj_factor", "net_inflow", "close").distinct().collect())) == sorted(
+        ("mine", 7.0, 2 * c, c) for c in map(float, range(1, 61)))
+    # Of two factors of a day the greatest counts; it is also the last one of the series.
+    assert {r["datetime"].day: r["qfq_factor"] for r in adjusted.filter("symbol = 'a' and month = 1").collect()} == {
+        d: 1.0 if d < 5 else 0.5 if d < 20 else 1.0 for d in range(1, 32)}
+
+
 def test_only_months_near_a_change_are_read_for_its_reach(spark, bars_of):
     dwd = sinks.with_period(layers.dwd_bars(bars_of(a=[1.0] * 360, b=[2.0 if i % 9 == 0 else None for i in range(360)])).filter("close is not null"), "datetime")
     january = 2024 * 12
