@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from tapeloom.operators import layers
 from tapeloom.operators.profile import pivot_close
 from tapeloom.operators.upsert import BAR_KEY, FUNDAMENTAL_KEY, STATEMENT_KEY, upsert
-from tapeloom.plans import signals
+from tapeloom.plans import lake, signals
 from tapeloom.registry import selection as _selection  # noqa: F401 - defines the SQL of factors and signals
 from tapeloom.registry.base_sql import sql
 from tapeloom.registry.common import UNTIL, minutes, on_tables, r, rq
-from tapeloom.session import materialize
+from tapeloom.session import settings
 from tapeloom.sinks import tables as sinks
 from tapeloom.sources.adapters import Tables
 
@@ -93,12 +93,16 @@ def _csv(t: Tables):
 
 
 def _dws(t: Tables):
-    dwd = materialize(layers.dwd_bars(layers.ods_bars(t.bars(), "lake")).select(*layers.KEYS, "datetime", *layers.PRICES, "volume"))
-    with sinks.without_reshuffle(t.spark):
-        adjusted = _back(t, "dws_adjusted", lambda p: sinks.write_bars(layers.rated_by_series(dwd, t.adj_factor()), p, layers.adjusted_by))
-    factors = _back(t, "dws_factors", lambda p: sinks.write_table(
-        sinks.with_period(layers.measured(dwd), "datetime"), p, ["exchange", "year", "month"], ["symbol", "datetime"],
-        finish=lambda rows: sinks.with_period(layers.factors_by(rows), "datetime")))
+    tasks = t.series_tasks()
+    dwd = layers.dwd_bars(layers.ods_bars(t.bars(tasks), "lake")).select(*layers.KEYS, "datetime", *layers.PRICES, "volume")
+    by_month = lake.by_month(dwd, t.adj_factor(), tasks)
+
+    def derived(name, df, parts):
+        return _back(t, name, lambda p: sinks.write_table(sinks.with_period(df, "datetime"), p, parts, ["symbol", "datetime"], rebalance=False))
+
+    with settings(t.spark, lake.SMALL_SPLITS):
+        adjusted = derived("dws_adjusted", layers.adjusted_by(by_month), lake.BAR_PARTS)
+        factors = derived("dws_factors", layers.factors_by(by_month), lake.PARTS["dws_factors"])
     merged = _back(t, "dws_merged", lambda p: sinks.write_statements(
         layers.dws_merged(layers.dwd_financial(t.ods_financial()), t.fundamentals()), p))
 

@@ -79,6 +79,7 @@ def line_items(folder, symbols=6, days=400):
         "l_orderkey": [(d * 7 + s) % 90 for s, d, _ in rows], "l_linenumber": pa.array([2 - i for _, _, i in rows], pa.int32()),
         "l_partkey": [s + d for s, d, _ in rows], "l_suppkey": [s for s, _, _ in rows], "l_quantity": [float(1 + (d + i) % 7) for _, d, i in rows],
         "l_extendedprice": [100.0 + s * d % 31 + i for s, d, i in rows], "l_shipdate": [start + dt.timedelta(days=d) for _, d, _ in rows],
+        "l_discount": [0.0] * len(rows), "l_tax": [0.0] * len(rows),
     }), f"{folder}/lineitem.parquet", coerce_timestamps="us")
     return len(rows), symbols * days
 
@@ -92,6 +93,19 @@ def test_a_run_of_the_bar_layers_moves_a_bar_twice(spark, tmp_path):
     assert shuffled_rows(spark, last)[1] < items + bars * 1.2
 
 
+def test_the_derived_tables_take_two_shuffles_of_the_bars_together(spark, tmp_path):
+    items, bars = line_items(tmp_path)
+    queries = contract.queries()
+    last, _ = shuffled_rows(spark)
+    merged = len(queries["dws_merged_financial"](spark, str(tmp_path)).collect())
+    last, of_merged = shuffled_rows(spark, last)
+    found = queries["write_dws"](spark, str(tmp_path))
+    _, shuffled = shuffled_rows(spark, last)
+    assert found.count() == 2 * bars + merged
+    # Besides the merged statements: line items to their series, bars to their month.
+    assert shuffled - of_merged < items + bars * 1.4
+
+
 def test_bars_by_series_are_the_same_bars(spark, tmp_path, monkeypatch):
     line_items(tmp_path)
     tables = Tables(spark, str(tmp_path))
