@@ -82,3 +82,15 @@ def test_nothing_new_changes_nothing(spark):
     rows = some_rows(5)
     lake.run_bar_layers(bars(spark, rows), "x", path)
     assert lake.refresh_bar_layers(spark, path, bars(spark, rows).filter(F.lit(False)), "x") == {}
+
+
+@pytest.mark.parametrize("day", [185, 300])
+def test_repeated_factors_count_once_in_a_run_and_a_refresh(spark, day):
+    rows = some_rows(9) | {("a", d): (6.0, 2.0) for d in (185, 300)}
+    marks = factors(spark, [("a", day, 2.0), ("a", day, 1.5), ("a", day, None), ("b", 3, 1.5)])
+    old = {k: v for k, v in rows.items() if k[1] not in range(180, 200)}
+    one, two = sinks.scratch_path(spark, "lake"), sinks.scratch_path(spark, "lake")
+    lake.run_bar_layers(bars(spark, old), "x", one, marks)
+    lake.refresh_bar_layers(spark, one, bars(spark, {k: v for k, v in rows.items() if k not in old}), "x", marks)
+    assert {r["n"] for r in lake.run_bar_layers(bars(spark, rows), "x", two, marks).collect()} == {len(rows)}
+    assert tables(spark, one) == tables(spark, two)
